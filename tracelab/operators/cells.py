@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 from tracelab.session import KEY
 
-BY_POS = Window.partitionBy(*KEY, "pos").orderBy("step")
-SO_FAR = BY_POS.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_pos():
+    return Window.partitionBy(*KEY, "pos").orderBy("step")
+
+
+def so_far():
+    return by_pos().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def first_revealed(cells: DataFrame) -> DataFrame:
@@ -38,31 +43,31 @@ def h_score(cells: DataFrame) -> DataFrame:
 
 def step_change(cells: DataFrame) -> DataFrame:
     """x0 differs from the step before; the first step counts as unchanged."""
-    previous = F.lag("x0_id").over(BY_POS)
+    previous = F.lag("x0_id").over(by_pos())
     return cells.withColumn("changed", F.coalesce(F.col("x0_id") != previous, F.lit(False)).cast("int"))
 
 
 def cumulative_changes(cells: DataFrame) -> DataFrame:
-    return step_change(cells).withColumn("n_changes", F.sum("changed").over(SO_FAR))
+    return step_change(cells).withColumn("n_changes", F.sum("changed").over(so_far()))
 
 
 def entropic_cost(cells: DataFrame) -> DataFrame:
     """Running sum over steps of entropy where a still-masked token changed."""
     cost = F.col("changed") * F.col("masked_in").cast("int") * F.col("entropy")
-    return step_change(cells).withColumn("entropic_cost", F.sum(cost).over(SO_FAR))
+    return step_change(cells).withColumn("entropic_cost", F.sum(cost).over(so_far()))
 
 
 def step_levenshtein(cells: DataFrame, text: str = "token") -> DataFrame:
     """Edit distance between the proposed texts of consecutive steps; one row less per position."""
     return (
-        cells.withColumn("distance", F.levenshtein(F.col(text), F.lag(text).over(BY_POS)))
+        cells.withColumn("distance", F.levenshtein(F.col(text), F.lag(text).over(by_pos())))
         .where("step > 0")
         .select(*KEY, "step", "pos", "distance")
     )
 
 
 def lag_entropy(cells: DataFrame) -> DataFrame:
-    return cells.withColumn("entropy_before", F.lag("entropy").over(BY_POS))
+    return cells.withColumn("entropy_before", F.lag("entropy").over(by_pos()))
 
 
 def unmask_steps(cells: DataFrame) -> DataFrame:
@@ -124,7 +129,3 @@ def write_step_text(decoded: DataFrame, path: str) -> None:
     rows = lines.select(*KEY, "step", F.lit(0).alias("part"), F.concat_ws(" . ", F.col("step").cast("string"), "text").alias("value"))
     both = rows.unionByName(last.withColumn("part", F.lit(1)))
     both.repartition(*KEY).sortWithinPartitions(*KEY, "step", "part").select("value").write.text(path)
-
-
-def pad_id_of(run: Column) -> Column:
-    return F.coalesce(run, F.lit(0))
