@@ -347,3 +347,12 @@ def unmask_perplexity(cells: DataFrame, strict: bool = False) -> DataFrame:
 def transfer_counts(cells: DataFrame) -> DataFrame:
     """Cells revealed per step."""
     return cells.groupBy(*KEY, "step").agg(F.count_if("just_unmasked").alias("n_transfer"))
+
+
+def drop_nan_columns(features: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """Features without any NaN or NULL, found in one aggregate, and the names that were dropped."""
+    bad = features.agg(
+        *[F.max(F.col(n).isNull() | F.isnan(F.col(n).cast("double"))).alias(n) for n in names]
+    ).first()
+    dropped = [n for n in names if bad[n]]
+    return features.drop(*dropped), dropped

@@ -34,7 +34,7 @@ def cluster_rollup(dist: DataFrame, clusters: DataFrame, keys: list[str] = KEY)
 
     Cluster ids run from 0 to the highest id; those without mass count with the floor.
     """
-    size = clusters.agg((F.max("cluster") + 1).alias("n_clusters"))
+    n_clusters = clusters.agg(F.max("cluster") + 1).scalar()
     mass = map_tokens(dist, clusters).groupBy(*keys, "cluster").agg((F.sum("p") + MASS_FLOOR).alias("q"))
     seen = mass.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_seen"),
@@ -42,11 +42,10 @@ def cluster_rollup(dist: DataFrame, clusters: DataFrame, keys: list[str] = KEY)
         F.max(F.struct("q", (-F.col("cluster")).alias("neg"))).alias("best"),
     )
     empty = F.lit(-MASS_FLOOR) * F.ln(F.lit(MASS_FLOOR + CLUSTER_FLOOR))
-    # size is one row by construction
-    return seen.crossJoin(F.broadcast(size)).select(
+    return seen.select(
         *keys,
         F.col("best.q").alias("sem_prob"),
-        (F.col("part") + (F.col("n_clusters") - F.col("n_seen")) * empty).alias("sem_entropy"),
+        (F.col("part") + (n_clusters - F.col("n_seen")) * empty).alias("sem_entropy"),
         (-F.col("best.neg")).alias("sem_label"),
     )
 

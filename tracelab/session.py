@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KEY = ["run_id", "sample_id"]
 
@@ -48,3 +49,9 @@ def materialize(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Materialize a small table and hint its broadcast only when its counted rows fit the bound."""
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept

@@ -117,10 +117,10 @@ def window_rows(rows: DataFrame, channels: Sequence[str], pad_id: int = 0) -> Da
     return rows.withColumns({c: cut(c) for c in channels})
 
 
-def _shifted(mask: Column) -> Column:
-    """Mask of the step before; NULL at the first step."""
-    blank = F.transform(mask[0], lambda _: F.lit(None).cast("boolean"))
-    return F.concat(F.array(blank), F.slice(mask, F.lit(1), F.size(mask) - 1))
+def _shifted(channel: Column, kind: str = "boolean") -> Column:
+    """Channel of the step before; NULL at the first step."""
+    blank = F.transform(channel[0], lambda _: F.lit(None).cast(kind))
+    return F.concat(F.array(blank), F.slice(channel, F.lit(1), F.size(channel) - 1))
 
 
 def _masked_going_in(mask: Column, post_commit: Column) -> Column:
@@ -148,11 +148,13 @@ def explode_trace(
     keep: Sequence[str] = (),
     pad_id: int | None = None,
     colocate: bool = True,
+    with_lag: bool = False,
 ) -> DataFrame:
     """Cells (run_id, sample_id, step, pos, channels) with the mask history flags.
 
     Flags: ``masked_in`` (masked going into the step), ``just_unmasked`` (from the recorded mask),
-    ``just_unmasked_in`` (from ``masked_in``) and, with ``pad_id``, ``padding``. They come from array
+    ``just_unmasked_in`` (from ``masked_in``), with ``pad_id`` ``padding``, and with ``with_lag``
+    ``entropy_before`` (entropy one step earlier). They come from array
     shifts inside the row, which spares the sort that a lag window over cells would need. Pass
     ``colocate=False`` for a table already bucketed by sample.
     """
@@ -162,6 +164,9 @@ def explode_trace(
     base = base.withColumn("masked_in", _masked_going_in(F.col("masked"), F.col("post_commit")))
     grids = [*channels, "masked_in", "prev_masked", "prev_masked_in"]
     extra = {"prev_masked": _shifted(F.col("masked")), "prev_masked_in": _shifted(F.col("masked_in"))}
+    if with_lag:
+        extra["entropy_before"] = _shifted(F.col("entropy"), "double")
+        grids.append("entropy_before")
     meta = [*KEY, *keep, "n_steps"]
     base = base.withColumns({**extra, "n_steps": F.size("masked")})
     if pad_id is not None:
