@@ -98,9 +98,9 @@ def var_prediction(spark, sf_dir):
 
 
 STATS = PRED + """,
-both AS (SELECT *, 'correct' AS model, rc AS recon FROM pred WHERE masked UNION ALL SELECT *, 'halluc', rh FROM pred WHERE masked),
+twice AS (SELECT *, 'correct' AS model, rc AS recon FROM pred WHERE masked UNION ALL SELECT *, 'halluc', rh FROM pred WHERE masked),
 stats AS (SELECT run_id, sample_id, label, model, step, count(*) AS n, avg(entropy) AS mean_data, var_pop(entropy) AS var_data, avg(recon) AS mean_recon, var_pop(recon) AS var_recon
-          FROM both GROUP BY run_id, sample_id, label, model, step)
+          FROM twice GROUP BY run_id, sample_id, label, model, step)
 """
 
 
