@@ -77,7 +77,10 @@ def _clipped(c: str, max_length: int, side: str) -> Column:
 
 def mask_suffix(rows: DataFrame, length: Column) -> DataFrame:
     """Attention 0 and label -100 from position ``length`` on; ids stay."""
-    fill = lambda c, v: F.transform(c, lambda x, i: F.when(i < length, x).otherwise(F.lit(v)))
+    def fill(c: str, value: int) -> Column:
+        kept = F.least(F.greatest(length, F.lit(0)).cast("int"), F.size(c))
+        return F.concat(F.slice(c, F.lit(1), kept), F.array_repeat(F.lit(value), F.size(c) - kept))
+
     ones = F.transform("input_ids", lambda _: F.lit(1))
     base = rows if "attention_mask" in rows.columns else rows.withColumn("attention_mask", ones)
     out = base.withColumn("attention_mask", fill("attention_mask", 0))
@@ -111,18 +114,23 @@ def brief_suffix(rows: DataFrame, suffix: str) -> DataFrame:
 
 # ---------------------------------------------------------------- stop trimming
 
-def _first_at(ids: Column, start: Column, stops: list[int]) -> Column:
-    """0-based place of the first stop id at or after ``start``; the length if there is none."""
-    places = F.sequence(F.lit(0), F.greatest(F.size(ids) - 1, F.lit(0)))
-    hits = F.filter(places, lambda i: (i >= start) & F.coalesce(F.get(ids, i).isin(stops), F.lit(False)))
-    return F.coalesce(F.array_min(hits), F.size(ids))
+# Lambdas below use only their own arguments: a column named inside a lambda may be replaced by the
+# expression that made it, and would then be computed anew for every element.
+
+def _first_place(ids: Column, wanted) -> Column:
+    """0-based place of the first id that passes ``wanted``; NULL if there is none."""
+    return F.array_min(F.transform(ids, lambda x, i: F.when(wanted(x), i)))
+
+
+def _before_stop(ids: Column, stops: list[int]) -> Column:
+    """Number of ids before the first stop id."""
+    return F.coalesce(_first_place(ids, lambda x: x.isin(stops)), F.size(ids))
 
 
 def _skip_left(ids: Column, pad_id: int) -> Column:
     """Without the pad ids at its start."""
-    places = F.sequence(F.lit(0), F.greatest(F.size(ids) - 1, F.lit(0)))
-    first = F.array_min(F.filter(places, lambda i: F.get(ids, i) != pad_id))
-    return F.when(first.isNull(), F.slice(ids, 1, 0)).otherwise(F.slice(ids, first + 1, F.size(ids)))
+    first = F.coalesce(_first_place(ids, lambda x: x != pad_id), F.size(ids))
+    return F.slice(ids, first + 1, F.size(ids))
 
 
 def trim_generation(
@@ -143,10 +151,10 @@ def trim_generation(
         found = F.array_min(F.filter(offsets, lambda i: F.slice(full, i + 1, n) == prompt))
         start = F.when(F.size(full) > n, F.coalesce(found + n, n)).otherwise(n)
     rows = rows.withColumn("_start", start)
+    rest = F.slice(full, F.col("_start") + 1, F.size(full))
     stop = end_of_turn if end_of_turn is not None else end_of_sequence
-    end = F.size(full) if stop is None else _first_at(full, F.col("_start"), [stop])
-    room = F.greatest(end - F.col("_start"), F.lit(0))
-    return rows.withColumn("generated", F.slice(full, F.col("_start") + 1, room)).drop("_start")
+    end = F.size(rest) if stop is None else _before_stop(rest, [stop])
+    return rows.withColumn("generated", F.slice(rest, F.lit(1), end)).drop("_start")
 
 
 def trim_infill(
@@ -155,16 +163,17 @@ def trim_infill(
     """``generated``: ids of ``full`` where ``prompt`` held the mask id, up to the first stop id."""
     if pad_id is not None and pad_id not in (end_of_sequence, end_of_turn):
         rows = rows.withColumns({"full": _skip_left(F.col("full"), pad_id), "prompt": _skip_left(F.col("prompt"), pad_id)})
-    filled = F.filter("full", lambda x, i: F.coalesce(F.get("prompt", i) == mask_id, F.lit(False)))
-    rows = rows.withColumn("_filled", filled)
+    pairs = F.zip_with("full", "prompt", lambda x, p: F.struct(x.alias("x"), p.alias("p")))
+    hidden = F.filter(pairs, lambda e: e["x"].isNotNull() & (F.coalesce(e["p"], F.lit(-1)) == mask_id))
+    rows = rows.withColumn("_filled", F.transform(hidden, lambda e: e["x"]))
     stop = end_of_turn if end_of_turn is not None else end_of_sequence
-    end = F.size("_filled") if stop is None else _first_at(F.col("_filled"), F.lit(0), [stop])
+    end = F.size("_filled") if stop is None else _before_stop(F.col("_filled"), [stop])
     return rows.withColumn("generated", F.slice("_filled", F.lit(1), end)).drop("_filled")
 
 
 def trim_at_stop(ids: Column, stops: list[int]) -> Column:
     """Cut after the first of several stop ids, which is kept."""
-    return F.slice(ids, F.lit(1), F.least(_first_at(ids, F.lit(0), stops) + 1, F.size(ids)))
+    return F.slice(ids, F.lit(1), F.least(_before_stop(ids, stops) + 1, F.size(ids)))
 
 
 def remove_header(text: Column, header: str) -> Column:
@@ -186,8 +195,12 @@ def response_rows(rows: DataFrame, role_ids: dict[str, int], mask_prompt: bool =
     out = rows.withColumns({"input_ids": F.flatten("_encoded"), "prompt_len": F.size(F.flatten(before)) + 1})
     if not mask_prompt:
         return out.withColumn("labels", F.col("input_ids")).drop("_encoded", "prompt_len")
-    masked = F.transform("input_ids", lambda x, i: F.when(i < F.col("prompt_len"), F.lit(IGNORED)).otherwise(x))
-    return out.withColumn("labels", masked).drop("_encoded")
+    return out.withColumn("labels", ignore_prompt("input_ids", F.col("prompt_len"))).drop("_encoded")
+
+
+def ignore_prompt(ids: str, prompt_len: Column) -> Column:
+    """The ids with -100 over the first ``prompt_len`` places."""
+    return F.concat(F.array_repeat(F.lit(IGNORED), F.least(prompt_len, F.size(ids))), F.slice(ids, prompt_len + 1, F.size(ids)))
 
 
 def response_segments(turns: DataFrame, key: str, turn: str, role_ids: dict[str, int]) -> DataFrame:
@@ -207,7 +220,7 @@ def response_segments(turns: DataFrame, key: str, turn: str, role_ids: dict[str,
     offset = F.col("stop") - F.col("n")
     return joined.select(
         key, turn, "input_ids", offset.alias("offset"), "prompt_len",
-        F.transform("input_ids", lambda x, i: F.when(offset + i < F.col("prompt_len"), F.lit(IGNORED)).otherwise(x)).alias("labels"),
+        ignore_prompt("input_ids", F.greatest(F.col("prompt_len") - offset, F.lit(0)).cast("int")).alias("labels"),
     )
 
 

@@ -1,11 +1,22 @@
-"""Feature selection."""
+"""Feature selection: prefilter, stability selection, mRMR, Boruta, and the record of a run."""
 
 from __future__ import annotations
 
+import math
+import random
+from dataclasses import dataclass
+
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import ElementwiseProduct, QuantileDiscretizer, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.operators.curves import correlation_matrix, pearson
+from tracelab.functions.ordering import row_numbers, seeded_hash
+from tracelab.operators.curves import correlation_matrix, feature_pairs, pearson
+from tracelab.operators.detectors import Classifier, assemble, compact, fixed_split_evaluation, in_parallel, logistic, scale
+from tracelab.operators.labels import subsample
+from tracelab.session import KEY, materialize
 
 
 def rank_by(rows: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -45,3 +56,210 @@ def correlation_prefilter(features: DataFrame, names: list[str], label: str = "l
     drops = prefilter_drops(features, names, label, threshold).collect()
     gone = {d["dropped"] for d in drops}
     return [n for n in names if n not in gone], drops
+
+
+# ---------------------------------------------------------------- stability selection
+
+# Rounds, share of rows, inclusion threshold, range of random weights, grid of C.
+STABILITY_ROUNDS = 500
+STABILITY_ROUNDS_INSIDE = 200
+SHARE = 0.5
+INCLUSION = 0.6
+C_GRID = [10 ** (-2 + 2 * i / 9) for i in range(10)]
+
+
+@dataclass
+class Stability:
+    selected: list[str]
+    probability: dict[str, float]
+    expected_false: float
+    expected_false_mean: float
+
+
+def stability_selection(
+    features: DataFrame, names: list[str], rounds: int = STABILITY_ROUNDS, threshold: float = INCLUSION, seed: int = 42
+) -> Stability:
+    """Share of rounds in which a randomly weighted L1 model keeps each feature.
+
+    Every round draws half the rows, weights U(0.5, 1) and one C; rounds are independent fits.
+    ``expected_false`` bounds the false positives with the number of features ever kept,
+    ``expected_false_mean`` with the mean number kept per round, as published.
+    """
+    rows = assemble(features.select(*KEY, "label", *names), names)
+    scaled = compact(scale(rows).transform(rows).drop("raw").withColumn("_all", F.lit(0)))
+    rng = random.Random(seed)
+    draws = [([rng.uniform(0.5, 1.0) for _ in names], rng.choice(C_GRID)) for _ in range(rounds)]
+
+    def one(no: int) -> list[bool] | None:
+        weights, c = draws[no]
+        half = subsample(scaled, SHARE, no, ["_all"], KEY, seed).select("label", "scaled").persist()
+        try:
+            n, classes = half.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
+            if classes < 2:
+                return None
+            weighted = ElementwiseProduct(scalingVec=Vectors.dense([1 / w for w in weights]), inputCol="scaled", outputCol="weighted")
+            model = logistic({"C": c, "penalty": "l1"}, n, "weighted").fit(weighted.transform(half))
+            return [bool(v != 0) for v in model.coefficients.toArray()]
+        finally:
+            half.unpersist()
+
+    kept = [k for k in in_parallel([lambda i=i: one(i) for i in range(rounds)]) if k is not None]
+    counts = [sum(k[j] for k in kept) for j in range(len(names))]
+    probability = {n: counts[j] / rounds for j, n in enumerate(names)}
+    ever, mean = sum(c > 0 for c in counts), sum(counts) / max(rounds, 1)
+    bound = lambda q: q * q / ((2 * threshold - 1) * len(names)) if threshold > 0.5 else math.inf
+    return Stability([n for n in names if probability[n] > threshold], probability, bound(ever), bound(mean))
+
+
+# ---------------------------------------------------------------- mutual information and mRMR
+
+def binned(features: DataFrame, names: list[str], bins: int = 16, method: str = "quantile") -> DataFrame:
+    """Feature columns as bin numbers: quantile bins, or equal widths over each feature's range."""
+    if method == "quantile":
+        cut = QuantileDiscretizer(
+            numBucketsArray=[bins] * len(names), inputCols=names, outputCols=[f"_b_{n}" for n in names], relativeError=0.001, handleInvalid="keep"
+        ).fit(features)
+        out = cut.transform(features)
+        return out.select(*[c for c in features.columns if c not in names], *[F.col(f"_b_{n}").cast("int").alias(n) for n in names])
+    spans = features.agg(*[f(n).alias(f"{t}_{n}") for n in names for f, t in ((F.min, "lo"), (F.max, "hi"))]).first()
+
+    def place(n: str):
+        lo, hi = spans[f"lo_{n}"], spans[f"hi_{n}"]
+        if lo is None or lo == hi:
+            return F.lit(0)
+        return F.least(F.lit(bins - 1), F.floor((F.col(n) - lo) / ((hi - lo) / bins)).cast("int"))
+
+    return features.withColumns({n: place(n) for n in names})
+
+
+def mutual_information(bins: DataFrame, names: list[str]) -> DataFrame:
+    """(name_i, name_j, mi) in nats for every pair of columns, from joint bin counts of one pass.
+
+    Counts are a partial aggregate over bins x bins groups per pair; rows are never gathered.
+    """
+    joint = feature_pairs(bins, names).groupBy("name_i", "name_j", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    pair = Window.partitionBy("name_i", "name_j")
+    placed = joint.withColumns(
+        {
+            "nx": F.sum("n").over(Window.partitionBy("name_i", "name_j", "x")),
+            "ny": F.sum("n").over(Window.partitionBy("name_i", "name_j", "y")),
+            "t": F.sum("n").over(pair),
+        }
+    )
+    share = F.col("n") / F.col("t")
+    gain = share * F.ln(F.col("n").cast("double") * F.col("t") / (F.col("nx").cast("double") * F.col("ny")))
+    return placed.groupBy("name_i", "name_j").agg(F.sum(gain).alias("mi"))
+
+
+def mrmr_selection(
+    features: DataFrame, names: list[str], n_select: int = 10, bins: int = 16, method: str = "quantile"
+) -> tuple[list[str], dict[str, float]]:
+    """Greedy choice by relevance to the label less mean redundancy with the features chosen so far.
+
+    Mutual information is estimated from bins; only the small matrix of pairs reaches the driver.
+    """
+    table = mutual_information(binned(features.select("label", *names), names, bins, method), [*names, "label"]).collect()
+    mi = {frozenset((r["name_i"], r["name_j"])): r["mi"] for r in table}
+    chosen, scores = [], {}
+    while len(chosen) < min(n_select, len(names)):
+        rest = [n for n in names if n not in scores]
+        value = lambda n: mi[frozenset((n, "label"))] - (
+            sum(mi[frozenset((n, s))] for s in chosen) / len(chosen) if chosen else 0.0
+        )
+        best = max(rest, key=lambda n: (value(n), -names.index(n)))
+        scores[best] = value(best)
+        chosen.append(best)
+    return chosen, scores
+
+
+def positive_or_first(chosen: list[str], scores: dict[str, float], fallback: int = 3) -> list[str]:
+    """Features with a positive score, else the first three."""
+    return [n for n in chosen if scores[n] > 0] or chosen[:fallback]
+
+
+def select_on(features: DataFrame, names: list[str], method: str = "stability", rounds: int = STABILITY_ROUNDS_INSIDE) -> list[str]:
+    """Selection for use inside an evaluation; an empty selection means all features."""
+    if method == "stability":
+        chosen = stability_selection(features, names, rounds).selected
+    elif method == "mrmr":
+        chosen = positive_or_first(*mrmr_selection(features, names))
+    else:
+        raise ValueError(f"unknown selection method {method!r}")
+    return chosen or names
+
+
+# ---------------------------------------------------------------- Boruta
+
+BORUTA_ROUNDS = 100
+
+
+def shadows(features: DataFrame, names: list[str], seed: int) -> DataFrame:
+    """Rows with ``_no`` 1.. and, next to each feature, an independently permuted copy ``shadow_*``.
+
+    A feature is permuted by giving its values to the rows in the order of a seeded hash, ranked by
+    the bucketed row numbering; no column is gathered in one task.
+    """
+    numbered = row_numbers(features.withColumn("_h", seeded_hash(seed, *KEY)), [], "_h", KEY, name="_no", hashed=True).drop("_h")
+    long = numbered.select("_no", *names).unpivot("_no", names, "feature", "value")
+    long = long.withColumn("_h", F.xxhash64("_no", "feature", F.lit(seed)))
+    moved = row_numbers(long, ["feature"], "_h", ["_no"], name="_to", hashed=True)
+    copies = moved.groupBy(F.col("_to").alias("_no")).pivot("feature", names).agg(F.first("value"))
+    return numbered.join(copies.select("_no", *[F.col(n).alias(f"shadow_{n}") for n in names]), "_no")
+
+
+def binomial_tail(hits: int, n: int) -> float:
+    """P(X >= hits) for n fair coin tosses."""
+    return sum(math.comb(n, k) for k in range(hits, n + 1)) / 2**n
+
+
+def boruta_selection(
+    features: DataFrame, names: list[str], rounds: int = BORUTA_ROUNDS, alpha: float = 0.05, seed: int = 42, trees: int = 100
+) -> dict:
+    """Features whose forest importance beats the best shadow more often than chance allows."""
+    rows = materialize(features.select(*KEY, "label", *names))
+    hits, status = {n: 0 for n in names}, {n: "tentative" for n in names}
+    level = alpha / len(names)
+    for no in range(1, rounds + 1):
+        both = shadows(rows, names, seed + no)
+        wide = [*names, *[f"shadow_{n}" for n in names]]
+        ready = compact(VectorAssembler(inputCols=wide, outputCol="x").transform(both).select("label", "x"))
+        model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=5, seed=seed + no).fit(ready)
+        importance = model.featureImportances.toArray()
+        bar = max(importance[len(names):])
+        for j, n in enumerate(names):
+            if status[n] != "tentative":
+                continue
+            hits[n] += int(importance[j] > bar)
+            if binomial_tail(hits[n], no) < level:
+                status[n] = "confirmed"
+            elif 1 - binomial_tail(hits[n] + 1, no) < level:
+                status[n] = "rejected"
+        if all(s != "tentative" for s in status.values()):
+            break
+    by = lambda s: [n for n in names if status[n] == s]
+    return {"confirmed": by("confirmed"), "tentative": by("tentative"), "rejected": by("rejected"), "hits": hits}
+
+
+# ---------------------------------------------------------------- pipeline
+
+def selection_record(
+    features: DataFrame, names: list[str], classifiers: dict[str, Classifier], rounds: int = STABILITY_ROUNDS,
+    boruta_rounds: int = BORUTA_ROUNDS, rounds_inside: int = STABILITY_ROUNDS_INSIDE,
+) -> dict:
+    """Prefilter, the three selectors, and evaluations with selection on the train part, as one record."""
+    kept, drops = correlation_prefilter(features, names)
+    stable = stability_selection(features, kept, rounds)
+    chosen, scores = mrmr_selection(features, kept)
+    boruta = boruta_selection(features, kept, boruta_rounds)
+    evaluation = {}
+    for method in ("stability", "mrmr", "all_features"):
+        pick = None if method == "all_features" else (lambda f, n, m=method: select_on(f, n, m, rounds_inside))
+        report, used = fixed_split_evaluation(features, kept, classifiers, pick)
+        evaluation[method] = {"selected": used, "classifiers": [r.asDict() for r in report.collect()]}
+    return {
+        "prefilter": {"dropped": [d.asDict() for d in drops], "remaining": kept},
+        "stability": {"selected": stable.selected, "probabilities": stable.probability, "expected_fp": stable.expected_false},
+        "mrmr": {"selected": positive_or_first(chosen, scores), "scores": scores},
+        "boruta": boruta,
+        "evaluation": evaluation,
+    }

@@ -53,7 +53,8 @@ def cluster_rollup(dist: DataFrame, clusters: DataFrame, keys: list[str] = KEY)
 def normalise(vectors: DataFrame, vector: str = "vector") -> DataFrame:
     """L2-normalised token vectors."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return vectors.withColumn(vector, F.transform(vector, lambda x: x / norm))
+    norms = F.array_repeat(norm, F.size(vector))  # not inside the lambda, which would compute it per element
+    return vectors.withColumn(vector, F.zip_with(vector, norms, lambda x, n: x / n))
 
 
 def semantic_dispersion(dist: DataFrame, vectors: DataFrame, keys: list[str] = KEY) -> DataFrame:

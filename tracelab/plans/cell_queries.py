@@ -403,7 +403,7 @@ def dist(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "embeddings").withColumn("a", F.transform("embedding", lambda v: F.abs(v.cast("double"))))
     return rows.select(
         fx.run_of("vec_id").alias("run_id"), F.col("vec_id").alias("sample_id"),
-        F.posexplode(F.transform("a", lambda x: x / total)).alias("token", "p"),
+        F.posexplode(F.zip_with("a", F.array_repeat(total, F.size("a")), lambda x, t: x / t)).alias("token", "p"),
     )
 
 

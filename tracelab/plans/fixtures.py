@@ -27,10 +27,10 @@ def run_of(id_col: str):
 def trace_rows(spark: SparkSession, sf_dir: str, channels=TAKEN) -> DataFrame:
     """``embeddings`` read as an 8-step x 8-position trace: one stored row per vector."""
     steps = F.sequence(F.lit(0), F.lit(STEPS - 1))
-    magnitude = F.transform("embedding", lambda v: F.abs(v.cast("double")))
 
     def grid(fn):
-        return F.transform(steps, lambda t: F.transform(F.slice("a", t * WIDTH + 1, WIDTH), lambda v, p: fn(v, t, p)))
+        row = lambda t: F.slice("embedding", t * WIDTH + 1, WIDTH)
+        return F.transform(steps, lambda t: F.transform(row(t), lambda v, p: fn(F.abs(v.cast("double")), t, p)))
 
     masked = lambda t, p: t < 1 + (F.col("vec_id") * 7 + p * 3) % 9
     x0 = lambda v: (F.floor(v * 1000) % 16).cast("int")
@@ -45,7 +45,6 @@ def trace_rows(spark: SparkSession, sf_dir: str, channels=TAKEN) -> DataFrame:
     }
     return (
         table(spark, sf_dir, "embeddings")
-        .withColumn("a", magnitude)
         .select(
             run_of("vec_id").alias("run_id"),
             F.col("vec_id").alias("sample_id"),

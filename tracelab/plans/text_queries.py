@@ -275,7 +275,7 @@ def rows(df):
     ids = df.select("doc_id", cp.hashed_ids(F.col("text")).alias("input_ids"))
     ids = ids.withColumn("prompt_len", F.least(F.size("input_ids"), (F.col("doc_id") % 40).cast("int")))
     return ids.withColumns({
-        "labels": F.transform("input_ids", lambda x, i: F.when(i < F.col("prompt_len"), F.lit(-100)).otherwise(x)),
+        "labels": cp.ignore_prompt("input_ids", F.col("prompt_len")),
         "attention_mask": F.transform("input_ids", lambda _: F.lit(1)),
     })
 
