@@ -9,7 +9,7 @@ inside the bucket only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,12 +57,22 @@ def bucketize(df: DataFrame, order: str, buckets: int | None = None) -> DataFram
     return df.withColumn(BUCKET, bucket_of(F.col(order).cast("double"), splits))
 
 
-def _offsets(bucketed: DataFrame, group: list[str], totals: dict[str, Column], descending: bool) -> DataFrame:
-    small = bucketed.groupBy(*group, BUCKET).agg(*[c.alias(n) for n, c in totals.items()])
+Stat = tuple[Column, Callable[[str], Column]]
+"""An aggregate per bucket, and how the buckets of a group combine."""
+
+
+def _offsets(bucketed: DataFrame, group: list[str], sums: dict[str, Column], stats: dict[str, Stat], descending: bool) -> DataFrame:
+    """One small row per group and bucket: sums of the buckets before it, statistics of its group."""
+    small = bucketed.groupBy(*group, BUCKET).agg(
+        *[c.alias(n) for n, c in sums.items()], *[c.alias(n) for n, (c, _) in stats.items()]
+    )
     order = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
     before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
     return small.select(
-        *group, BUCKET, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in totals]
+        *group, BUCKET,
+        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums],
+        *[combine(n).over(whole).alias(n) for n, (_, combine) in stats.items()],
     )
 
 
@@ -73,18 +83,20 @@ def running_totals(
     values: dict[str, str],
     descending: bool = False,
     buckets: int | None = None,
+    stats: dict[str, Stat] | None = None,
 ) -> DataFrame:
     """Add ``new = running sum of old`` for each ``old -> new`` in ``values``, current row included.
 
-    Rows of one group need distinct ``order`` values; ``df`` should be cheap to read twice.
+    Rows of one group need distinct ``order`` values; ``df`` should be cheap to read twice. ``stats``
+    adds whole-group statistics from the same small table, which spares a join on the group, whose
+    few keys would be hot.
     """
     cut = bucketize(df, order, buckets)
-    offsets = _offsets(cut, group, {old: F.sum(old) for old in values}, descending)
+    offsets = _offsets(cut, group, {old: F.sum(old) for old in values}, stats or {}, descending)
     direction = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy(*group, BUCKET).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
     out = cut.join(offsets, [*group, BUCKET])
-    for old, new in values.items():
-        out = out.withColumn(new, F.sum(old).over(inside) + F.col(f"_before_{old}"))
+    out = out.withColumns({new: F.sum(old).over(inside) + F.col(f"_before_{old}") for old, new in values.items()})
     return out.drop(BUCKET, *[f"_before_{old}" for old in values])
 
 
@@ -96,13 +108,16 @@ def row_numbers(
     name: str = "row_no",
     hashed: bool = False,
     buckets: int | None = None,
+    size: str | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, by ``order`` and then ``ties``.
 
-    ``hashed`` says that ``order`` is a 64-bit hash, whose top bits serve as bucket.
+    ``hashed`` says that ``order`` is a 64-bit hash, whose top bits serve as bucket; ``size`` names a
+    column for the number of rows of the group.
     """
     cut = df.withColumn(BUCKET, hash_bucket(F.col(order))) if hashed else bucketize(df, order, buckets)
-    offsets = _offsets(cut, group, {"n": F.count(F.lit(1))}, descending=False)
+    stats = {size: (F.count(F.lit(1)), F.sum)} if size else {}
+    offsets = _offsets(cut, group, {"n": F.count(F.lit(1))}, stats, descending=False)
     inside = Window.partitionBy(*group, BUCKET).orderBy(order, *ties)
     return (
         cut.join(offsets, [*group, BUCKET])

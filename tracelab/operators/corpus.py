@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.functions.ordering import running_totals, seeded_hash
+from tracelab.functions.ordering import BUCKET, running_totals, seeded_hash
 from tracelab.functions.text import word_tokens
 
 # The label id that a loss ignores and the columns that hold one entry per token.
@@ -214,14 +214,16 @@ def response_segments(turns: DataFrame, key: str, turn: str, role_ids: dict[str,
     pieces = turns.select(
         key, turn, F.concat(F.array(roles[F.col("role")]), hashed_ids(F.col("text"))).alias("input_ids")
     ).withColumn("n", F.size("input_ids").cast("bigint"))
-    placed = running_totals(pieces, [key], turn, {"n": "stop"})
-    last = pieces.groupBy(key).agg(F.max(turn).alias("_last"), F.sum("n").alias("_total"), F.max_by("n", turn).alias("_n_last"))
-    joined = placed.join(last, key).withColumn("prompt_len", F.col("_total") - F.col("_n_last") + 1)
-    offset = F.col("stop") - F.col("n")
-    return joined.select(
-        key, turn, "input_ids", offset.alias("offset"), "prompt_len",
-        ignore_prompt("input_ids", F.greatest(F.col("prompt_len") - offset, F.lit(0)).cast("int")).alias("labels"),
+    stats = {
+        "_total": (F.sum("n"), F.sum),
+        "_n_last": (F.max_by("n", turn), lambda c: F.max_by(c, BUCKET)),
+    }
+    placed = running_totals(pieces, [key], turn, {"n": "stop"}, stats=stats)
+    placed = placed.withColumns(
+        {"offset": F.col("stop") - F.col("n"), "prompt_len": F.col("_total") - F.col("_n_last") + 1}
     )
+    inside = F.greatest(F.col("prompt_len") - F.col("offset"), F.lit(0)).cast("int")
+    return placed.select(key, turn, "input_ids", "offset", "prompt_len", ignore_prompt("input_ids", inside).alias("labels"))
 
 
 # ---------------------------------------------------------------- packing and batch cuts

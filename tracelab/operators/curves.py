@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.session import KEY
+from tracelab.session import KEY, bounded
 
 
 def sample_curve(cells: DataFrame, channel: str = "entropy", mask: Column | None = None, keep: list[str] = ()) -> DataFrame:
@@ -69,6 +69,7 @@ def feature_histogram(features: DataFrame, bins: int = 30, by: list[str] = ("fea
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
     ).withColumn("width", (F.col("hi") - F.col("lo")) / bins)
+    spans = bounded(spans)  # one row per feature and class; their few keys would be hot in a shuffle
     place = F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / F.col("width")).cast("int"))
     counts = features.join(spans, by).groupBy(*by, place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = spans.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))

@@ -44,18 +44,15 @@ def label_pool(judged: DataFrame) -> DataFrame:
 
 def sequential_split(pool: DataFrame, ratio: float = 0.8, ordinal: str = "ordinal") -> DataFrame:
     """``split``: train for the first int(ratio * n) rows of a run by ordinal, test for the rest."""
-    sizes = pool.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = row_numbers(pool, ["run_id"], ordinal, name="_no").join(sizes, "run_id")
+    ranked = row_numbers(pool, ["run_id"], ordinal, name="_no", size="_n")
     cut = F.floor(F.col("_n") * F.lit(ratio))
     return ranked.withColumn("split", F.when(F.col("_no") <= cut, "train").otherwise("test")).drop("_no", "_n")
 
 
 def hash_ranks(rows: DataFrame, group: list[str], ids: list[str], seed: int = 42) -> DataFrame:
     """``rank`` 1.. of a seeded hash inside each group, and the group's size ``group_n``."""
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("group_n"))
     hashed = rows.withColumn("_hash", seeded_hash(seed, *ids))
-    ranked = row_numbers(hashed, group, "_hash", ids, name="rank", hashed=True)
-    return ranked.join(sizes, group).drop("_hash")
+    return row_numbers(hashed, group, "_hash", ids, name="rank", hashed=True, size="group_n").drop("_hash")
 
 
 def balanced_sample(rows: DataFrame, n: int, group: list[str], ids: list[str], seed: int = 42) -> DataFrame:

@@ -37,30 +37,34 @@ def score_counts(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
 
 
 def cumulated(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
-    """Score counts with ``tp`` and ``seen``: positives and rows at this score or above."""
+    """Score counts with ``tp`` and ``seen`` (positives and rows at this score or above), and the
+    group's positives ``p``, rows ``total``, lowest and highest score ``lo`` and ``hi``."""
     counts = materialize(score_counts(scores, group))
-    return running_totals(counts, group, "score", {"pos": "tp", "n": "seen"}, descending=True)
+    stats = {
+        "p": (F.sum("pos"), F.sum), "total": (F.sum("n"), F.sum),
+        "lo": (F.min("score"), F.min), "hi": (F.max("score"), F.max),
+    }
+    return running_totals(counts, group, "score", {"pos": "tp", "n": "seen"}, descending=True, stats=stats)
 
 
 def curve_points(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """ROC and precision-recall points, one per distinct score."""
-    ranked = cumulated(scores, group)
-    totals = ranked.groupBy(*group).agg(F.max("tp").alias("p"), (F.max("seen") - F.max("tp")).alias("q"))
-    some = lambda c: F.when(F.col(c) > 0, F.col(c))
-    return ranked.join(totals, group).select(
+    positives, negatives = F.col("p"), F.col("total") - F.col("p")
+    fp = F.col("seen") - F.col("tp")
+    return cumulated(scores, group).select(
         *group,
         F.col("score").alias("threshold"),
         "tp",
-        (F.col("seen") - F.col("tp")).alias("fp"),
-        (F.col("tp") / some("p")).alias("tpr"),
-        ((F.col("seen") - F.col("tp")) / some("q")).alias("fpr"),
+        fp.alias("fp"),
+        (F.col("tp") / F.when(positives > 0, positives)).alias("tpr"),
+        (fp / F.when(negatives > 0, negatives)).alias("fpr"),
         (F.col("tp") / F.col("seen")).alias("precision"),
     )
 
 
 def _ranking_aggs() -> list[Column]:
     """AUC (ties count half) and average precision (a step sum, not a trapezoid)."""
-    p, n = F.max("tp").cast("double"), F.max("seen").cast("double")
+    p, n = F.max("p").cast("double"), F.max("total").cast("double")
     negatives = (F.col("n") - F.col("pos")).cast("double")
     pairs = F.sum(negatives * (F.col("tp") - F.col("pos") / 2))
     both = F.when((p > 0) & (n > p), p * (n - p))
@@ -74,84 +78,73 @@ def ranking_metrics(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
 
 def feature_auc(features: DataFrame, group: list[str]) -> DataFrame:
     """(group, n, auc) of scores that need no other metric."""
-    return cumulated(features, group).groupBy(*group).agg(F.max("seen").alias("n"), _ranking_aggs()[0].alias("auc"))
+    return cumulated(features, group).groupBy(*group).agg(F.max("total").alias("n"), _ranking_aggs()[0].alias("auc"))
 
 
 def _threshold(index: Column) -> Column:
     return F.when(index == THRESHOLDS - 1, F.col("hi")).otherwise(F.col("lo") + index * F.col("width"))
 
 
-def threshold_sweep(counts: DataFrame, group: list[str], bounds: tuple[float, float] | None = None) -> DataFrame:
+def threshold_sweep(ranked: DataFrame, group: list[str] = GROUP, bounds: tuple[float, float] | None = None) -> DataFrame:
     """Best accuracy over 201 thresholds and the first threshold that reaches it.
 
-    The thresholds run from the lowest to the highest score, or over ``bounds``. Each distinct score
-    is put at the last threshold it passes, so the sweep is a grouping into 201 bins and running
-    sums over them, not a product of rows and thresholds.
+    ``ranked`` comes from ``cumulated``. The thresholds run from the lowest to the highest score, or
+    over ``bounds``. Each distinct score is put at the last threshold it passes, so the sweep is a
+    grouping into 201 bins and running sums over them, not a product of rows and thresholds.
     """
-    if bounds is None:
-        ranges = counts.groupBy(*group).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    else:
-        ranges = counts.select(*group).distinct().withColumns({"lo": F.lit(float(bounds[0])), "hi": F.lit(float(bounds[1]))})
-    ranges = ranges.withColumn("width", (F.col("hi") - F.col("lo")) / (THRESHOLDS - 1))
+    if bounds is not None:
+        ranked = ranked.withColumns({"lo": F.lit(float(bounds[0])), "hi": F.lit(float(bounds[1]))})
+    ranked = ranked.withColumn("width", (F.col("hi") - F.col("lo")) / (THRESHOLDS - 1))
     last = F.lit(THRESHOLDS - 1)
-    guess = F.when(
-        F.col("width") > 0, F.floor((F.col("score") - F.col("lo")) / F.when(F.col("width") > 0, F.col("width"))).cast("int")
-    ).otherwise(last)
-    binned = counts.join(ranges, group).withColumn("g", F.greatest(F.lit(0), F.least(last, guess)))
+    place = F.floor((F.col("score") - F.col("lo")) / F.when(F.col("width") > 0, F.col("width"))).cast("int")
+    binned = ranked.withColumn("g", F.greatest(F.lit(0), F.least(last, F.when(F.col("width") > 0, place).otherwise(last))))
     up = (F.col("g") < last) & (F.col("score") >= _threshold(F.col("g") + 1))
     down = F.col("score") < _threshold(F.col("g"))
-    binned = binned.withColumn("bin", F.when(up, F.col("g") + 1).when(down, F.col("g") - 1).otherwise(F.col("g")))
-    bins = binned.groupBy(*group, "bin").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    # An empty last bin stands for the thresholds above the highest score.
-    top = ranges.select(*group, last.alias("bin"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("n"))
-    bins = bins.unionByName(top).groupBy(*group, "bin").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    bins = (
+        binned.withColumn("bin", F.when(up, F.col("g") + 1).when(down, F.col("g") - 1).otherwise(F.col("g")))
+        .groupBy(*group, "p", "total", "lo", "hi", "width", "bin").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    )
     order = Window.partitionBy(*group).orderBy("bin")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    swept = bins.select(
-        *group,
-        (zero(F.lag("bin").over(order) + 1)).alias("first_bin"),
-        F.sum("pos").over(whole).alias("p"),
-        F.sum("n").over(whole).alias("total"),
-        zero(F.sum("pos").over(before)).alias("pos_below"),
-        zero(F.sum("n").over(before)).alias("n_below"),
+    swept = bins.withColumns(
+        {
+            "first_bin": zero(F.lag("bin").over(order) + 1),
+            "pos_below": zero(F.sum("pos").over(before)),
+            "n_below": zero(F.sum("n").over(before)),
+        }
     )
     right = F.col("p") - F.col("pos_below") + (F.col("n_below") - F.col("pos_below"))
-    best = F.max(F.struct((right / F.col("total")).alias("acc"), (-F.col("first_bin")).alias("neg")))
-    return (
-        swept.groupBy(*group).agg(best.alias("best")).join(ranges, group)
-        .select(*group, F.col("best.acc").alias("best_accuracy"), _threshold(-F.col("best.neg")).alias("best_threshold"))
-    )
+    # Thresholds above the highest score call every row negative.
+    above = F.when(F.max("bin") < last, F.struct(((F.max("total") - F.max("p")) / F.max("total")).alias("acc"), (-F.max("bin") - 1).alias("neg")))
+    best = F.greatest(F.max(F.struct((right / F.col("total")).alias("acc"), (-F.col("first_bin")).alias("neg"))), above)
+    found = swept.groupBy(*group, "lo", "hi", "width").agg(best.alias("best"))
+    return found.select(*group, F.col("best.acc").alias("best_accuracy"), _threshold(-F.col("best.neg")).alias("best_threshold"))
 
 
 def detector_report(scores: DataFrame, group: list[str] = GROUP, bounds: tuple[float, float] | None = None) -> DataFrame:
     """AUC, average precision, accuracy at the median score, best accuracy, class counts, AUC error."""
     ranked = materialize(cumulated(scores, group))
-    total = F.col("total")
-    sized = ranked.join(ranked.groupBy(*group).agg(F.max("seen").alias("total")), group)
-    # Ascending positions covered by a score: [total - seen, total - seen + n).
-    start, stop = total - F.col("seen"), total - F.col("seen") + F.col("n")
-    low, high = F.floor((total - 1) / 2), F.floor(total / 2)
-    covers = lambda i: F.when((i >= start) & (i < stop), F.col("score"))
-    summary = sized.groupBy(*group).agg(
+    total, p = F.col("total"), F.col("p")
+    # A score covers the ascending positions [total - seen, total - seen + n). The rows at or above
+    # the median are those from the upper middle position on.
+    middle = F.floor(total / 2)
+    start = total - F.col("seen")
+    at_middle = (middle >= start) & (middle < start + F.col("n"))
+    right = F.col("tp") + (total - p) - (F.col("seen") - F.col("tp"))
+    summary = ranked.groupBy(*group).agg(
         *_ranking_aggs(),
-        F.max("seen").alias("n_samples"),
-        F.max("tp").alias("n_halluc"),
-        ((F.max(covers(low)) + F.max(covers(high))) / 2).alias("median"),
-    )
-    right = F.when(F.col("score") >= F.col("median"), F.col("pos")).otherwise(F.col("n") - F.col("pos"))
-    at_median = (
-        ranked.join(summary.select(*group, "median"), group)
-        .groupBy(*group).agg((F.sum(right) / F.sum("n")).alias("accuracy"))
+        F.max("total").alias("n_samples"),
+        F.max("p").alias("n_halluc"),
+        F.max(F.when(at_middle, right / total)).alias("accuracy"),
     )
-    p, n = F.col("n_halluc"), F.col("n_samples")
+    positives, n = F.col("n_halluc"), F.col("n_samples")
     return (
-        summary.join(at_median, group).join(threshold_sweep(ranked, group, bounds), group)
+        summary.join(threshold_sweep(ranked, group, bounds), group)
         .select(
             *group, "roc_auc", "pr_auc", "accuracy", "best_accuracy", "best_threshold",
-            (p / n).alias("pos_rate"), "n_samples", "n_halluc", (n - p).alias("n_correct"),
-            auc_error(F.col("roc_auc"), p, n - p).alias("roc_auc_se"),
+            (positives / n).alias("pos_rate"), "n_samples", "n_halluc", (n - positives).alias("n_correct"),
+            auc_error(F.col("roc_auc"), positives, n - positives).alias("roc_auc_se"),
         )
     )
 

@@ -9,8 +9,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelab.functions.skew import hot_keys, skew_join
 from tracelab.functions.text import word_tokens
-from tracelab.session import KEY, materialize
+from tracelab.session import KEY, bounded, materialize
 
 # Floors of the token entropy, the cluster mass, the cluster entropy and the variant entropy.
 TOKEN_FLOOR = 1e-8
@@ -26,7 +27,7 @@ def token_entropy(dist: DataFrame, keys: list[str] = KEY) -> DataFrame:
 
 def map_tokens(dist: DataFrame, clusters: DataFrame) -> DataFrame:
     """Token to cluster; tokens without a cluster are dropped."""
-    return dist.join(clusters.select("token", "cluster"), "token")
+    return dist.join(bounded(clusters.select("token", "cluster")), "token")
 
 
 def cluster_rollup(dist: DataFrame, clusters: DataFrame, keys: list[str] = KEY) -> DataFrame:
@@ -62,7 +63,8 @@ def semantic_dispersion(dist: DataFrame, vectors: DataFrame, keys: list[str] = K
 
     The weighted vector sum is a partial aggregate, so dimensions are never exploded into rows.
     """
-    joined = dist.join(vectors.select("token", array_to_vector("vector").alias("vec")), "token")
+    packed = vectors.select("token", array_to_vector("vector").alias("vec"))
+    joined = skew_join(dist, packed, ["token"], keys)
     total = vector_to_array(Summarizer.sum(F.col("vec"), F.col("p")))
     return joined.groupBy(*keys).agg(total.alias("total")).select(
         *keys,
@@ -88,7 +90,7 @@ def cluster_variants(variants: DataFrame) -> DataFrame:
         "_key", F.when(blank, F.concat(F.lit("#"), F.col("variant_no").cast("string"))).otherwise(token_set_key())
     )
     firsts = keyed.groupBy(*KEY, "_key").agg(F.min("variant_no").alias("cluster"))
-    return keyed.join(firsts, [*KEY, "_key"]).drop("_key")
+    return skew_join(keyed, firsts, [*KEY, "_key"], ["variant_no"]).drop("_key")
 
 
 PairScorer = Callable[[DataFrame], DataFrame]
@@ -107,10 +109,11 @@ def greedy_clusters(variants: DataFrame, scorer: PairScorer) -> DataFrame:
     alone = variants.where(blank).select(*KEY, "variant_no", F.col("variant_no").alias("cluster"))
     spoken = variants.where(~blank).withColumn("_t", F.trim("text"))
     left = materialize(spoken.groupBy(*KEY, "_t").agg(F.min("variant_no").alias("no")))
+    hot = hot_keys(left, KEY)
     done = []
     while not left.isEmpty():
         reps = left.groupBy(*KEY).agg(F.min("no").alias("cluster"), F.min_by("_t", "no").alias("rep"))
-        pairs = left.join(reps, KEY)
+        pairs = skew_join(left, reps, KEY, ["_t"], hot=hot)
         same = F.col("no") == F.col("cluster")
         both = pairs.where(~same).select(
             *KEY, "_t", "no", "cluster",
@@ -131,7 +134,8 @@ def greedy_clusters(variants: DataFrame, scorer: PairScorer) -> DataFrame:
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
-    return spoken.join(found, [*KEY, "_t"]).select(*KEY, "variant_no", "cluster").unionByName(alone)
+    placed = skew_join(spoken, found, [*KEY, "_t"], ["variant_no"])
+    return placed.select(*KEY, "variant_no", "cluster").unionByName(alone)
 
 
 def token_set_scorer(pairs: DataFrame) -> DataFrame:
@@ -162,7 +166,7 @@ def python_scorer(score: Callable, schema: str = "double") -> PairScorer:
 def semantic_entropy(clustered: DataFrame) -> DataFrame:
     """-sum p ln(p + 1e-12) over the cluster shares of each sample."""
     sizes = clustered.groupBy(*KEY, "cluster").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.join(sizes.groupBy(*KEY).agg(F.sum("n").alias("total")), KEY)
+    sizes = skew_join(sizes, sizes.groupBy(*KEY).agg(F.sum("n").alias("total")), KEY, ["cluster"])
     share = F.col("n") / F.col("total")
     return sizes.groupBy(*KEY).agg((-F.sum(share * F.ln(share + VARIANT_FLOOR))).alias("semantic_entropy"))
 

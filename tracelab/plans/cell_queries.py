@@ -459,3 +459,28 @@ def cluster_rollup(spark, sf_dir):
 )
 def semantic_dispersion(spark, sf_dir):
     return sem.semantic_dispersion(dist(spark, sf_dir), token_vectors(spark, sf_dir))
+
+
+@query(
+    "f1_top_tokens",
+    fx.with_cells(
+        "SELECT run_id, sample_id, pos, m AS mean_entropy, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id, sample_id ORDER BY m DESC, pos DESC) AS rank "
+        "FROM (SELECT run_id, sample_id, pos, avg(entropy) AS m FROM plain GROUP BY ALL) AS t) AS u WHERE rank <= 3"),
+    "mean_entropy",
+)
+def top_tokens(spark, sf_dir):
+    from tracelab.operators.features import top_tokens as top
+
+    return top(fx.cells(spark, sf_dir), 3)
+
+
+@query(
+    "h19_log_exp_clamp",
+    fx.with_cells("SELECT run_id, sample_id, step, pos, ln(prob + 1e-10) AS log_prob, exp(-entropy) AS decay, greatest(0, 1 - 4 * entropy) AS clamped FROM plain"),
+    "log_prob decay clamped",
+)
+def log_exp_clamp(spark, sf_dir):
+    return fx.plain_cells(spark, sf_dir).select(
+        *KEY, "step", "pos", F.ln(F.col("prob") + 1e-10).alias("log_prob"), F.exp(-F.col("entropy")).alias("decay"),
+        F.greatest(F.lit(0.0), 1 - 4 * F.col("entropy")).alias("clamped"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelab.functions.ordering import row_numbers
 from tracelab.sources import trace
 
 STEPS = 8
@@ -105,13 +106,10 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns of a conversation as the answer variants of one sample."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    return turns.select(
+    return row_numbers(turns, ["conv_id"], "turn", name="no").select(
         F.lit(RUN_A).alias("run_id"),
         F.col("conv_id").alias("sample_id"),
-        (F.row_number().over(order) - 1).alias("variant_no"),
+        (F.col("no") - 1).cast("int").alias("variant_no"),
         "text",
     )
 

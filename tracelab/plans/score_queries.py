@@ -132,12 +132,12 @@ def _sweep_sql(lo, hi):
 
 @query("i4_threshold_sweep", _sweep_sql("min(score)", "max(score)"), "best_accuracy best_threshold")
 def threshold_sweep(spark, sf_dir):
-    return mt.threshold_sweep(mt.score_counts(detector_scores(spark, sf_dir)), mt.GROUP)
+    return mt.threshold_sweep(mt.cumulated(detector_scores(spark, sf_dir)))
 
 
 @query("i4_probability_sweep", _sweep_sql("0.0::DOUBLE", "1.0::DOUBLE"), "best_accuracy best_threshold")
 def probability_sweep(spark, sf_dir):
-    return mt.threshold_sweep(mt.score_counts(detector_scores(spark, sf_dir)), mt.GROUP, bounds=(0.0, 1.0))
+    return mt.threshold_sweep(mt.cumulated(detector_scores(spark, sf_dir)), bounds=(0.0, 1.0))
 
 
 SE = ("sqrt(greatest((a * (1 - a) + (p - 1) * (a / (2 - a) - a * a) + (q - 1) * (2 * a * a / (1 + a) - a * a)) / (p * q), 0))")
