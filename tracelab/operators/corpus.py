@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelab.functions.ordering import BUCKET, running_totals, seeded_hash
 from tracelab.functions.text import word_tokens
+from tracelab.session import spread, written
 
 # The label id that a loss ignores and the columns that hold one entry per token.
 IGNORED = -100
@@ -18,11 +19,18 @@ TOKEN_COLUMNS = ["input_ids", "labels", "attention_mask"]
 
 
 def hashed_ids(text: Column, vocab_size: int = 50_000) -> Column:
-    """Default tokenizer hook: each word's id from the first 32 bits of its MD5."""
-    return F.transform(
-        word_tokens(text),
-        lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % vocab_size).cast("int"),
-    )
+    """Default tokenizer hook: each word's id is its CRC-32 modulo the vocabulary size."""
+    return F.transform(word_tokens(text), lambda w: (F.crc32(w) % vocab_size).cast("int"))
+
+
+def tokenized(docs: DataFrame, text: str = "text", tokenizer=hashed_ids) -> DataFrame:
+    """``ids`` and ``n_tokens`` of each text, written once.
+
+    Packing reads the counts and then the ids; written columns spare it tokenizing twice, and the
+    counts can be read without the ids.
+    """
+    rest = [c for c in docs.columns if c != text]
+    return written(spread(docs).select(*rest, tokenizer(F.col(text)).alias("ids")).withColumn("n_tokens", F.size("ids")))
 
 
 def present(rows: DataFrame) -> list[str]:
@@ -238,10 +246,12 @@ def pack_tokens(
     ``length`` tokens, however large its group is. ``labels`` equal the ids.
     """
     ids = F.col("ids")
+    n = F.col("n_tokens") if "n_tokens" in docs.columns else F.size(ids)
     if end_id is not None:
         ended = F.coalesce(F.get(ids, F.size(ids) - 1) == end_id, F.lit(False))
         ids = F.when(ended, ids).otherwise(F.concat(ids, F.array(F.lit(end_id))))
-    sized = docs.select(group, ordinal, ids.alias("ids")).withColumn("n", F.size("ids").cast("bigint")).where("n > 0")
+        n = F.size(ids)
+    sized = docs.select(group, ordinal, ids.alias("ids"), n.cast("bigint").alias("n")).where("n > 0")
     placed = running_totals(sized, [group], ordinal, {"n": "stop"}).withColumn("start", F.col("stop") - F.col("n"))
     chunks = F.sequence(F.floor(F.col("start") / length), F.floor((F.col("stop") - 1) / length))
     pieces = placed.select(group, "start", "ids", "n", F.explode(chunks).alias("chunk"))

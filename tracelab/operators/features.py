@@ -48,27 +48,28 @@ def select_features(features: DataFrame, names: list[str]) -> tuple[DataFrame, l
     return features.select(*KEY, *known), [n for n in names if n not in features.columns]
 
 
-def _masked_stats(value: str, when: Column, tag: str) -> list[Column]:
-    picked = F.when(when, F.col(value))
-    return [
-        F.count(picked).alias(f"n_{tag}"),
-        F.sum(picked).alias(f"sum_{tag}"),
-        F.var_pop(picked).alias(f"var_{tag}"),
-    ]
+def _subset(value: str, when: Column | None, tag: str) -> list[Column]:
+    picked = F.col(value) if when is None else F.when(when, F.col(value))
+    return [F.sum(picked).alias(f"sum_{tag}"), F.var_pop(picked).alias(f"var_{tag}")]
 
 
 def step_stats(cells: DataFrame) -> DataFrame:
     """One row per (sample, step): counts, sums and variances of every cell subset in use."""
     masked, revealed = F.col("masked_in"), F.col("just_unmasked")
-    aggs = [F.count(F.lit(1)).alias("n_cells")]
+    aggs = [
+        F.count(F.lit(1)).alias("n"), F.count_if(masked).alias("n_masked"), F.count_if(revealed).alias("n_ju"),
+    ]
+    unpadded = masked & ~F.col("padding") if "padding" in cells.columns else None
+    if unpadded is not None:
+        aggs.append(F.count_if(unpadded).alias("n_nopad"))
     for value, tag in (("entropy", "e"), ("prob", "p")):
-        aggs += _masked_stats(value, F.lit(True), tag)
-        aggs += _masked_stats(value, masked, f"{tag}_masked")
-        aggs += _masked_stats(value, revealed, f"{tag}_ju")
+        aggs += _subset(value, None, tag)
+        aggs += _subset(value, masked, f"{tag}_masked")
+        aggs += _subset(value, revealed, f"{tag}_ju")
         aggs.append(F.min_by(value, F.when(revealed, F.col("pos"))).alias(f"first_{tag}_ju"))
         aggs.append(F.avg(F.ln(F.col(value) + LOG_FLOOR)).alias(f"ln_{tag}"))
-        if "padding" in cells.columns:
-            aggs += _masked_stats(value, masked & ~F.col("padding"), f"{tag}_nopad")
+        if unpadded is not None:
+            aggs += _subset(value, unpadded, f"{tag}_nopad")
     return cells.groupBy(*KEY, "step").agg(*aggs)
 
 
@@ -77,9 +78,9 @@ def _ratio(total: str, count: str) -> Column:
     return F.coalesce(F.sum(total), F.lit(0.0)) / F.greatest(F.sum(count), F.lit(1))
 
 
-def _mean_variance(tag: str) -> Column:
+def _mean_variance(variance: str, count: str) -> Column:
     """Mean over steps of the variance, steps with fewer than two cells left out; 0 if none is left."""
-    return F.coalesce(F.avg(F.when(F.col(f"n_{tag}") > 1, F.col(f"var_{tag}"))), F.lit(0.0))
+    return F.coalesce(F.avg(F.when(F.col(count) > 1, F.col(variance))), F.lit(0.0))
 
 
 def _variance_without_first(tag: str) -> Column:
@@ -88,12 +89,12 @@ def _variance_without_first(tag: str) -> Column:
     Step variances are merged around the sample mean, then one value is taken out again; neither
     step subtracts large squares.
     """
-    n = F.sum(f"n_{tag}")
+    count, total = F.col("n_ju"), F.col(f"sum_{tag}")
+    n = F.sum("n_ju")
     mean = F.max(f"mean_{tag}")
-    spread = F.sum(
-        F.col(f"n_{tag}") * (F.col(f"var_{tag}") + F.pow(F.col(f"sum_{tag}") / F.col(f"n_{tag}") - F.col(f"mean_{tag}"), 2))
-    )
-    first = F.min_by(f"first_{tag}", F.when(F.col(f"n_{tag}") > 0, F.col("step")))
+    around = F.pow(total / F.when(count > 0, count) - F.col(f"mean_{tag}"), 2)
+    spread = F.sum(count * (F.col(f"var_{tag}") + around))
+    first = F.min_by(f"first_{tag}", F.when(count > 0, F.col("step")))
     rest = F.when(n > 1, n - 1)
     return F.greatest((spread - (first - mean) * (first - (n * mean - first) / rest)) / rest, F.lit(0.0))
 
@@ -101,73 +102,93 @@ def _variance_without_first(tag: str) -> Column:
 def variance_curve(steps: DataFrame) -> DataFrame:
     """V(t): masked variance by step over the steps with two masked cells or more, re-numbered k = 0.."""
     order = Window.partitionBy(*KEY).orderBy("step")
-    return steps.where("n_e_masked > 1").select(
+    return steps.where("n_masked > 1").select(
         *KEY, "step", (F.row_number().over(order) - 1).alias("k"), F.col("var_e_masked").alias("v")
     )
 
 
-def _with_curve(steps: DataFrame) -> DataFrame:
-    """V(t) columns next to the step rows; NULL on steps that the curve leaves out."""
-    on_curve = F.coalesce(F.col("n_e_masked") > 1, F.lit(False))
-    out = steps.withColumn("on_curve", on_curve)
-    order = Window.partitionBy(*KEY, "on_curve").orderBy("step")
-    whole = Window.partitionBy(*KEY, "on_curve")
-    out = out.withColumns(
-        {
-            "v": F.when(F.col("on_curve"), F.col("var_e_masked")),
-            "k": F.when(F.col("on_curve"), F.row_number().over(order) - 1),
-        }
-    )
-    out = out.withColumns(
-        {"v_next": F.lead("v").over(order), "dv": gradient("v", order), "v_max": F.max("v").over(whole)}
-    )
-    return out.withColumn("d2v", gradient("dv", order))
-
-
 def gradient(name: str, order) -> Column:
     """Central difference with unit spacing, one-sided at both ends, NULL for a single point."""
-    here, before, after = F.col(name), F.lag(name).over(order), F.lead(name).over(order)
+    return _difference(F.col(name), F.lag(name).over(order), F.lead(name).over(order))
+
+
+def _difference(here: Column, before: Column, after: Column) -> Column:
     return F.when(before.isNull(), after - here).when(after.isNull(), here - before).otherwise((after - before) / 2)
 
 
+def _on_curve(name: str, way: str) -> Column:
+    """Neighbour of a value on the compacted curve: the next row of the sample where it is not NULL."""
+    keys = ", ".join(KEY)
+    return F.expr(f"{way}({name}) IGNORE NULLS OVER (PARTITION BY {keys} ORDER BY step)")
+
+
 def static_features(cells: DataFrame) -> DataFrame:
     return static_from_steps(step_stats(cells)).join(token_variances(cells), KEY)
 
 
 def static_from_steps(steps: DataFrame) -> DataFrame:
     """Every static feature except the four token variances."""
-    return _curve_columns(steps).groupBy(*KEY).agg(*_static_aggs("n_e_nopad" in steps.columns))
+    return _curve_columns(steps).groupBy(*KEY).agg(*_static_aggs("n_nopad" in steps.columns))
 
 
 def _curve_columns(steps: DataFrame) -> DataFrame:
-    """Step rows with sample-wide means, rates of change and the V(t) curve alongside."""
+    """Step rows with sample-wide means, rates of change and the V(t) curve alongside.
+
+    The curve keeps its step rows: v is NULL where a step has fewer than two masked cells, and
+    neighbours skip NULLs. So all windows share one sort by (sample, step).
+    """
     order = Window.partitionBy(*KEY).orderBy("step")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*KEY)
-    out = steps
-    for tag in ("e_ju", "p_ju"):
-        total, n = F.sum(f"sum_{tag}").over(whole), F.sum(f"n_{tag}").over(whole)
-        out = out.withColumn(f"mean_{tag}", F.when(n > 0, total / n))
-    step_mean = F.col("sum_e") / F.col("n_e")
-    out = out.withColumns({"mean_e": step_mean, "last_step": F.max("step").over(whole)})
-    ahead = F.lead("mean_e", TAU_WINDOW).over(order)
+    out = steps.withColumns(
+        {"mean_e": F.col("sum_e") / F.col("n"), "v": F.when(F.col("n_masked") > 1, F.col("var_e_masked"))}
+    )
+    here = F.col("v").isNotNull()
+    out = out.withColumns(
+        {
+            "ahead": F.lead("mean_e", TAU_WINDOW).over(order),
+            "k": F.when(here, F.count("v").over(so_far) - 1).cast("int"),
+            "v_next": F.when(here, _on_curve("v", "lead")),
+            "v_before": F.when(here, _on_curve("v", "lag")),
+        }
+    )
+    out = out.withColumn("dv", F.when(here, _difference(F.col("v"), F.col("v_before"), F.col("v_next"))))
+    second = _difference(F.col("dv"), _on_curve("dv", "lag"), _on_curve("dv", "lead"))
+    out = out.withColumn("d2v", F.when(F.col("dv").isNotNull(), second))
+    out = out.withColumns(
+        {
+            "v_max": F.max("v").over(whole),
+            "last_step": F.max("step").over(whole),
+            "n_ju_all": F.sum("n_ju").over(whole),
+            "sum_e_ju_all": F.sum("sum_e_ju").over(whole),
+            "sum_p_ju_all": F.sum("sum_p_ju").over(whole),
+        }
+    )
+    revealed = F.when(F.col("n_ju_all") > 0, F.col("n_ju_all"))
     in_window = (F.col("step") % TAU_WINDOW == 0) & (F.col("step") < F.col("last_step") + 1 - TAU_WINDOW)
-    return _with_curve(out.withColumn("tau", F.when(in_window, (ahead - F.col("mean_e")) / TAU_WINDOW)))
+    return out.withColumns(
+        {
+            "mean_e_ju": F.col("sum_e_ju_all") / revealed,
+            "mean_p_ju": F.col("sum_p_ju_all") / revealed,
+            "tau": F.when(in_window, (F.col("ahead") - F.col("mean_e")) / TAU_WINDOW),
+        }
+    )
 
 
 def _static_aggs(no_padding: bool) -> list[Column]:
     """Sample aggregates over the step rows; skewness and kurtosis are Spark's population forms."""
     aggs = [
-        (F.sum("sum_e") / F.sum("n_e")).alias("MeanEntropy"),
-        _ratio("sum_e_masked", "n_e_masked").alias("MeanMaskedEntropy"),
+        (F.sum("sum_e") / F.sum("n")).alias("MeanEntropy"),
+        _ratio("sum_e_masked", "n_masked").alias("MeanMaskedEntropy"),
         F.coalesce(F.max("mean_e_ju"), F.lit(0.0)).alias("MeanEntropyJustUnmasked"),
-        (F.sum("sum_p") / F.sum("n_p")).alias("MeanLogProb"),
-        _ratio("sum_p_masked", "n_p_masked").alias("MeanLogProbMasked"),
+        (F.sum("sum_p") / F.sum("n")).alias("MeanLogProb"),
+        _ratio("sum_p_masked", "n_masked").alias("MeanLogProbMasked"),
         F.coalesce(F.max("mean_p_ju"), F.lit(0.0)).alias("MeanLogProbJustUnmasked"),
         F.avg("var_e").alias("VarEntropyAcrossTokens"),
-        _mean_variance("e_masked").alias("VarMaskedEntropyAcrossTokens"),
+        _mean_variance("var_e_masked", "n_masked").alias("VarMaskedEntropyAcrossTokens"),
         _variance_without_first("e_ju").alias("VarEntropyJustUnmasked"),
         F.avg("var_p").alias("VarLogProbAcrossTokens"),
-        _mean_variance("p_masked").alias("VarLogProbMaskedAcrossTokens"),
+        _mean_variance("var_p_masked", "n_masked").alias("VarLogProbMaskedAcrossTokens"),
         _variance_without_first("p_ju").alias("VarLogProbJustUnmasked"),
         F.avg("tau").alias("MeanVarTauEntropy"),
         F.var_pop("tau").alias("VarTauEntropy"),
@@ -180,10 +201,10 @@ def _static_aggs(no_padding: bool) -> list[Column]:
     ]
     if no_padding:
         aggs += [
-            _ratio("sum_e_nopad", "n_e_nopad").alias("MeanMaskedEntropyNoPad"),
-            _mean_variance("e_nopad").alias("VarMaskedEntropyAcrossTokensNoPad"),
-            _ratio("sum_p_nopad", "n_p_nopad").alias("MeanLogProbMaskedNoPad"),
-            _mean_variance("p_nopad").alias("VarLogProbMaskedAcrossTokensNoPad"),
+            _ratio("sum_e_nopad", "n_nopad").alias("MeanMaskedEntropyNoPad"),
+            _mean_variance("var_e_nopad", "n_nopad").alias("VarMaskedEntropyAcrossTokensNoPad"),
+            _ratio("sum_p_nopad", "n_nopad").alias("MeanLogProbMaskedNoPad"),
+            _mean_variance("var_p_nopad", "n_nopad").alias("VarLogProbMaskedAcrossTokensNoPad"),
         ]
     return aggs
 
@@ -191,20 +212,27 @@ def _static_aggs(no_padding: bool) -> list[Column]:
 def token_variances(cells: DataFrame) -> DataFrame:
     """Variances over steps by position, averaged over positions."""
     masked = F.col("masked_in")
-    aggs = []
+    aggs = [F.count_if(masked).alias("n_masked")]
     for value, tag in (("entropy", "e"), ("prob", "p")):
-        aggs += _masked_stats(value, F.lit(True), tag) + _masked_stats(value, masked, f"{tag}_masked")
+        aggs.append(F.var_pop(value).alias(f"var_{tag}"))
+        aggs.append(F.var_pop(F.when(masked, F.col(value))).alias(f"var_{tag}_masked"))
     tokens = cells.groupBy(*KEY, "pos").agg(*aggs)
     return tokens.groupBy(*KEY).agg(
         F.avg("var_e").alias("VarEntropy"),
-        _mean_variance("e_masked").alias("VarMaskedEntropy"),
+        _mean_variance("var_e_masked", "n_masked").alias("VarMaskedEntropy"),
         F.avg("var_p").alias("VarLogProb"),
-        _mean_variance("p_masked").alias("VarLogProbMasked"),
+        _mean_variance("var_p_masked", "n_masked").alias("VarLogProbMasked"),
     )
 
 
 def _fit(y: str, slope: str, intercept: str) -> list[Column]:
-    return [F.regr_slope(y, "step").alias(slope), F.regr_intercept(y, "step").alias(intercept)]
+    """Least squares of a column without NULLs on the step.
+
+    Written out so that all fits of a grouping share the mean and variance of the step.
+    """
+    spread = F.var_pop("step")
+    rise = F.covar_pop(y, "step") / F.when(spread > 0, spread)
+    return [rise.alias(slope), (F.avg(y) - rise * F.avg("step")).alias(intercept)]
 
 
 def _log_fit_aggs() -> list[Column]:
@@ -282,7 +310,7 @@ def curve_fits(curve: DataFrame) -> DataFrame:
 
 
 def _with_mean_curve(steps: DataFrame) -> DataFrame:
-    return _curve_logs(steps.withColumn("y", F.col("sum_e") / F.col("n_e")))
+    return _curve_logs(steps.withColumn("y", F.col("sum_e") / F.col("n")))
 
 
 def dynamic_features(cells: DataFrame, k_tokens: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelab.functions.ordering import row_numbers
+from tracelab.session import written
 from tracelab.sources import trace
 
 STEPS = 8
@@ -104,14 +105,15 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns of a conversation as the answer variants of one sample."""
+    """Assistant turns of a conversation as the answer variants of one sample, as a stored table."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return row_numbers(turns, ["conv_id"], "turn", name="no").select(
+    numbered = row_numbers(turns, ["conv_id"], "turn", name="no").select(
         F.lit(RUN_A).alias("run_id"),
         F.col("conv_id").alias("sample_id"),
         (F.col("no") - 1).cast("int").alias("variant_no"),
         "text",
     )
+    return written(numbered)
 
 
 # ------------------------------------------------------------------ the same tables in SQL

@@ -13,7 +13,7 @@ from tracelab.plans import fixtures as fx
 from tracelab.plans.cell_queries import scratch
 from tracelab.plans.feature_queries import BYSTEP
 from tracelab.plans.registry import query
-from tracelab.session import KEY
+from tracelab.session import KEY, spread
 from tracelab.sources import judged as jd
 from tracelab.sources import runs as rn
 
@@ -637,7 +637,7 @@ def frequency(spark, sf_dir):
     """Each document as a selection record, its words as the selected features."""
     from tracelab.operators.selection import feature_frequency
 
-    records = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("config"), tx.word_tokens(F.col("text")).alias("selected"))
+    records = spread(fx.table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("config"), tx.word_tokens(F.col("text")).alias("selected"))
     return feature_frequency(records)
 
 

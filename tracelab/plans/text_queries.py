@@ -13,7 +13,7 @@ from tracelab.operators import semantic as sem
 from tracelab.plans import fixtures as fx
 from tracelab.plans.cell_queries import scratch
 from tracelab.plans.registry import query
-from tracelab.session import KEY
+from tracelab.session import KEY, spread
 from tracelab.streaming import corpus as stream
 
 WORDS = "list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> '')"
@@ -265,7 +265,12 @@ def judge_route(spark, sf_dir):
 
 # ---------------------------------------------------------------- corpus rows
 
-HASHED = "list_transform(" + WORDS + ", lambda w: (('0x' || left(md5(w), 8))::BIGINT % 50000)::INT)"
+# CRC-32 of an ASCII word, bit by bit.
+CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(w) + 1), lambda p: ascii(substr(w, p, 1))::BIGINT)), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+)
+HASHED = "list_transform(" + WORDS + f", lambda w: ({CRC} % 50000)::INT)"
 ROWS = f"""rows AS (SELECT doc_id, ids AS input_ids, list_transform(ids, lambda x, i: CASE WHEN i <= least(len(ids), doc_id % 40) THEN -100 ELSE x END) AS labels,
   list_transform(ids, lambda x: 1) AS attention_mask, (least(len(ids), doc_id % 40))::INT AS prompt_len FROM (SELECT doc_id, {HASHED.format(c='text')} AS ids FROM documents) AS t)"""
 
@@ -281,7 +286,7 @@ def rows(df):
 
 
 def doc_rows(spark, sf_dir):
-    return rows(fx.table(spark, sf_dir, "documents"))
+    return rows(spread(fx.table(spark, sf_dir, "documents")))
 
 
 R = f"WITH {ROWS}"
@@ -289,7 +294,7 @@ R = f"WITH {ROWS}"
 
 @query("k4_default_tokenizer", f"SELECT doc_id, {HASHED.format(c='text')} AS ids FROM documents")
 def default_tokenizer(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select("doc_id", cp.hashed_ids(F.col("text")).alias("ids"))
+    return spread(fx.table(spark, sf_dir, "documents")).select("doc_id", cp.hashed_ids(F.col("text")).alias("ids"))
 
 
 @query("b14_clip_right", f"{R} SELECT doc_id, input_ids[1:20] AS input_ids, labels[1:20] AS labels, attention_mask[1:20] AS attention_mask FROM rows")
@@ -460,7 +465,7 @@ def _pack_sql(length, drop_tail, end_id=None):
 
 
 def packed(spark, sf_dir, **options):
-    docs = fx.table(spark, sf_dir, "documents").select("lang", "doc_id", cp.hashed_ids(F.col("text")).alias("ids"))
+    docs = cp.tokenized(fx.table(spark, sf_dir, "documents").select("lang", "doc_id", "text"))
     return cp.pack_tokens(docs, 128, "lang", "doc_id", **options)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,15 +29,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="tracelab-checkpoint-")
+    if context.getCheckpointDir() is None:
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracelab-checkpoint-"))
+    return named or context.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -45,12 +44,27 @@ def materialize(df: DataFrame) -> DataFrame:
     Used where a plan needs several passes over an expensive input (quantile splits, then totals,
     then rows); the files outlive lost executors.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``materialize``, but as a Parquet table in the shared folder: for wide tables of which a
+    later pass reads a few columns."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when the input has fewer splits than cores (one small file);
+    a table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def bounded(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """Materialize a small table and hint its broadcast only when its counted rows fit the bound."""
     kept = materialize(df)
