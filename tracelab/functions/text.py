@@ -7,6 +7,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Characters that Python counts as white space.
+WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends (``trim`` takes blanks only)."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def word_tokens(text: Column) -> Column:
     """Lower-case ASCII words; every other character separates words."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
@@ -68,7 +80,7 @@ def visible_token(token: Column) -> Column:
     escaped = token
     for raw, spelled in (("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
         escaped = F.replace(escaped, F.lit(raw), F.lit(spelled))
-    blank = F.regexp_replace(token, r"\s+", "") == ""
+    blank = strip(token) == ""
     return out.when(blank, F.concat(F.lit("['"), escaped, F.lit("']"))).otherwise(token)
 
 
@@ -93,17 +105,17 @@ def spec_options(spec: Column) -> tuple[Column, Column]:
     Bracket entries win over outer ones; whole numbers lose their underscores; an entry without a
     colon raises.
     """
-    text = F.trim(spec)
+    text = strip(spec)
     bracket = F.regexp_extract(text, r"\[(.*?)\]$", 1)
     outer = F.rtrim(F.regexp_replace(text, r"\[.*?\]$", ""))
-    entries = F.filter(F.transform(F.split(bracket, ","), lambda e: F.trim(e)), lambda e: e != "")
+    entries = F.filter(F.transform(F.split(bracket, ","), strip), lambda e: e != "")
 
     def pair(e: Column) -> Column:
-        value = F.trim(F.substring_index(F.regexp_replace(e, r"^[^:]*:", "\u0001"), "\u0001", -1))
+        value = strip(F.substring_index(F.regexp_replace(e, r"^[^:]*:", "\u0001"), "\u0001", -1))
         number = F.when(value.rlike(r"^\d(?:_?\d)*$"), F.replace(value, F.lit("_"), F.lit(""))).otherwise(value)
         bad = F.raise_error(F.concat(F.lit("expected key:value, found "), e))
         return F.when(F.instr(e, ":") == 0, bad.cast("string")).otherwise(
-            F.concat(F.trim(F.substring_index(e, ":", 1)), F.lit("\u0002"), number)
+            F.concat(strip(F.substring_index(e, ":", 1)), F.lit("\u0002"), number)
         )
 
     has_outer = F.contains(outer, F.lit("="))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelab.operators.features import at_least_zero
 from tracelab.session import KEY, bounded
 
 PLACE = ["step", "pos"]
@@ -43,7 +44,7 @@ def ar1_fit(
         F.stddev_pop(x).alias("spread"),
     )
     some = F.when(F.col("sxx") > 0, F.col("sxx"))
-    left = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / some, F.lit(0.0))
+    left = at_least_zero(F.col("syy") - F.col("sxy") * F.col("sxy") / some)
     zero = F.col("step") == 0
     if no_padding:
         zero = zero | (F.col("n") <= FEWEST)

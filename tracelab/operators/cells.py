@@ -35,7 +35,7 @@ def h_score(cells: DataFrame) -> DataFrame:
     return cells.withColumns(
         {
             "h_score": h,
-            "remask_prob": F.greatest(F.lit(0.0), F.least(F.lit(1.0), h)),
+            "remask_prob": F.when(h < 0, F.lit(0.0)).when(h > 1, F.lit(1.0)).otherwise(h),
             "remask_candidate": (h > 0) & ~F.col("masked"),
         }
     )

@@ -96,7 +96,12 @@ def _variance_without_first(tag: str) -> Column:
     spread = F.sum(count * (F.col(f"var_{tag}") + around))
     first = F.min_by(f"first_{tag}", F.when(count > 0, F.col("step")))
     rest = F.when(n > 1, n - 1)
-    return F.greatest((spread - (first - mean) * (first - (n * mean - first) / rest)) / rest, F.lit(0.0))
+    return at_least_zero((spread - (first - mean) * (first - (n * mean - first) / rest)) / rest)
+
+
+def at_least_zero(value: Column) -> Column:
+    """Rounding below zero taken away; NULL stays NULL, which ``greatest`` would turn into 0."""
+    return F.when(value < 0, F.lit(0.0)).otherwise(value)
 
 
 def variance_curve(steps: DataFrame) -> DataFrame:

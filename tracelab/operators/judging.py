@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelab.functions.text import strip
 from tracelab.operators.labels import fixed_batches
 
 Judge = Callable[[DataFrame], DataFrame]
@@ -26,19 +27,19 @@ EMPTY_TEXT = "Empty input text"
 def flat_labels(label: str = "label", nested: bool = False, single: bool = False) -> Column:
     """Trimmed answer list from a string, a list, or a list of lists (first entry of each)."""
     if single:
-        return F.array(F.trim(F.col(label)))
+        return F.array(strip(F.col(label)))
     if nested:
-        return F.transform(F.filter(label, lambda g: F.size(g) > 0), lambda g: F.trim(g[0]))
-    return F.transform(label, lambda a: F.trim(a))
+        return F.transform(F.filter(label, lambda g: F.size(g) > 0), lambda g: strip(g[0]))
+    return F.transform(label, strip)
 
 
 def _fields() -> Column:
     aliases = F.slice("labels", F.lit(2), F.greatest(F.size("labels") - 1, F.lit(0)))
     return F.concat(
-        F.lit("Question: "), F.trim(F.coalesce("question", F.lit(""))),
+        F.lit("Question: "), strip(F.coalesce("question", F.lit(""))),
         F.lit("\nExpected answer: "), F.coalesce(F.get("labels", F.lit(0)), F.lit("")),
         F.when(F.size(aliases) > 0, F.concat(F.lit("\nAlso accepted: "), F.concat_ws("; ", aliases))).otherwise(F.lit("")),
-        F.lit("\nGiven answer: "), F.trim(F.coalesce("answer", F.lit(""))),
+        F.lit("\nGiven answer: "), strip(F.coalesce("answer", F.lit(""))),
     )
 
 
@@ -58,7 +59,7 @@ def batch_prompts(batched: DataFrame, instruction: str = "Judge each item. Reply
 
 
 def _verdict(raw: Column) -> Column:
-    word = F.lower(F.trim(raw))
+    word = F.lower(strip(raw))
     return F.when(word.isin(VERDICTS), word).otherwise("unclear")
 
 
@@ -71,12 +72,12 @@ def parse_reply(reply: str = "reply") -> Column:
     has = F.coalesce(F.array_contains(keys, "judgment"), F.lit(False))
     said = F.when(F.array_contains(keys, "explanation"), parsed["explanation"]).otherwise(F.lit(NO_EXPLANATION))
     judgment = (
-        F.when(text.isNull() | (text == ""), "unclear").when(F.trim(text) == "", "false")
+        F.when(text.isNull() | (text == ""), "unclear").when(strip(text) == "", "false")
         .when(has, _verdict(parsed["judgment"])).otherwise("unclear")
     )
     explanation = (
-        F.when(text.isNull() | (text == ""), INVALID_TEXT).when(F.trim(text) == "", EMPTY_TEXT)
-        .when(has, said).otherwise(F.trim(text))
+        F.when(text.isNull() | (text == ""), INVALID_TEXT).when(strip(text) == "", EMPTY_TEXT)
+        .when(has, said).otherwise(strip(text))
     )
     return F.struct(judgment.alias("judgment"), explanation.alias("explanation"))
 
@@ -105,7 +106,7 @@ def verdict_label(judgment: Column) -> Column:
 
 
 def is_empty(answer: str = "answer") -> Column:
-    return F.trim(F.coalesce(F.col(answer), F.lit(""))) == ""
+    return strip(F.coalesce(F.col(answer), F.lit(""))) == ""
 
 
 def judge_answers(answers: DataFrame, judge_batch: Judge, judge_single: Judge, batch_size: int = 32) -> DataFrame:
@@ -136,7 +137,7 @@ def judge_answers(answers: DataFrame, judge_batch: Judge, judge_single: Judge, b
 def exact_match(answers: DataFrame) -> DataFrame:
     """The default judge: the trimmed lower-case answer equals one of the accepted ones."""
     wanted = F.transform("labels", lambda a: F.lower(a))
-    hit = F.array_contains(wanted, F.lower(F.trim("answer")))
+    hit = F.array_contains(wanted, F.lower(strip(F.col("answer"))))
     return answers.withColumn("judgment", F.when(hit, "true").otherwise("false"))
 
 

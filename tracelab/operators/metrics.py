@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.functions.ordering import running_totals
+from tracelab.operators.features import at_least_zero
 from tracelab.session import materialize
 
 GROUP = ["run_id", "score_name"]
@@ -155,7 +156,7 @@ def auc_error(auc: Column, n_pos: Column, n_neg: Column) -> Column:
     square = auc * auc
     above = (n_pos - 1) * (auc / (2 - auc) - square)
     below = (n_neg - 1) * (2 * square / (1 + auc) - square)
-    return F.sqrt(F.greatest((auc * (1 - auc) + above + below) / pairs, F.lit(0.0)))
+    return F.sqrt(at_least_zero((auc * (1 - auc) + above + below) / pairs))
 
 
 def confusion(scores: DataFrame, threshold: float = 0.5, group: list[str] = GROUP) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelab.functions.text import strip
 from tracelab.session import KEY
 
 # Columns filled only where empty, columns that hold fitted scores, the out-of-pool mark.
@@ -91,7 +92,7 @@ def sync_split(scores: DataFrame, pool: DataFrame) -> DataFrame:
     return joined.withColumns(
         {
             "in_scores": F.coalesce("in_scores", F.lit(False)),
-            "old_split": F.coalesce(F.trim("old_split"), F.lit("")),
+            "old_split": F.coalesce(strip(F.col("old_split")), F.lit("")),
             "split": F.coalesce("pool_split", F.lit(OUT_OF_POOL)),
         }
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelab.functions.skew import hot_keys, skew_join
-from tracelab.functions.text import word_tokens
+from tracelab.functions.text import strip, word_tokens
 from tracelab.session import KEY, bounded, materialize
 
 # Floors of the token entropy, the cluster mass, the cluster entropy and the variant entropy.
@@ -85,7 +85,7 @@ def cluster_variants(variants: DataFrame) -> DataFrame:
     Equal word sets are an equivalence relation, so the greedy order does not matter and a group-by
     on the set replaces all pair comparisons. Blank texts stay alone.
     """
-    blank = F.trim("text") == ""
+    blank = strip(F.col("text")) == ""
     keyed = variants.withColumn(
         "_key", F.when(blank, F.concat(F.lit("#"), F.col("variant_no").cast("string"))).otherwise(token_set_key())
     )
@@ -105,9 +105,9 @@ def greedy_clusters(variants: DataFrame, scorer: PairScorer) -> DataFrame:
     the representatives in order for each text, with one representative per sample and round
     instead of all pairs. Repeats of a text follow its first occurrence; blank texts stay alone.
     """
-    blank = F.trim("text") == ""
+    blank = strip(F.col("text")) == ""
     alone = variants.where(blank).select(*KEY, "variant_no", F.col("variant_no").alias("cluster"))
-    spoken = variants.where(~blank).withColumn("_t", F.trim("text"))
+    spoken = variants.where(~blank).withColumn("_t", strip(F.col("text")))
     left = materialize(spoken.groupBy(*KEY, "_t").agg(F.min("variant_no").alias("no")))
     hot = hot_keys(left, KEY)
     done = []

@@ -146,7 +146,7 @@ def results_with_default(spark, sf_dir):
 
 ANSWERS = f"""answers AS (SELECT '{fx.RUN_A}' AS run_id, doc_id AS index, doc_id AS ordinal, string_split(text, chr(10))[1] AS question, [lang, ' ' || source || ' '] AS label,
   CASE doc_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN lang WHEN 2 THEN upper(source) ELSE left(text, 12) END AS answer FROM documents)"""
-VERDICT = "CASE WHEN trim(answer) = '' THEN 'yes' WHEN lower(trim(answer)) IN (lang_, source_) THEN 'no' ELSE 'yes' END"
+VERDICT = "CASE WHEN trim(answer, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'yes' WHEN lower(trim(answer, ' ' || chr(9) || chr(10) || chr(13))) IN (lang_, source_) THEN 'no' ELSE 'yes' END"
 
 
 def answers(spark, sf_dir):
@@ -161,8 +161,8 @@ def answers(spark, sf_dir):
 
 @query(
     "h8_single_prompt",
-    f"WITH {ANSWERS} SELECT index, 'Judge the given answer. Reply with JSON.' || chr(10) || chr(10) || 'Question: ' || trim(question) || chr(10) || 'Expected answer: ' || trim(label[1]) || chr(10) || "
-    "'Also accepted: ' || trim(label[2]) || chr(10) || 'Given answer: ' || trim(answer) AS prompt FROM answers",
+    f"WITH {ANSWERS} SELECT index, 'Judge the given answer. Reply with JSON.' || chr(10) || chr(10) || 'Question: ' || trim(question, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || 'Expected answer: ' || trim(label[1], ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || "
+    "'Also accepted: ' || trim(label[2], ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || 'Given answer: ' || trim(answer, ' ' || chr(9) || chr(10) || chr(13)) AS prompt FROM answers",
 )
 def single_prompt(spark, sf_dir):
     return jg.single_prompts(answers(spark, sf_dir)).select("index", "prompt")
@@ -171,8 +171,8 @@ def single_prompt(spark, sf_dir):
 @query(
     "h9_batch_prompt",
     f"WITH {ANSWERS}, b AS (SELECT *, (row_number() OVER (ORDER BY ordinal) - 1) // 32 AS batch, (row_number() OVER (ORDER BY ordinal) - 1) % 32 AS slot FROM answers) "
-    "SELECT run_id, batch, 'Judge each item. Reply with a JSON list.' || chr(10) || chr(10) || string_agg('Item ' || slot || chr(10) || 'Question: ' || trim(question) || chr(10) || 'Expected answer: ' || trim(label[1]) || chr(10) || "
-    "'Also accepted: ' || trim(label[2]) || chr(10) || 'Given answer: ' || trim(answer), chr(10) || chr(10) ORDER BY slot) AS prompt, count(*)::INT AS n_items FROM b GROUP BY ALL",
+    "SELECT run_id, batch, 'Judge each item. Reply with a JSON list.' || chr(10) || chr(10) || string_agg('Item ' || slot || chr(10) || 'Question: ' || trim(question, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || 'Expected answer: ' || trim(label[1], ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || "
+    "'Also accepted: ' || trim(label[2], ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || 'Given answer: ' || trim(answer, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY slot) AS prompt, count(*)::INT AS n_items FROM b GROUP BY ALL",
 )
 def batch_prompt(spark, sf_dir):
     return jg.batch_prompts(lb.fixed_batches(answers(spark, sf_dir), 32))
@@ -224,7 +224,7 @@ def verdict_label(spark, sf_dir):
     return judged.select("index", label.alias("is_hallucination"))
 
 
-@query("k3_default_judge", f"WITH {ANSWERS.replace('AS answer FROM', 'AS answer, lang AS lang_, source AS source_ FROM')} SELECT index, CASE WHEN lower(trim(answer)) IN (lang_, source_) THEN 'true' ELSE 'false' END AS judgment FROM answers")
+@query("k3_default_judge", f"WITH {ANSWERS.replace('AS answer FROM', 'AS answer, lang AS lang_, source AS source_ FROM')} SELECT index, CASE WHEN lower(trim(answer, ' ' || chr(9) || chr(10) || chr(13))) IN (lang_, source_) THEN 'true' ELSE 'false' END AS judgment FROM answers")
 def default_judge(spark, sf_dir):
     return jg.exact_match(answers(spark, sf_dir)).select("index", "judgment")
 
