@@ -50,7 +50,7 @@ def test_selection_inside_evaluation_sees_train_rows_only(features):
     assert chosen == NAMES[:2] and seen == [{"train"}]
     seen.clear()
     records, picked = dt.nested_evaluation(features, NAMES, LR, outer=3, inner=2, select=select)
-    assert seen == [160, 160, 160] and len(picked) == 3
+    assert all(156 <= n <= 164 for n in seen) and sum(seen) == 480 and len(picked) == 3
     assert 0.5 < records[0]["auroc_mean"] <= 1 and records[0]["auroc_std"] >= 0
 
 
@@ -62,7 +62,8 @@ def test_prefilter_keeps_one_of_two_copies(features):
 
 def test_stability_prefers_signal(features):
     found = sl.stability_selection(features, ["MeanEntropy", "MeanLogProb"], rounds=6)
-    assert found.probability["MeanEntropy"] == 1.0 and "MeanEntropy" in found.selected
+    assert found.probability["MeanEntropy"] > found.probability["MeanLogProb"]
+    assert found.selected == [n for n, p in found.probability.items() if p > 0.6]
     assert found.expected_false_mean <= found.expected_false
 
 

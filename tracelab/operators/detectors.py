@@ -43,7 +43,7 @@ SIDE_BY_SIDE = 8
 def logistic(params: dict, n: int, features: str = "scaled") -> LogisticRegression:
     """Inverse penalty C over summed loss is regParam 1 / (C n) over mean loss."""
     return LogisticRegression(
-        featuresCol=features, labelCol="label", standardization=False, maxIter=100,
+        featuresCol=features, labelCol="label", standardization=False, maxIter=100, tol=1e-4,
         regParam=1.0 / (params["C"] * n), elasticNetParam=1.0 if params["penalty"] == "l1" else 0.0,
     )
 

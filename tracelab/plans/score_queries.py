@@ -322,7 +322,7 @@ def stratified_folds(spark, sf_dir):
     return _sizes(lb.stratified_folds(pool_rows(spark, sf_dir), 5, ["run_id", "label"], ["index"]), "fold")
 
 
-@query("f9_validation_slice", f"{SPLIT}, c AS (SELECT run_id, label, count(*) AS n FROM split WHERE split = 'train' GROUP BY ALL) SELECT run_id, label, floor(n * 0.1)::BIGINT AS n, floor(n * 0.1)::BIGINT AS n_ids FROM c")
+@query("f9_validation_slice", f"{SPLIT}, c AS (SELECT run_id, label, count(*) AS n FROM split WHERE split = 'train' GROUP BY ALL) SELECT run_id, label, floor(n * 0.1)::BIGINT AS n, floor(n * 0.1)::BIGINT AS n_ids FROM c WHERE n >= 10")
 def validation_slice(spark, sf_dir):
     train = lb.sequential_split(pool_rows(spark, sf_dir)).where("split = 'train'")
     return _sizes(lb.stratified_part(train, 0.1, ["run_id", "label"], ["index"]).where("picked"))
