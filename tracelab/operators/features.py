@@ -273,9 +273,15 @@ def top_tokens(cells: DataFrame, k: int) -> DataFrame:
 
 
 def mean_curve(cells: DataFrame, k: int | None) -> DataFrame:
-    """Mean entropy by step, over all tokens or the top k."""
+    """Mean entropy by step, over all tokens or the top k.
+
+    The top tokens are marked by windows inside the sample: a join back to the cells would shuffle
+    them again by position.
+    """
     if k is not None:
-        cells = cells.join(top_tokens(cells, k).select(*KEY, "pos"), [*KEY, "pos"], "left_semi")
+        ranked = cells.withColumn("mean_entropy", F.avg("entropy").over(Window.partitionBy(*KEY, "pos")))
+        order = Window.partitionBy(*KEY).orderBy(F.desc("mean_entropy"), F.desc("pos"))
+        cells = ranked.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k)
     return cells.groupBy(*KEY, "step").agg(F.avg("entropy").alias("y"))
 
 

@@ -288,8 +288,9 @@ def with_history(cells: DataFrame, pad_id: int | None = None) -> DataFrame:
         }
     ).drop("_prev", "_prev_in")
     if pad_id is not None:
-        pads = padding_mask(cells, pad_id)
-        out = out.join(pads, [*KEY, "pos"])
+        proposed = F.when(F.col("masked"), F.col("x0_id") == pad_id)
+        always = F.bool_and(proposed).over(Window.partitionBy(*KEY, "pos"))
+        out = out.withColumn("padding", F.coalesce(always, F.lit(False)))
     return out
 
 
