@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracelab.functions.text import strip
 from tracelab.operators.labels import fixed_batches
+from tracelab.session import materialize
 
 Judge = Callable[[DataFrame], DataFrame]
 
@@ -120,13 +121,14 @@ def judge_answers(answers: DataFrame, judge_batch: Judge, judge_single: Judge, b
         {"is_hallucination": F.lit("yes"), "explanation": F.lit(EMPTY_ANSWER)}
     )
     batched = fixed_batches(answers.where(~is_empty()), batch_size)
-    replies = judge_batch(batch_prompts(batched)).select(
-        "run_id", "batch", parse_batch_reply().alias("verdicts")
+    # Written once: two branches read the replies, and a service must not be asked twice.
+    replies = materialize(
+        judge_batch(batch_prompts(batched)).select("run_id", "batch", parse_batch_reply().alias("verdicts"))
     )
     routed = batched.join(replies, ["run_id", "batch"], "left")
     read = routed.where("verdicts IS NOT NULL").withColumn("v", F.get("verdicts", F.col("slot")))
     again = judge_single(single_prompts(routed.where("verdicts IS NULL").drop("verdicts", "batch", "slot")))
-    again = again.withColumn("v", parse_reply()).drop("prompt", "reply")
+    again = materialize(again.withColumn("v", parse_reply()).drop("prompt", "reply"))
     both = read.drop("verdicts", "batch", "slot").unionByName(again)
     judged = both.withColumns(
         {"is_hallucination": verdict_label(F.col("v.judgment")), "explanation": F.col("v.explanation")}

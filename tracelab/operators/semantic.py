@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelab.functions.skew import hot_keys, skew_join
 from tracelab.functions.text import strip, word_tokens
-from tracelab.session import KEY, bounded, materialize
+from tracelab.session import KEY, bounded, materialize, written
 
 # Floors of the token entropy, the cluster mass, the cluster entropy and the variant entropy.
 TOKEN_FLOOR = 1e-8
@@ -80,15 +80,15 @@ def token_set_key(text: str = "text"):
 
 
 def cluster_variants(variants: DataFrame) -> DataFrame:
-    """Cluster of each variant under the default equivalence; the id is its first variant number.
+    """(sample, variant_no, cluster) under the default equivalence; the id is the first variant number.
 
     Equal word sets are an equivalence relation, so the greedy order does not matter and a group-by
-    on the set replaces all pair comparisons. Blank texts stay alone.
+    on the set replaces all pair comparisons. Blank texts stay alone. The sets are written once, since
+    three passes read them.
     """
     blank = strip(F.col("text")) == ""
-    keyed = variants.withColumn(
-        "_key", F.when(blank, F.concat(F.lit("#"), F.col("variant_no").cast("string"))).otherwise(token_set_key())
-    )
+    own = F.concat(F.lit("#"), F.col("variant_no").cast("string"))
+    keyed = written(variants.select(*KEY, "variant_no", F.when(blank, own).otherwise(token_set_key()).alias("_key")))
     firsts = keyed.groupBy(*KEY, "_key").agg(F.min("variant_no").alias("cluster"))
     return skew_join(keyed, firsts, [*KEY, "_key"], ["variant_no"]).drop("_key")
 

@@ -97,7 +97,7 @@ def repeated_variants(spark, sf_dir):
 
 @query("i21_variant_clusters", f"{SETS} SELECT run_id, sample_id, variant_no, cluster FROM clusters")
 def variant_clusters(spark, sf_dir):
-    return sem.cluster_variants(repeated_variants(spark, sf_dir)).drop("text")
+    return sem.cluster_variants(repeated_variants(spark, sf_dir))
 
 
 @query("i21_greedy_clusters", f"{SETS} SELECT run_id, sample_id, variant_no, cluster FROM clusters")

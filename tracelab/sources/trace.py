@@ -130,16 +130,18 @@ def _masked_going_in(mask: Column, post_commit: Column) -> Column:
 
 
 def _padding_row(pad_id: int) -> Column:
-    """Per position: masked at least once, and the pad id proposed at every masked step."""
-    steps = F.sequence(F.lit(0), F.size("masked") - 1)
+    """Per position: masked at least once, and the pad id proposed at every masked step.
 
-    def at(d: Column) -> Column:
-        masked = lambda t: F.col("masked")[t][d]
-        return F.exists(steps, masked) & F.forall(
-            steps, lambda t: ~masked(t) | (F.col("x0_id")[t][d] == F.lit(pad_id))
-        )
-
-    return F.transform(F.sequence(F.lit(0), F.size(F.col("masked")[0]) - 1), at)
+    A fold over the steps whose lambdas use only their own arguments: 0 not masked so far, 1 only
+    the pad id so far, 2 something else.
+    """
+    codes = F.zip_with(
+        "masked", "x0_id",
+        lambda ms, xs: F.zip_with(ms, xs, lambda m, x: F.when(~m, 0).when(x == pad_id, 1).otherwise(2)),
+    )
+    none = F.array_repeat(F.lit(0), F.size(F.col("masked")[0]))
+    seen = F.aggregate(codes, none, lambda acc, row: F.zip_with(acc, row, lambda a, r: F.greatest(a, r)))
+    return F.transform(seen, lambda a: a == 1)
 
 
 def explode_trace(
