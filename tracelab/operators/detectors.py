@@ -19,7 +19,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelab.operators import features as ft
@@ -30,7 +30,7 @@ from tracelab.session import KEY, materialize
 # Grids of the three classifiers, folds, decision threshold, seed.
 INVERSE_PENALTIES = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
 LOGISTIC_GRID = [{"C": c, "penalty": p} for c in INVERSE_PENALTIES for p in ("l1", "l2")]
-# sklearn's unlimited depth is taken as 30, the deepest tree MLlib grows.
+# Unlimited depth is taken as 30, the deepest tree MLlib grows.
 FOREST_GRID = [{"n_estimators": n, "max_depth": d} for n in (100, 300) for d in (3, 5, 10, 30)]
 BOOSTED_GRID = [{"n_estimators": n, "max_depth": d, "learning_rate": r} for n in (100, 300) for d in (3, 5) for r in (0.01, 0.1)]
 FOLDS = 5
@@ -106,8 +106,10 @@ def compact(rows: DataFrame) -> DataFrame:
 
 
 def in_parallel(tasks: list[Callable], width: int = SIDE_BY_SIDE) -> list:
+    """Run driver-side tasks, each of which submits Spark jobs, in a few threads."""
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPool(width) as pool:
-        return pool.map(lambda task: task(), [inheritable_thread_target(t) for t in tasks])
+        return pool.map(lambda task: task(), [inherit(t) for t in tasks])
 
 
 def auc_of(scored: DataFrame) -> float:
