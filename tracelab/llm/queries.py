@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import id_files, packing, prefix_counts
+from tracelab.llm import id_files, mixing, packing, prefix_counts, url_templates
 from tracelab.llm.store import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (verdict, host, path) of the url rules.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@register("op1_url_filter", url_templates.judge_sql(URL_RULES))
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op7_source_mix", mixing.mix_sql())
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_position").alias("position"))
+
+
 @register("op8_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_counts.prefix_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
