@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import id_files, mixing, packing, prefix_counts, url_templates
+from tracelab.llm import ball_tree, id_files, mixing, packing, prefix_counts, url_templates, vp_tree
 from tracelab.llm.store import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,24 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+TOP_K_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+@register("op2_exact_top_k", TOP_K_SQL)
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.exact_top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50, scale=256)
+
+
+@register("op4_nearest_vectors")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_tree.nearest(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
 @register("op7_source_mix", mixing.mix_sql())
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
