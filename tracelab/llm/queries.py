@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import ball_tree, id_files, mixing, packing, prefix_counts, url_templates, vp_tree
+from tracelab.llm import ball_tree, id_files, importance, mixing, packing, prefix_counts, toxic_passages, url_templates, vp_tree
 from tracelab.llm.store import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,11 +65,25 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.exact_top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50, scale=256)
 
 
+@register("op3_quality_resampling")
+def quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("op4_nearest_vectors")
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_tree.nearest(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
 
 
+@register("op6_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxic_passages.train(docs, labels.where(toxic_passages.fold(F.col("doc_id")) != 0))
+    held_out = F.coalesce(toxic_passages.fold(F.col("doc_id")) == 0, F.lit(False))
+    scored = toxic_passages.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @register("op7_source_mix", mixing.mix_sql())
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
