@@ -48,8 +48,6 @@ class WordIds:
 
     def learn(self, words: set[str]) -> None:
         """Put the ids of new words into the cache; None marks words that can't be encoded alone."""
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
         plain = []
         for word in words:
             if word in self.old:
@@ -76,6 +74,8 @@ class WordIds:
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of whole texts, as ``tokenizer.encode(text, add_special_tokens=False)`` gives them."""
+        if len(self.young) > CACHE:  # never in the middle of a batch, whose words are looked up at its end
+            self.old, self.young = self.young, {}
         split = [text.split(" ") for text in texts]
         new: set[str] = set()
         for words in split:
