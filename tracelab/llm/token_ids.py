@@ -12,13 +12,17 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import islice
 
 import numpy as np
 
-#: Entries per generation of the word cache (two generations live at a time, about 200 MB).
-CACHE = 400_000
+#: Entries of the word cache (about 130 MB). The first half, where the frequent words are, is kept for good.
+CACHE = 800_000
 TOGETHER = 500
+#: In place of ids: white space stands beside the word's spaces.
+ALONE = b"?"
+#: Letters and up to three of six marks, perhaps a line break and the same again.
+PARTS = re.compile(r"([^\W\d_]+)([.,;:!?]{1,3})?(?:\n([^\W\d_]+)([.,;:!?]{1,3})?)?")
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 _TOKENIZERS: dict[tuple[str, bool], "WordIds"] = {}
@@ -38,70 +42,133 @@ class WordIds:
         self.lead = "" if drops_space else " "
         self.separator_id, added = max(self.tokenizer.get_added_tokens_decoder().items())
         self.separator = added.content
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        #: Words with it may hold an added token.
+        self.mark_of_specials = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])[:2]
+        names = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.edge[[i for t, i in names.items() if (t.endswith("</w>") if drops_space else t.startswith("Ġ"))]] = True
+        self.known: dict[str, bytes] = {}
         self.starts: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Put the ids of new words into the cache; None marks words that can't be encoded alone."""
-        plain = []
+        """Put the ids of new words into the cache; ALONE marks words that can't be encoded alone.
+
+        The pre-tokenizer parts letters from punctuation and from line breaks, so ``word,`` and
+        ``word.\\nNext`` are put together from parts, most of which are known.
+        """
+        known, starts = self.known, self.starts
+        letters, others, first, parted = set(), [], set(), []
         for word in words:
-            if word in self.old:
-                self.young[word] = self.old[word]
+            if word.isalpha():
+                letters.add(word)
             elif not self.drops_space and (not word or word[0].isspace() or word[-1].isspace()):
-                self.young[word] = None
-            elif any(s in word for s in self.specials):
-                self.young[word] = self.encode(self.lead + word)
-            elif word:
-                plain.append(word)
+                known[word] = ALONE
+            elif not word:
+                known[word] = b""
+            elif self.mark_of_specials in word:
+                known[word] = self.encode(self.lead + word)
+            elif (stem := word[:-1]).isalpha() and word[-1] in ".,":
+                parted.append((word, stem, word[-1], None, None))
+                if stem not in known:
+                    letters.add(stem)
+            elif found := PARTS.fullmatch(word):
+                stem, mark, following, last = found.groups()
+                parted.append((word, stem, mark, following, last))
+                if stem not in known:
+                    letters.add(stem)
+                if following and following not in starts:
+                    first.add(following)
             else:
-                self.young[word] = b""
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        texts = [self.separator.join([self.lead + w for w in group]) for group in groups]
+                others.append(word)
+        self.learn_letters(list(letters))
+        texts = [self.lead + w for w in others] + list(first)
+        ids = self.encode_many(texts)
+        known.update(zip(others, ids))
+        starts.update(zip(texts[len(others) :], ids[len(others) :]))
+        for word, stem, mark, following, last in parted:
+            whole = known[stem] + self.mark(mark)
+            if following:
+                whole += self.mark("\n") + starts[following] + self.mark(last)
+            known[word] = whole
+
+    def learn_letters(self, words: list[str]) -> None:
+        """Words of letters only are one pre-token each, so a text of them falls apart at the tokens that
+        start (byte-level kind) or end (word kind) one."""
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        texts = [self.lead + " ".join(g) for g in groups]
         for group, encoding in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.asarray(encoding.ids, dtype="<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            bounds = np.append(0, edges + 1) if self.drops_space else np.append(edges, len(ids))
+            if len(bounds) != len(group) + 1:  # letters of an alphabet that the tokenizer sees otherwise
+                self.known.update(zip(group, self.encode_many([self.lead + w for w in group])))
+                continue
+            packed, ends = ids.tobytes(), (4 * bounds).tolist()
+            self.known.update(zip(group, map(packed.__getitem__, map(slice, ends[:-1], ends[1:]))))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        groups = [texts[i : i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
+        out: list[bytes] = []
+        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast([self.separator.join(g) for g in groups], add_special_tokens=False)):
             ids = np.asarray(encoding.ids, dtype="<u4")
             ends = [*np.flatnonzero(ids == self.separator_id).tolist(), len(ids)]
             if len(ends) != len(group):
                 raise ValueError("the tokenizer did not split at its own added token")
             packed, start = ids.tobytes(), 0
-            for word, end in zip(group, ends):
-                self.young[word] = packed[4 * start : 4 * end]
+            for end in ends:
+                out.append(packed[4 * start : 4 * end])
                 start = end + 1
+        return out
+
+    def mark(self, text: str | None) -> bytes:
+        """Ids of a short run of punctuation or a line break."""
+        if not text:
+            return b""
+        if text not in self.marks:
+            self.marks[text] = self.encode(text)
+        return self.marks[text]
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of whole texts, as ``tokenizer.encode(text, add_special_tokens=False)`` gives them."""
-        if len(self.young) > CACHE:  # never in the middle of a batch, whose words are looked up at its end
-            self.old, self.young = self.young, {}
-        split = [text.split(" ") for text in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(filterfalse(self.young.__contains__, words))
+        if len(self.starts) > CACHE // 4:
+            self.starts = {}
+        if len(self.known) > CACHE:  # never in the middle of a batch, whose words are looked up at its end
+            self.known = dict(islice(self.known.items(), CACHE // 2))
+        find, split, parts, new = self.known.get, [], [], set()
+        for text in texts:
+            if self.drops_space:
+                text = text.replace("\n", " ")
+                if text.isascii() and self.mark_of_specials not in text:
+                    text = text.lower()  # as the tokenizer does
+            words = text.split(" ")
+            found = list(map(find, words))
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            new.update([words[i] for i in missing])
+            split.append((words, missing))
+            parts.append(found)
         self.learn(new)
-        known = self.young.__getitem__
-        for text, words in zip(texts, split):
+        known = self.known.__getitem__
+        for text, (words, missing), found in zip(texts, split, parts):
+            for i in missing:
+                found[i] = known(words[i])
             if self.drops_space:
-                yield b"".join(map(known, words))
+                yield b"".join(found)
                 continue
-            rest = words[1:]
-            try:
-                yield self.first(words[0]) + b"".join(map(known, rest))
-            except TypeError:  # a None among them: white space beside a space
+            found[0] = self.first(words[0])
+            if ALONE in found:
                 words = BETWEEN.split(text)
-                self.learn({w for w in words if w not in self.young})
-                yield self.first(words[0]) + b"".join(
-                    [found if (found := known(w)) is not None else self.encode(" " + w) for w in words[1:]]
-                )
+                self.learn({w for w in words if w not in self.known})
+                found = [self.first(words[0])] + [i if (i := known(w)) is not ALONE else self.encode(" " + w) for w in words[1:]]
+            yield b"".join(found)
 
     def first(self, word: str) -> bytes:
         """Ids of the start of a text, which has no space before it."""
         found = self.starts.get(word)
         if found is None:
-            if len(self.starts) > CACHE // 8:
-                self.starts.clear()
             found = self.starts[word] = self.encode(word)
         return found
 
