@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from tracelab.llm.store import slices, with_columns
 SPACE = "▁"
 #: A character outside every vocabulary: it keeps the model's own leading space mark from merging.
 GUARD = "\x00"
-#: Entries per generation of the chunk cache (two generations live at a time, about 200 MB).
-CACHE = 400_000
+#: Entries of the chunk cache (about 130 MB). The first half, where the frequent words are, is kept for good.
+CACHE = 600_000
 CHUNK = re.compile(r"^[^ ]+| +[^ ]*")
 
 STEPS_SCHEMA = "doc_id bigint, n_bytes bigint, n_chars bigint, n_tokens bigint, width int, steps binary"
@@ -58,8 +59,7 @@ class PrefixCounter:
                 if len(piece) not in known:
                     known.append(len(piece))
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes | None] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Encoding of a piece of text in the inner alphabet, without the model's own leading mark."""
@@ -105,13 +105,10 @@ class PrefixCounter:
 
         Sorted words share the tables of their common prefix.
         """
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
+        if len(self.known) > CACHE:
+            self.known = dict(islice(self.known.items(), CACHE // 2))
         last, count, before = [""], [0], ""
         for word in sorted(words):
-            if word in self.old:
-                self.young[word] = self.old[word]
-                continue
             chunk, shared = SPACE + word, 0
             for a, b in zip(before, chunk):
                 if a != b:
@@ -121,7 +118,7 @@ class PrefixCounter:
             self.extend(chunk, last, count)
             before = chunk
             steps = [b - a for a, b in zip(count, count[1:])]
-            self.young[word] = bytes([x & 255 for x in steps]) if -128 <= min(steps) and max(steps) < 128 else None
+            self.known[word] = bytes([x & 255 for x in steps]) if -128 <= min(steps) and max(steps) < 128 else None
 
     def text_steps(self, text: str) -> tuple[int, bytes]:
         """Width in bytes of a step, and the steps: count(prefix i + 1) - count(prefix i)."""
@@ -130,9 +127,9 @@ class PrefixCounter:
         text = text.replace(SPACE, " ")  # the model does not tell them apart
         words = text.split(" ")
         if "" not in words:
-            if any(w not in self.young for w in words):
-                self.learn({w for w in words if w not in self.young})
-            parts = [self.young[w] for w in words]
+            if any(w not in self.known for w in words):
+                self.learn({w for w in words if w not in self.known})
+            parts = [self.known[w] for w in words]
             if None not in parts:
                 first = np.frombuffer(parts[0], dtype=np.int8).astype(np.int64)
                 if first[0] + first[1] < 128:
@@ -181,7 +178,7 @@ def prefix_counts(docs: DataFrame, model: str) -> DataFrame:
         for batch in slices(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             words = {w for t in texts for w in t.replace(SPACE, " ").split(" ")}
-            own.learn({w for w in words if w and w not in own.young})
+            own.learn({w for w in words if w and w not in own.known})
             encoded = [own.text_steps(t) for t in texts]
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"),
