@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import ball_tree, id_files, importance, mixing, packing, prefix_counts, toxic_passages, url_templates, vp_tree
+from tracelab.llm import ball_tree, id_files, importance, mixing, packing, prefix_counts, shingle_join, toxic_passages, url_templates, vp_tree
 from tracelab.llm.store import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,26 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_tree.nearest(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
 
 
+LINKS_SQL = """WITH RECURSIVE words AS (
+  SELECT doc_id, string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '[\\x20\\x09-\\x0D]+') AS w FROM documents),
+runs AS (SELECT doc_id, CASE WHEN len(w) = 1 AND w[1] = '' THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM runs),
+rows AS (SELECT doc_id, unnest(s) AS x FROM runs),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM rows a JOIN rows b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+SELECT sizes.doc_id, n AS n_shingles, min(reach.b) AS component_id FROM sizes JOIN reach ON sizes.doc_id = reach.a GROUP BY ALL"""
+
+
+@register("op5_shingle_links", LINKS_SQL)
+def shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = shingle_join.link_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
 @register("op6_toxicity")
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
