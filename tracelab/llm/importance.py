@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tracelab.llm.store import Scratch, with_columns
 from tracelab.llm.word_hash import hashed_words, shingles, text_slices
@@ -91,17 +92,22 @@ def log_ratios(counts: DataFrame, bits: int, smoothing: float) -> np.ndarray:
     return np.log((both[1] + smoothing) / (expected + smoothing))
 
 
+def log_weights(texts: pa.Array, ratios: np.ndarray, bits: int) -> np.ndarray:
+    total = np.zeros(len(texts))
+    for buckets, offsets in _buckets(texts, bits):
+        of = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        total += np.bincount(of, weights=ratios[buckets], minlength=len(texts))
+    return total
+
+
 def weigh(docs: DataFrame, ratios: np.ndarray, bits: int) -> DataFrame:
     """(doc_id, good, log_weight) of every row; an empty text has weight 0."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            total = np.zeros(batch.num_rows)
-            for buckets, offsets in _buckets(batch.column("text"), bits):
-                texts = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-                total += np.bincount(texts, weights=shared.value[buckets], minlength=batch.num_rows)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "good": batch.column("good"), "log_weight": pa.array(total)})
+            weights = log_weights(batch.column("text"), shared.value, bits)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "good": batch.column("good"), "log_weight": pa.array(weights)})
 
     return docs.select("doc_id", "good", "text").mapInArrow(rows, WEIGHTS)
 
@@ -147,17 +153,18 @@ def kth_largest(rows: DataFrame, key: str, k: int, bins: int = 1024, most: int =
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, column: str = "quality", keep: float | None = None, setting: Resampling = Resampling()) -> DataFrame:
-    """One row per document: (doc_id, log_weight, key, kept).
+@dataclass(frozen=True)
+class Fitted:
+    """What a sampled corpus leaves behind: log ratios by bucket, the last key that is kept, the seed."""
 
-    ``labels`` has (doc_id, ``column``) with 1 for good and 0 for bad; ``keep`` is the share of
-    documents to keep, by default that of weights above the fitted threshold. Ties at the last key are all kept;
-    repeated rows share their draw. A null or empty text has weight 0. Null ids share one draw and have
-    no label. Without labels of both kinds everything is kept; an empty table gives an empty
-    result; further columns are ignored.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "importance")
+    ratios: np.ndarray
+    cutoff: float
+    setting: Resampling
+
+
+def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", keep: float | None = None, setting: Resampling = Resampling()) -> Fitted:
+    """Both models over ``docs`` and the last key of the k documents that are kept."""
+    scratch = Scratch(docs.sparkSession, "importance")
     # The sample has at most ``setting.sample`` rows of two integers: a proven bound for a broadcast.
     sample = scratch.save(label_sample(labels, column, setting.sample, setting.seed), "sample")
     rows = with_columns(docs, doc_id="bigint", text="string").join(F.broadcast(sample), "doc_id", "left").withColumnRenamed("label", "good")
@@ -167,9 +174,35 @@ def resample(docs: DataFrame, labels: DataFrame, column: str = "quality", keep:
     weights = scratch.save(weigh(rows, ratios, setting.bits), "weights")
     known = weights.where(F.col("good").isNotNull() & unseen).groupBy("doc_id").agg(F.max("good").alias("good"), F.min("log_weight").alias("w")).toArrow()
     threshold = best_threshold(known.column("w").to_numpy(), known.column("good").to_numpy() == 1)
-    keyed = weights.withColumn("key", F.col("log_weight") + gumbel(setting.seed, F.col("doc_id")))
     total, reach = weights.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= F.lit(threshold))).first()
-    k = reach if keep is None else round(keep * total)
-    cutoff = kth_largest(keyed, "key", k)
-    scratch.drop("sample")
-    return keyed.select("doc_id", "log_weight", "key", (F.col("key") >= F.lit(cutoff)).alias("kept"))
+    keyed = weights.select((F.col("log_weight") + gumbel(setting.seed, F.col("doc_id"))).alias("key"))
+    cutoff = kth_largest(keyed, "key", reach if keep is None else round(keep * total))
+    scratch.drop("sample", "weights")
+    return Fitted(ratios, cutoff, setting)
+
+
+def with_keys(docs: DataFrame, fitted: Fitted) -> DataFrame:
+    """All columns of ``docs`` and ``_log_weight``, ``_key`` and ``_kept`` (which replace columns of these names)."""
+    shared, bits = docs.sparkSession.sparkContext.broadcast(fitted.ratios), fitted.setting.bits
+    docs = docs.drop("_log_weight", "_key", "_kept")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            yield batch.append_column("_log_weight", pa.array(log_weights(batch.column("text"), shared.value, bits)))
+
+    weighed = docs.mapInArrow(rows, StructType([*docs.schema.fields, StructField("_log_weight", DoubleType())]))
+    keyed = weighed.withColumn("_key", F.col("_log_weight") + gumbel(fitted.setting.seed, F.col("doc_id").cast("bigint")))
+    return keyed.withColumn("_kept", F.col("_key") >= F.lit(fitted.cutoff))
+
+
+def resample(docs: DataFrame, labels: DataFrame, column: str = "quality", keep: float | None = None, setting: Resampling = Resampling()) -> DataFrame:
+    """One row per document: (doc_id, log_weight, key, kept).
+
+    ``labels`` has (doc_id, ``column``) with 1 for good and 0 for bad; ``keep`` is the share of
+    documents to keep, by default that of weights above the fitted threshold. Ties at the last key are all kept;
+    repeated rows share their draw. A null or empty text has weight 0. Null ids share one draw and have
+    no label. Without labels of both kinds everything is kept; an empty table gives an empty
+    result; further columns are ignored.
+    """
+    keyed = with_keys(with_columns(docs, doc_id="bigint", text="string"), fit(docs, labels, column, keep, setting))
+    return keyed.select("doc_id", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"), F.col("_kept").alias("kept"))

@@ -4,24 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelab.llm import ball_tree, id_files, importance, mixing, packing, prefix_counts, shingle_join, toxic_passages, url_templates, vp_tree
-from tracelab.llm.store import Scratch
+from tracelab.llm.store import Scratch, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def tokenizer_file(name: str) -> str:
-    """Place of a public vocabulary file; every machine has the package that holds them."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(query: Query) -> Query:
         QUERIES[name] = query
@@ -126,3 +120,6 @@ def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "token-ids").folder
     id_files.write_ids(table(spark, sf_dir, "documents"), folder, tokenizer_file("word_bpe_49k.json"), end_id=2)
     return id_files.digests(spark, folder)
+
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tracelab.llm.components import components
 from tracelab.llm.store import Scratch, with_columns
@@ -386,12 +387,13 @@ def _with_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: (doc_id, n_shingles, component_id, copies).
+    """One row per document: (doc_id, n_shingles, component_id, copies, content, component).
 
     Documents are linked when 100 * |A & B| >= ``percent`` * |A | B| for their sets of distinct runs of
     ``words`` words (words are runs of characters other than ASCII white space, A-Z lower-cased). A text with fewer words is
     one run; a null or empty text and one without words has an empty set and is linked with nothing.
-    ``component_id`` is the smallest id reachable by links, ``copies`` the number of documents with an equal set. Repeated
+    ``component_id`` is the smallest id reachable by links, ``copies`` the number of documents with an
+    equal set, ``content`` a hash of the set and ``component`` a number of the component (null for an empty set). Repeated
     rows and repeated ids are documents of their own; rows with a null id take part in no link and have a
     null component; an empty table gives an empty result; further columns are ignored.
     """
@@ -434,17 +436,58 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     known = labels.withColumnRenamed("node", "fp").join(classes.select("fp", "rep"), "fp")
     smallest = known.groupBy("label").agg(F.min("rep").alias("smallest"))
-    linked = known.join(smallest, "label").select("fp", "smallest")
+    linked = known.join(smallest, "label").select("fp", "label", "smallest")
     classed = classes.select("fp", "rep", "copies").join(linked, "fp", "left")
-    result = scratch.save(classed.select("fp", F.coalesce("smallest", "rep").alias("component_id"), "copies"), "result")
+    result = scratch.save(classed.select("fp", F.coalesce("label", "fp").alias("component"), F.coalesce("smallest", "rep").alias("component_id"), "copies"), "result")
     scratch.drop("links-1", "links-2", "links-3", "classes")
     return sets.select("doc_id", "n", "fp").join(result, "fp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("n") == 0, F.lit(1)).otherwise(F.coalesce("copies", F.lit(1))).alias("copies"),
+        F.col("fp").alias("content"), "component",
     )
 
 
+def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, all columns, one row of each component.
+
+    Of rows that share this id too, one stays. Rows with a null id and rows with an empty set are no copies of
+    anything and stay.
+    """
+    scratch = Scratch(docs.sparkSession, "one-per-component")
+    linked = scratch.save(link_components(docs, words, percent), "linked").where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    key = F.col("doc_id").cast("bigint")
+
+    def ids(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.col("doc_id").alias("_id")).distinct()
+        return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+    gone = linked.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("n"))
+    gone = scratch.save(gone.where(F.col("gone") | (F.col("n") > 1)), "gone")
+    single = docs.join(ids(gone), key == F.col("_id"), "left_anti")
+    doubtful = gone.where(~F.col("gone"))
+    if doubtful.isEmpty():
+        return single
+    # Ids that come more than once: their rows are told apart by content, and one row per component stays.
+    rows = with_content(docs.join(ids(doubtful), key == F.col("_id"), "left_semi"), words)
+    kept = linked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("component").alias("_component")).distinct()
+    own = rows.join(kept, (key == F.col("_id")) & rows["_fp"].eqNullSafe(F.col("_content")), "left")
+    empty = own.where(F.col("_n") == 0).select(*docs.columns)
+    return single.unionByName(own.where(F.col("_component").isNotNull()).dropDuplicates(["_component"]).select(*docs.columns)).unionByName(empty)
+
+
+def with_content(docs: DataFrame, words: int) -> DataFrame:
+    """All columns and ``_n`` and ``_fp``, the size and the content id of the set of shingles."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            hashes, offsets = distinct_shingles(batch.column("text"), words)
+            yield batch.append_column("_n", pa.array(np.diff(offsets))).append_column("_fp", pa.array(fingerprints(hashes, offsets)))
+
+    docs = docs.drop("_n", "_fp")
+    return docs.mapInArrow(rows, StructType([*docs.schema.fields, StructField("_n", LongType()), StructField("_fp", LongType())]))
+
+
 def _without_dearest(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, holders, fp, n, sketch) without the dearest keys of each set, as many as it can spare."""
     parity = F.col("key").bitwiseAND(F.lit(1))

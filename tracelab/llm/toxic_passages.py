@@ -17,8 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tracelab.llm.importance import label_sample
 from tracelab.llm.store import Scratch, with_columns
@@ -153,7 +155,7 @@ def extreme_rate(scores: np.ndarray, frequency: np.ndarray, penalty: float) -> f
 def passages(texts: pa.Array, model: Model) -> list[tuple[int, list[tuple[int, int, float, float]]]]:
     """Per text, its number of tokens and (start byte, end byte, score, expected number) of each maximal segment."""
     hashes, offsets, starts, ends = hashed_words(texts, tokens=True)
-    bases = np.concatenate([[0], np.cumsum([len((t.as_py() or "").encode("utf-8", "replace")) for t in texts])]) if len(texts) else [0]
+    bases = np.concatenate([[0], np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))])
     tokens = hashes.view(np.int64)
     if len(model.tokens):
         place = np.minimum(np.searchsorted(model.tokens, tokens), len(model.tokens) - 1)
@@ -256,3 +258,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             })
 
     return with_columns(docs, doc_id="bigint", text="string").mapInArrow(rows, SCORES)
+
+
+def with_score(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of ``docs`` and ``_toxicity``, the score (which replaces a column of this name)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("_toxicity")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in text_slices(batches):
+            amount = np.array([evidence(found, own.expected) for _, found in passages(batch.column("text"), own)])
+            yield batch.append_column("_toxicity", pa.array(own.probability(amount), pa.float64()))
+
+    return docs.mapInArrow(rows, StructType([*docs.schema.fields, StructField("_toxicity", DoubleType())]))
