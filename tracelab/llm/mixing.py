@@ -75,31 +75,31 @@ def mix(docs: DataFrame, parts: DataFrame | None = None, block: int = 16, seed:
     ``parts`` has (source, parts) with whole positive parts; a source without a row, or with less than one
     part, has one part, and by default parts are ``tempered_parts``. Every row is kept; when a source has run out, its later slots stay empty. A
     source is shuffled by a hash of ``seed`` and doc_id. Null sources form one source; null and repeated ids and
-    repeated rows get places of their own; null and long texts are carried along; an empty table gives an empty result. Columns of the
-    input whose names start with an underscore and clash with those here are replaced.
+    repeated rows get places of their own; null and long texts are carried along; an empty table gives an empty result. ``_block``,
+    ``_slot`` and ``_position`` of the input are replaced; names that start with ``_mix_`` are taken.
     """
-    docs = docs.drop("_block", "_slot", "_position", "_key", "_hash", "_bucket", "_before", "_rank", "_nth", "_parts", "_period")
+    docs = docs.drop("_block", "_slot", "_position")
     parts = tempered_parts(docs) if parts is None else parts
     wanted = parts.groupBy(source_key(F.col("source").cast("string")).alias("key")).agg(F.max(F.col("parts").cast("bigint")).alias("parts"))
-    keyed = docs.withColumns({"_key": source_key(F.col("source").cast("string")), "_hash": shuffle_hash(seed, F.col("doc_id"))})
+    keyed = docs.withColumns({"_mix_key": source_key(F.col("source").cast("string")), "_mix_hash": shuffle_hash(seed, F.col("doc_id"))})
     buckets = 8 * max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = keyed.withColumn("_bucket", F.floor(F.col("_hash") / F.lit(2.0**60) * F.lit(buckets)).cast("int"))
-    sizes = keyed.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("_key", "_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    present = sizes.select(F.col("_key").alias("key")).distinct()
+    keyed = keyed.withColumn("_mix_bucket", F.floor(F.col("_mix_hash") / F.lit(2.0**60) * F.lit(buckets)).cast("int"))
+    sizes = keyed.groupBy("_mix_key", "_mix_bucket").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("_mix_key").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_mix_key", "_mix_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_mix_before"))
+    present = sizes.select(F.col("_mix_key").alias("key")).distinct()
     shares = present.join(wanted, "key", "left").select("key", F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)).cast("bigint").alias("parts"))
-    plan = schedule(shares).select(F.col("key").alias("_key"), F.col("parts").alias("_parts"), F.col("period").alias("_period"), F.col("nth").alias("_nth"), F.col("slot").alias("_in_period"))
+    plan = schedule(shares).select(F.col("key").alias("_mix_key"), F.col("parts").alias("_mix_parts"), F.col("period").alias("_mix_period"), F.col("nth").alias("_mix_nth"), F.col("slot").alias("_mix_in_period"))
 
-    inside = Window.partitionBy("_key", "_bucket").orderBy("_hash", "doc_id", *[F.xxhash64(c) for c in docs.columns if c != "doc_id"])
-    ranked = keyed.withColumn("_rank", F.row_number().over(inside) - 1).join(before, ["_key", "_bucket"])
-    rank = F.col("_before") + F.col("_rank")
-    blocks = ranked.withColumns({"_block": F.floor(rank / block), "_in_block": rank % block})
+    inside = Window.partitionBy("_mix_key", "_mix_bucket").orderBy("_mix_hash", "doc_id", *[F.xxhash64(c) for c in docs.columns if c != "doc_id"])
+    ranked = keyed.withColumn("_mix_rank", F.row_number().over(inside) - 1).join(before, ["_mix_key", "_mix_bucket"])
+    rank = F.col("_mix_before") + F.col("_mix_rank")
+    blocks = ranked.withColumns({"_block": F.floor(rank / block), "_mix_in_block": rank % block})
     # The plan has at most MAX_PERIOD rows, whatever the number of documents.
-    small = plan.groupBy("_key", "_parts", "_period").agg(F.transform(F.sort_array(F.collect_list(F.struct("_nth", "_in_period"))), lambda s: s["_in_period"]).alias("_slots"))
-    placed = blocks.join(F.broadcast(small), "_key")
-    slot = F.floor(F.col("_block") / F.col("_parts")) * F.col("_period") + F.get("_slots", (F.col("_block") % F.col("_parts")).cast("int"))
-    return placed.withColumn("_slot", slot).withColumn("_position", F.col("_slot") * block + F.col("_in_block")).select(
+    small = plan.groupBy("_mix_key", "_mix_parts", "_mix_period").agg(F.transform(F.sort_array(F.collect_list(F.struct("_mix_nth", "_mix_in_period"))), lambda s: s["_mix_in_period"]).alias("_mix_slots"))
+    placed = blocks.join(F.broadcast(small), "_mix_key")
+    slot = F.floor(F.col("_block") / F.col("_mix_parts")) * F.col("_mix_period") + F.get("_mix_slots", (F.col("_block") % F.col("_mix_parts")).cast("int"))
+    return placed.withColumn("_slot", slot).withColumn("_position", F.col("_slot") * block + F.col("_mix_in_block")).select(
         *docs.columns, "_block", "_slot", "_position")
 
 

@@ -145,7 +145,7 @@ def search(
                 best = F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(k))
                 kth = found.groupBy("query_id").agg(best.alias("kth")).toArrow()
                 known = dict(zip(kth.column("query_id").to_pylist(), kth.column("kth").to_pylist()))
-                floors = np.array([-np.inf if known.get(i) is None else known[i] for i in ids.tolist()])
+                floors = np.array([-np.inf if known.get(i) is None else floor_of(known[i]) for i in ids.tolist()])
         if found is not None:
             tables.append(found)
     scratch.drop("queries", "index")
@@ -159,6 +159,12 @@ def search(
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def floor_of(score: int | float) -> float:
+    """A double that is not above the score, which may be a long beyond 2^53."""
+    value = float(score)
+    return float(np.nextafter(value, -np.inf)) if abs(value) >= 2.0**53 else value
+
+
 class TopK:
     """The k best (score, id) of each query of a block, and the score that a candidate must reach."""
 
@@ -184,7 +190,7 @@ class TopK:
             n = len(best)
             self.scores[row, :n], self.found[row, :n] = new_scores[best], new_ids[best]
             if n == self.k:
-                self.floors[row] = max(self.floors[row], float(new_scores[best[-1]]))
+                self.floors[row] = max(self.floors[row], floor_of(new_scores[best[-1]]))
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         held = self.found >= 0
