@@ -22,7 +22,7 @@ from tracelab.llm.store import with_columns
 ROWS = "part int, start_in_part bigint, doc_id bigint, n_tokens bigint, ids array<int>"
 DIGEST = "part int, start_in_part bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint"
 ORC = {
-    "orc.compress": "ZSTD",
+    "orc.compress": "SNAPPY",
     "orc.stripe.size": str(32 << 20),
     "orc.row.index.stride": "1000",
     "orc.bloom.filter.columns": "doc_id",

@@ -17,7 +17,7 @@ from itertools import islice
 import numpy as np
 
 #: Entries of the word cache (about 130 MB). The first half, where the frequent words are, is kept for good.
-CACHE = 800_000
+CACHE = 600_000
 TOGETHER = 500
 #: In place of ids: white space stands beside the word's spaces.
 ALONE = b"?"
