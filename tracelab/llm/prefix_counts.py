@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tracelab.llm.store import slices, with_columns
+from tracelab.llm.store import in_batches, slices, with_columns
 
 SPACE = "▁"
 #: A character outside every vocabulary: it keeps the model's own leading space mark from merging.
@@ -189,7 +189,7 @@ def prefix_counts(docs: DataFrame, model: str) -> DataFrame:
                 "steps": pa.array([s for _, s in encoded], pa.binary()),
             })
 
-    return with_columns(docs, doc_id="bigint", text="string").mapInArrow(rows, STEPS_SCHEMA)
+    return in_batches(with_columns(docs, doc_id="bigint", text="string")).mapInArrow(rows, STEPS_SCHEMA)
 
 
 def _fitting(width, steps, budget):

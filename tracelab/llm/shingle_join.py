@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tracelab.llm.components import components
-from tracelab.llm.store import Scratch, with_columns
+from tracelab.llm.store import Scratch, in_batches, with_columns
 from tracelab.llm.word_hash import hashed_words, mix, shingles, text_slices
 
 #: Buckets of more sets are compared block by block.
@@ -120,7 +120,7 @@ def segment_keys(hashes: np.ndarray, offsets: np.ndarray, band: np.ndarray, band
     segment = (mix(hashes ^ salt) % counts[of].astype(np.uint64)).astype(np.int64)
     index = base[of] + segment
     filled = np.bincount(index, minlength=total)
-    # Slices hold about two megabytes of text and so fewer than 2^21 shingles, or one longer text.
+    # Slices hold about one megabyte of text and so fewer than 2^21 shingles, or one longer text.
     sums = _wrapped_sums(index, mix(hashes + np.uint64(0x8EBC6AF09C88C6E3)), total)
     owner = np.repeat(np.arange(len(sizes)), counts)
     number = (np.arange(total) - base[owner]).astype(np.uint64)
@@ -165,7 +165,7 @@ def set_rows(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                 "sketch": pa.array([s if f else None for s, f in zip(drawn, first)], pa.binary()),
             })
 
-    return docs.mapInArrow(rows, SETS)
+    return in_batches(docs).mapInArrow(rows, SETS)
 
 
 def key_rows(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
@@ -181,7 +181,7 @@ def key_rows(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                 keys, owner, _ = segment_keys(hashes, offsets, band, bands)
                 yield pa.record_batch({"key": pa.array(keys), "fp": pa.array(prints[owner])})
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(rows, KEYS)
+    return in_batches(docs.where(F.col("doc_id").isNotNull())).mapInArrow(rows, KEYS)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +333,7 @@ def bucket_pairs(members: DataFrame, bands: Bands, labelled: bool = False) -> Da
     meet = F.when(blocks > 1, F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.least(own, other) * blocks + F.greatest(own, other))).otherwise(F.array(F.lit(0)))
     dealt = members.withColumn("meet", F.explode(meet)).withColumn("bucket", F.when(F.col("meet") == 0, F.col("key")).otherwise(F.xxhash64("key", "meet")))
     dealt = dealt.select("bucket", "fp", "n", "sketch", *["label"] * labelled)
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pairs(bands, labelled), PAIRS).distinct()
+    return in_batches(dealt.repartition("bucket").sortWithinPartitions("bucket")).mapInArrow(_bucket_pairs(bands, labelled), PAIRS).distinct()
 
 
 def _compare(bands: Bands):
@@ -357,7 +357,7 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """The pairs whose sets are linked, by comparing the whole sets."""
     one = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("set_a"))
     two = sets.select(F.col("fp").alias("b"), F.col("hashes").alias("set_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_compare(bands), PAIRS)
+    return in_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")).mapInArrow(_compare(bands), PAIRS)
 
 
 def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -374,7 +374,7 @@ def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int
                 "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
             })
 
-    return texts.select("text").mapInArrow(rows, "fp bigint, hashes binary").join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
+    return in_batches(texts.select("text")).mapInArrow(rows, "fp bigint, hashes binary").join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
 
 
 def _with_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -409,7 +409,7 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             F.first("spare0").alias("spare0"), F.first("spare1").alias("spare1"), F.max("sketch").alias("sketch")),
         "classes")
 
-    keys = key_rows(docs, words, bands).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_shared, KEYS)
+    keys = in_batches(key_rows(docs, words, bands).repartition("key").sortWithinPartitions("key", "fp")).mapInArrow(_shared, KEYS)
     shared = scratch.save(keys, "shared")
     holders = shared.groupBy("key").agg(F.count(F.lit(1)).alias("holders"))
     members = scratch.save(_without_dearest(shared.join(holders, "key"), classes), "members")
@@ -485,7 +485,7 @@ def with_content(docs: DataFrame, words: int) -> DataFrame:
             yield batch.append_column("_n", pa.array(np.diff(offsets))).append_column("_fp", pa.array(fingerprints(hashes, offsets)))
 
     docs = docs.drop("_n", "_fp")
-    return docs.mapInArrow(rows, StructType([*docs.schema.fields, StructField("_n", LongType()), StructField("_fp", LongType())]))
+    return in_batches(docs).mapInArrow(rows, StructType([*docs.schema.fields, StructField("_n", LongType()), StructField("_fp", LongType())]))
 
 
 def _without_dearest(shared: DataFrame, classes: DataFrame) -> DataFrame:

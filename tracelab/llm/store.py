@@ -40,6 +40,17 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of one Arrow batch (or one longer row): what the JVM and Python each hold of a task's input at a time.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself; its session makes Arrow batches of ``BATCH_BYTES`` from now on, so that the memory
+    of a task does not follow the length of the texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def with_columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the named columns, cast to the types an operator works on.
 
