@@ -456,7 +456,10 @@ def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     """
     scratch = Scratch(docs.sparkSession, "one-per-component")
     linked = scratch.save(link_components(docs, words, percent), "linked").where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    key = F.col("doc_id").cast("bigint")
+    names = [f"column{i}" for i in range(len(docs.columns))]
+    own_id, own_text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    plain = docs.toDF(*names)  # no name of the caller's can clash with those below
+    key = F.col(own_id).cast("bigint") == F.col("_id")
 
     def ids(rows: DataFrame) -> DataFrame:
         rows = rows.select(F.col("doc_id").alias("_id")).distinct()
@@ -464,16 +467,17 @@ def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
 
     gone = linked.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("n"))
     gone = scratch.save(gone.where(F.col("gone") | (F.col("n") > 1)), "gone")
-    single = docs.join(ids(gone), key == F.col("_id"), "left_anti")
+    single = plain.join(ids(gone), key, "left_anti")
     doubtful = gone.where(~F.col("gone"))
     if doubtful.isEmpty():
-        return single
+        return single.toDF(*docs.columns)
     # Ids that come more than once: their rows are told apart by content, and one row per component stays.
-    rows = with_content(docs.join(ids(doubtful), key == F.col("_id"), "left_semi"), words)
+    rows = with_content(plain.join(ids(doubtful), key, "left_semi").withColumn("text", F.col(own_text).cast("string")), words)
     kept = linked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("component").alias("_component")).distinct()
-    own = rows.join(kept, (key == F.col("_id")) & rows["_fp"].eqNullSafe(F.col("_content")), "left")
-    empty = own.where(F.col("_n") == 0).select(*docs.columns)
-    return single.unionByName(own.where(F.col("_component").isNotNull()).dropDuplicates(["_component"]).select(*docs.columns)).unionByName(empty)
+    own = rows.join(kept, key & F.col("_fp").eqNullSafe(F.col("_content")), "left")
+    empty = own.where(F.col("_n") == 0).select(*names)
+    every = single.unionByName(own.where(F.col("_component").isNotNull()).dropDuplicates(["_component"]).select(*names)).unionByName(empty)
+    return every.toDF(*docs.columns)
 
 
 def with_content(docs: DataFrame, words: int) -> DataFrame:
