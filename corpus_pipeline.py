@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tracelab.llm import importance, mixing, packing, shingle_join, toxic_passages
 from tracelab.llm.store import Scratch, tokenizer_file
 
+#: Words that a Python worker remembers while packing (about 30 MB): executors come from the other stages with full heaps.
+WORD_CACHE = 150_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -51,7 +54,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         order = ["_file", "_row"]
     except AnalysisException:
         ordered, order = docs, ["doc_id"]
-    return packing.pack(ordered, tokenizer_file("byte_bpe_50k.json"), end_id=1, length=2048, order=order)
+    return packing.pack(ordered, tokenizer_file("byte_bpe_50k.json"), end_id=1, length=2048, order=order, cache=WORD_CACHE)
 
 
 STAGES: list[tuple[str, Stage]] = [

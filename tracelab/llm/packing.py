@@ -22,7 +22,7 @@ from tracelab.llm.token_ids import word_ids
 ENCODED = "part int, start_in_part bigint, doc_id bigint, n_tokens bigint, ids binary"
 
 
-def encoded_rows(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool = False, as_lists: bool = False) -> DataFrame:
+def encoded_rows(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool = False, as_lists: bool = False, cache: int | None = None) -> DataFrame:
     """First pass: (part, start_in_part, doc_id, n_tokens, ids) of (doc_id, text) rows, in their order.
 
     ``ids`` are little-endian unsigned 32-bit integers (or an array of them, ``as_lists``) and end
@@ -31,7 +31,7 @@ def encoded_rows(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, before = word_ids(tokenizer, drops_space), TaskContext.get().partitionId(), 0
+        own, part, before = word_ids(tokenizer, drops_space, cache), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = [x + end for x in own.ids(texts)]
@@ -80,7 +80,7 @@ def cut(start: Column, n: Column, ids: Column, length: int) -> Column:
 
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048,
-    order: Sequence[str] | None = None, with_ids: bool = False,
+    order: Sequence[str] | None = None, with_ids: bool = False, cache: int | None = None,
 ) -> DataFrame:
     """Pieces of all documents in sequences of ``length`` tokens, only the last of which is shorter.
 
@@ -88,7 +88,8 @@ def pack(
     ids if ``with_ids``. ``order`` names the columns that order the stream (ties by doc_id and text);
     without it, documents follow in the order of the table's splits. A null or empty text is one end
     token. Null and repeated ids and repeated rows are packed like any other; an empty table gives no
-    piece; further columns are ignored. A piece is found again by (sequence_id, offset).
+    piece; further columns are ignored. A piece is found again by (sequence_id, offset). ``cache`` bounds
+    the words whose ids a Python worker remembers; it changes time and memory only.
     """
     spark = docs.sparkSession
     if order:
@@ -99,7 +100,7 @@ def pack(
     else:
         rows = with_columns(docs, doc_id="bigint", text="string")
     scratch = Scratch(spark, "packing")
-    encoded = scratch.save(encoded_rows(rows, tokenizer, end_id), "encoded")
+    encoded = scratch.save(encoded_rows(rows, tokenizer, end_id, cache=cache), "encoded")
     located = encoded.join(F.broadcast(part_offsets(encoded)), "part")
     start = F.col("base") + F.col("start_in_part")
     pieces = located.select("doc_id", F.col("n_tokens").alias("doc_tokens"), *["ids"] * with_ids, F.inline(cut(start, F.col("n_tokens"), F.col("ids"), length)))

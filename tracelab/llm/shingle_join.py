@@ -120,7 +120,7 @@ def segment_keys(hashes: np.ndarray, offsets: np.ndarray, band: np.ndarray, band
     segment = (mix(hashes ^ salt) % counts[of].astype(np.uint64)).astype(np.int64)
     index = base[of] + segment
     filled = np.bincount(index, minlength=total)
-    # Slices hold about one megabyte of text and so fewer than 2^21 shingles, or one longer text.
+    # Slices hold about 256 KB of text and so fewer than 2^21 shingles, or one longer text.
     sums = _wrapped_sums(index, mix(hashes + np.uint64(0x8EBC6AF09C88C6E3)), total)
     owner = np.repeat(np.arange(len(sizes)), counts)
     number = (np.arange(total) - base[owner]).astype(np.uint64)

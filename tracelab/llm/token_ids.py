@@ -16,7 +16,7 @@ from itertools import islice
 
 import numpy as np
 
-#: Entries of the word cache (about 130 MB). The first half, where the frequent words are, is kept for good.
+#: Entries of the word cache by default (about 130 MB). The first half, where the frequent words are, is kept for good.
 CACHE = 600_000
 TOGETHER = 500
 #: In place of ids: white space stands beside the word's spaces.
@@ -25,20 +25,20 @@ ALONE = b"?"
 PARTS = re.compile(r"([^\W\d_]+)([.,;:!?]{1,3})?(?:\n([^\W\d_]+)([.,;:!?]{1,3})?)?")
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
-_TOKENIZERS: dict[tuple[str, bool], "WordIds"] = {}
+_TOKENIZERS: dict[tuple[str, bool, int | None], "WordIds"] = {}
 
 
 class WordIds:
     """Ids by ``tokenizers`` for one file, without added begin and end tokens, as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, drops_space: bool) -> None:
+    def __init__(self, path: str, drops_space: bool, entries: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.drops_space = drops_space
+        self.drops_space, self.entries = drops_space, entries
         self.lead = "" if drops_space else " "
         self.separator_id, added = max(self.tokenizer.get_added_tokens_decoder().items())
         self.separator = added.content
@@ -134,10 +134,11 @@ class WordIds:
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of whole texts, as ``tokenizer.encode(text, add_special_tokens=False)`` gives them."""
-        if len(self.starts) > CACHE // 4:
+        entries = self.entries or CACHE
+        if len(self.starts) > entries // 4:
             self.starts = {}
-        if len(self.known) > CACHE:  # never in the middle of a batch, whose words are looked up at its end
-            self.known = dict(islice(self.known.items(), CACHE // 2))
+        if len(self.known) > entries:  # never in the middle of a batch, whose words are looked up at its end
+            self.known = dict(islice(self.known.items(), entries // 2))
         find, split, parts, new = self.known.get, [], [], set()
         for text in texts:
             if self.drops_space:
@@ -173,8 +174,9 @@ class WordIds:
         return found
 
 
-def word_ids(path: str, drops_space: bool) -> WordIds:
-    """The tokenizer of this Python worker for a vocabulary file."""
-    if (path, drops_space) not in _TOKENIZERS:
-        _TOKENIZERS[path, drops_space] = WordIds(path, drops_space)
-    return _TOKENIZERS[path, drops_space]
+def word_ids(path: str, drops_space: bool, entries: int | None = None) -> WordIds:
+    """The tokenizer of this Python worker for a vocabulary file, with a word cache of so many entries."""
+    key = path, drops_space, entries
+    if key not in _TOKENIZERS:
+        _TOKENIZERS[key] = WordIds(*key)
+    return _TOKENIZERS[key]

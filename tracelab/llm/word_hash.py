@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from tracelab.llm.store import slices
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
@@ -97,5 +97,5 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
 
 
 def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in pieces of about one megabyte of text, or one longer text."""
+    """Rows in pieces of about 256 KB of text, or one longer text."""
     return slices(batches, "text", SLICE)
