@@ -1,14 +1,18 @@
 """URL templates and Pfair mixing against plain Python."""
 
+import heapq
 import re
 from collections import Counter, defaultdict
 
+import duckdb
+import oracle
 import pytest
 from edge_docs import edge_docs, no_docs
 from pyspark.sql import functions as F
 
 from tracelab.llm import mixing, url_templates
 from tracelab.llm.queries import URL_RULES
+from tracelab.llm.store import Scratch
 from tracelab.llm.url_templates import TemplateTree
 
 URLS = [
@@ -146,3 +150,45 @@ def test_too_many_slots_are_refused(spark):
     table = spark.createDataFrame([("+a", mixing.MAX_PERIOD + 1)], "key string, parts bigint")
     with pytest.raises(Exception, match="more than"):
         mixing.schedule(table).collect()
+
+
+def plain_schedule(parts):
+    """Slot of each (key, nth) by a heap of the released blocks, smallest deadline first."""
+    period, slots, ready = sum(parts.values()), {}, []
+    waiting = sorted((i * period // p, -(-(i + 1) * period // p), k, i) for k, p in parts.items() for i in range(p))[::-1]
+    for t in range(period):
+        while waiting and waiting[-1][0] <= t:
+            heapq.heappush(ready, waiting.pop()[1:])
+        deadline, key, nth = heapq.heappop(ready)
+        assert t < deadline
+        slots[key, nth] = t
+    return slots
+
+
+@pytest.mark.parametrize("parts", [{"+a": 3, "+b": 1}, {f"+{i}": 1 + i * i % 37 for i in range(150)}, {f"+{i}": 1 for i in range(70)}])
+def test_schedule_in_rows_is_earliest_deadline_first(spark, parts, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 100)
+    rows = spark.createDataFrame(list(parts.items()), "key string, parts bigint")
+    got = mixing.schedule_rows(rows, sum(parts.values()), Scratch(spark, "schedule")).collect()
+    assert {(r["key"], r["nth"]): r["slot"] for r in got} == plain_schedule(parts) and len(got) == sum(parts.values())
+
+
+def test_mix_takes_periods_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOT_DOCS", 50)
+    parts = {"a": mixing.MAX_PERIOD, "b": 300, "c": 1}
+    docs = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(900)], "doc_id bigint, source string")
+    rows = mixing.mix(docs, spark.createDataFrame(list(parts.items()), "source string, parts int"), block=2).collect()
+    slots, period = plain_schedule({"+" + k: v for k, v in parts.items()}), sum(parts.values())
+    assert len(rows) == len({r["_position"] for r in rows}) == 900
+    for r in rows:
+        p = parts[r["source"]]
+        assert r["_slot"] == r["_block"] // p * period + slots["+" + r["source"], r["_block"] % p]
+
+
+def test_weights_are_not_clipped(spark):
+    docs = spark.range(25_001).selectExpr("id AS doc_id", "CASE WHEN id < 20000 THEN 'a' WHEN id < 25000 THEN 'b' END AS source")
+    assert {tuple(r) for r in mixing.tempered_parts(docs).collect()} == {("a", 141), ("b", 71), (None, 1)}
+    mixed = mixing.mix(docs).selectExpr("doc_id", "source", "_block AS block", "_slot AS slot", "_position AS position")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT range AS doc_id, CASE WHEN range < 20000 THEN 'a' WHEN range < 25000 THEN 'b' END AS source FROM range(25001)")
+    assert oracle.compare(mixed, con, mixing.mix_sql(most=10**9)) is None

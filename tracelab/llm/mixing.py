@@ -5,8 +5,9 @@ floor(i * D / p) on (release) and must have run before slot ceil((i + 1) * D / p
 earliest deadline first among the released blocks fills slot after slot. As long as all sources have blocks, the number
 of blocks of a source in the first t slots differs from t * p / D by less than one.
 
-Windows of blocks repeat after D slots, so one period is scheduled (a fold over D slots, a small
-table) and block b of a source gets slot (b div p) * D + the slot of its block b mod p in the period.
+Windows of blocks repeat after D slots, so one period is scheduled and block b of a source gets slot
+(b div p) * D + the slot of its block b mod p in the period. A short period is a fold over its slots; any
+other is made from rows of blocks and slots (``schedule_rows``), with the same slots.
 Documents find their block by their rank in a seeded shuffle of their source, which needs no
 window over a whole source: ranks are counted in buckets of the hash, with the sizes of the buckets before.
 """
@@ -16,8 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of a period; with as many sources at most, the schedule stays a small table.
+from tracelab.functions.ordering import row_numbers
+from tracelab.llm.store import Scratch
+
+#: Slots of a period that ``schedule`` folds; ``schedule_rows`` takes any number.
 MAX_PERIOD = 20_000
+#: Slots of a period that ``mix`` still schedules by a fold, as one broadcast row for each source.
+FOLDED = 1_000
+#: Slots of a chunk of running sums, and elements of an exploded array.
+CHUNK = 1 << 17
+#: Documents of one slot of a period in one task of the join.
+SLOT_DOCS = 100_000
 
 
 def source_key(source: Column) -> Column:
@@ -31,11 +41,11 @@ def shuffle_hash(seed: int, doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def tempered_parts(docs: DataFrame, most: int = 64) -> DataFrame:
-    """(source, parts): square-root weights, the smallest source with one part, at most ``most``."""
+def tempered_parts(docs: DataFrame) -> DataFrame:
+    """(source, parts): square-root weights, the smallest source with one part."""
     sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     least = sizes.agg(F.min("n")).first()[0] or 1
-    return sizes.select("source", F.least(F.greatest(F.round(F.sqrt(F.col("n") / F.lit(least))), F.lit(1)), F.lit(most)).cast("bigint").alias("parts"))
+    return sizes.select("source", F.greatest(F.round(F.sqrt(F.col("n") / F.lit(least))), F.lit(1)).cast("bigint").alias("parts"))
 
 
 def schedule(parts: DataFrame) -> DataFrame:
@@ -69,6 +79,61 @@ def schedule(parts: DataFrame) -> DataFrame:
     ).withColumn("nth", F.row_number().over(nth) - 1)
 
 
+def _numbers(rows: DataFrame, count: Column, name: str) -> DataFrame:
+    """Rows once for each number from 0 to ``count`` - 1; no array is longer than a chunk."""
+    rows = rows.withColumn("_count", count).where("_count > 0")
+    rows = rows.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_count") - 1, F.lit(CHUNK).cast("bigint"))))
+    last = F.least(F.col("_first") + CHUNK, F.col("_count")) - 1
+    return rows.withColumn(name, F.explode(F.sequence(F.col("_first"), last))).drop("_count", "_first")
+
+
+def schedule_rows(parts: DataFrame, period: int, scratch: Scratch) -> DataFrame:
+    """The rows of ``schedule`` at any number of sources and slots; ``period`` is the sum of the parts.
+
+    The slots that the more urgent half of the blocks takes do not depend on the order inside it: a slot is idle
+    where the blocks released so far are fewer than the slots so far, less those idle before. So each round halves
+    groups of blocks by urgency (deadline, then key): the upper half keeps the slots it makes busy, the lower one the
+    idle ones, and releases are counted in slots of the own group. After log2(period) rounds a group is one
+    block and one slot. A period is full, so no slot stays idle in a whole group.
+    """
+    jobs = _numbers(parts.select("key", "parts"), F.col("parts"), "nth").withColumns({
+        "release": F.expr(f"nth * {period}L div parts"), "deadline": F.expr(f"((nth + 1) * {period}L + parts - 1) div parts")})
+    jobs = scratch.save(jobs, "blocks")
+    jobs = row_numbers(jobs, [], "deadline", ["key"], name="urgency").withColumn("urgency", F.col("urgency") - 1)
+    jobs = scratch.save(jobs.select("key", "parts", "nth", "urgency", "release"), "blocks0")
+    slots = _numbers(parts.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("node")), F.lit(period).cast("bigint"), "at")
+    slots = scratch.save(slots.withColumn("slot", F.col("at")), "slots0")
+    scratch.drop("blocks")
+    rounds = (period - 1).bit_length()
+    for done, height in enumerate(range(rounds, 0, -1)):
+        node, lower = F.shiftright("urgency", height), F.shiftright("urgency", height - 1).bitwiseAND(F.lit(1).cast("bigint"))
+        placed = jobs.withColumns({"node": node, "lower": lower})
+        released = placed.where("lower = 0").groupBy("node", F.col("release").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+        own = slots.join(released, ["node", "at"], "left").withColumn("chunk", F.expr(f"`at` div {CHUNK}"))
+        inside = Window.partitionBy("node", "chunk").orderBy("at")
+        n = F.coalesce("n", F.lit(0).cast("bigint"))
+        own = own.withColumn("n", n).withColumn("level", F.sum("n").over(inside) - F.col("at") - 1)
+        chunks = own.groupBy("node", "chunk").agg(F.sum("n").alias("sum"), F.min("level").alias("low"))
+        earlier = Window.partitionBy("node").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        chunks = chunks.withColumn("sum_before", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
+        chunks = chunks.withColumn("low_before", F.least(F.lit(0), F.min(F.col("sum_before") + F.col("low")).over(earlier)))
+        own = own.join(chunks.select("node", "chunk", "sum_before", "low_before"), ["node", "chunk"])
+        low = F.min("level").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("sum_before")
+        low_before = F.min("level").over(inside.rowsBetween(Window.unboundedPreceding, -1)) + F.col("sum_before")
+        # Idle slots up to this one, and before it.
+        own = own.withColumns({"idle": -F.least("low_before", low), "idle_before": -F.least("low_before", low_before)})
+        table = scratch.save(own.select("node", "at", "slot", "idle", "idle_before"), f"round{done + 1}")
+        is_idle = (F.col("idle") > F.col("idle_before")).cast("bigint")
+        group = lambda half: F.col("node") * 2 + half
+        inner = lambda half, at: F.when(half == 1, F.col("idle_before")).otherwise(at - F.col("idle_before"))
+        slots = table.select(group(is_idle).alias("node"), inner(is_idle, F.col("at")).alias("at"), "slot")
+        moved = placed.join(table.select("node", F.col("at").alias("release"), "idle_before"), ["node", "release"])
+        jobs = scratch.save(moved.select("key", "parts", "nth", "urgency", inner(F.col("lower"), F.col("release")).alias("release")), f"blocks{done + 1}")
+        scratch.drop(f"blocks{done}", f"round{done}" if done else "slots0")
+    found = jobs.join(slots.select(F.col("node").alias("urgency"), "slot"), "urgency")
+    return found.select("key", "parts", F.lit(period).cast("bigint").alias("period"), "slot", "nth")
+
+
 def mix(docs: DataFrame, parts: DataFrame | None = None, block: int = 16, seed: int = 7) -> DataFrame:
     """All columns of ``docs`` and ``_block``, ``_slot`` and ``_position`` (bigint), one row per input row.
 
@@ -84,21 +149,36 @@ def mix(docs: DataFrame, parts: DataFrame | None = None, block: int = 16, seed:
     keyed = docs.withColumns({"_mix_key": source_key(F.col("source").cast("string")), "_mix_hash": shuffle_hash(seed, F.col("doc_id"))})
     buckets = 8 * max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = keyed.withColumn("_mix_bucket", F.floor(F.col("_mix_hash") / F.lit(2.0**60) * F.lit(buckets)).cast("int"))
-    sizes = keyed.groupBy("_mix_key", "_mix_bucket").agg(F.count(F.lit(1)).alias("n"))
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sizes = scratch.save(keyed.groupBy("_mix_key", "_mix_bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
     earlier = Window.partitionBy("_mix_key").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("_mix_key", "_mix_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_mix_before"))
-    present = sizes.select(F.col("_mix_key").alias("key")).distinct()
-    shares = present.join(wanted, "key", "left").select("key", F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)).cast("bigint").alias("parts"))
-    plan = schedule(shares).select(F.col("key").alias("_mix_key"), F.col("parts").alias("_mix_parts"), F.col("period").alias("_mix_period"), F.col("nth").alias("_mix_nth"), F.col("slot").alias("_mix_in_period"))
+    present = sizes.groupBy(F.col("_mix_key").alias("key")).agg(F.sum("n").alias("n"))
+    shares = present.join(wanted, "key", "left").select("key", "n", F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)).cast("bigint").alias("parts"))
+    shares = scratch.save(shares, "shares")
+    period = shares.agg(F.sum("parts")).first()[0] or 0
 
     inside = Window.partitionBy("_mix_key", "_mix_bucket").orderBy("_mix_hash", "doc_id", *[F.xxhash64(c) for c in docs.columns if c != "doc_id"])
-    ranked = keyed.withColumn("_mix_rank", F.row_number().over(inside) - 1).join(before, ["_mix_key", "_mix_bucket"])
+    ranked = keyed.withColumn("_mix_rank", F.row_number().over(inside) - 1)
     rank = F.col("_mix_before") + F.col("_mix_rank")
-    blocks = ranked.withColumns({"_block": F.floor(rank / block), "_mix_in_block": rank % block})
-    # The plan has at most MAX_PERIOD rows, whatever the number of documents.
-    small = plan.groupBy("_mix_key", "_mix_parts", "_mix_period").agg(F.transform(F.sort_array(F.collect_list(F.struct("_mix_nth", "_mix_in_period"))), lambda s: s["_mix_in_period"]).alias("_mix_slots"))
-    placed = blocks.join(F.broadcast(small), "_mix_key")
-    slot = F.floor(F.col("_block") / F.col("_mix_parts")) * F.col("_mix_period") + F.get("_mix_slots", (F.col("_block") % F.col("_mix_parts")).cast("int"))
+    places = {"_block": F.floor(rank / block), "_mix_in_block": rank % block}
+    if period <= FOLDED:
+        plan = schedule(shares.select("key", "parts")).groupBy(F.col("key").alias("_mix_key"), F.col("parts").alias("_mix_parts"))
+        small = plan.agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "slot"))), lambda s: s["slot"]).alias("_mix_slots"))
+        placed = ranked.join(before, ["_mix_key", "_mix_bucket"]).withColumns(places).join(F.broadcast(small), "_mix_key")
+        in_period = F.get("_mix_slots", (F.col("_block") % F.col("_mix_parts")).cast("int"))
+    else:
+        # The slot of a block comes by a join on (source, nth); where many documents share one, its row is repeated.
+        salts = F.ceil(F.col("n") / (F.col("parts") * SLOT_DOCS)).cast("bigint")
+        dealt = shares.select(F.col("key").alias("_mix_key"), F.col("parts").alias("_mix_parts"), salts.alias("_mix_salts"))
+        plan = scratch.save(schedule_rows(shares.select("key", "parts"), period, scratch), "plan")
+        plan = plan.select(F.col("key").alias("_mix_key"), F.col("nth").alias("_mix_nth"), F.col("slot").alias("_mix_in_period"))
+        plan = _numbers(plan.join(dealt.select("_mix_key", "_mix_salts"), "_mix_key"), F.col("_mix_salts"), "_mix_salt").drop("_mix_salts")
+        blocks = ranked.join(before.join(dealt, "_mix_key"), ["_mix_key", "_mix_bucket"]).withColumns(places)
+        nth, turn = F.col("_block") % F.col("_mix_parts"), F.floor(F.col("_block") / F.col("_mix_parts"))
+        placed = blocks.withColumns({"_mix_nth": nth, "_mix_salt": turn % F.col("_mix_salts")}).join(plan, ["_mix_key", "_mix_nth", "_mix_salt"])
+        in_period = F.col("_mix_in_period")
+    slot = F.floor(F.col("_block") / F.col("_mix_parts")) * F.lit(period).cast("bigint") + in_period
     return placed.withColumn("_slot", slot).withColumn("_position", F.col("_slot") * block + F.col("_mix_in_block")).select(
         *docs.columns, "_block", "_slot", "_position")
 
