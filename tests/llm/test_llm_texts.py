@@ -82,6 +82,15 @@ def test_links_equal_all_pairs(spark, monkeypatch, seed, words, percent, block):
     assert sorted(map(tuple, linked), key=str) == plain_links(rows, words, percent)
 
 
+def test_null_id_before_copies_and_a_near_copy(spark):
+    text = prose(31, 120)
+    rows = [(None, text), (2, text), (1, text), (3, text + " tail"), (None, text + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    linked = shingle_join.link_components(docs, 5, 80).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, linked), key=str) == plain_links(rows, 5, 80)
+    assert sorted(r["component_id"] for r in linked if r["doc_id"]) == [1, 1, 1]
+
+
 def test_no_documents_no_links(spark):
     assert shingle_join.link_components(no_docs(spark)).count() == 0
     assert shingle_join.one_per_component(no_docs(spark)).count() == 0

@@ -145,7 +145,7 @@ def _band_pairs(sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray
 
 
 def set_rows(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """(doc_id, n, fp, spare0, spare1, sketch) per document; the sketch once per task and content."""
+    """(doc_id, n, fp, spare0, spare1, sketch) per document; the sketch once per task and content, on a row with an id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -158,7 +158,8 @@ def set_rows(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                 _, _, left = segment_keys(hashes, offsets, band, bands)
                 used = band >= 0
                 spare[band[used] & 1, np.flatnonzero(used)] = left[used]
-            first = [not (p in seen or seen.add(p)) for p in prints.tolist()]
+            named = batch.column("doc_id").is_valid().to_pylist()
+            first = [known and not (p in seen or seen.add(p)) for p, known in zip(prints.tolist(), named)]
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "n": pa.array(sizes), "fp": pa.array(prints),
                 "spare0": pa.array(spare[0], pa.int32()), "spare1": pa.array(spare[1], pa.int32()),
