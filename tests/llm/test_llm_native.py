@@ -95,6 +95,19 @@ def test_judge_equals_plain_python(spark, tree, given):
     assert sorted(map(tuple, got), key=str) == plain_judge(rows, tree, labels)
 
 
+def test_deep_segments_part_pages(spark):
+    ext = ["html"] * 4 + ["pdf"] * 3
+    few = [f"https://few.org/{'a' if i < 4 else 'b'}/1/2/3/{i}.{e}" for i, e in enumerate(ext)]
+    many = [f"https://many.org/a/b/c/d/{'x' if i < 20 else 'y'}/f/{i}.html" for i in range(40)]
+    rows = list(enumerate(few + many))
+    pages = spark.createDataFrame([(i, u, int("html" in u and "/y/" not in u) if i % 7 != 6 else None) for i, u in rows], "page_id bigint, url string, bad int")
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_templates.judge(pages, [], TemplateTree(), "bad").collect()}
+    assert {got[i] for i in range(4)} == {("/*/*/*/*/*.html", "block")}
+    assert {got[i][0] for i in range(4, 7)} == {"/*/*/*/*/*.pdf"} and {got[i][1] for i in range(4, 7)} == {"allow"}
+    tails = {got[i] for i in range(7, 27)}, {got[i] for i in range(27, 47)}
+    assert [len(x) for x in tails] == [1, 1] and {v for _, v in tails[0]} == {"block"} and {v for _, v in tails[1]} == {"allow"}
+
+
 def test_no_pages(spark):
     assert url_templates.judge(spark.createDataFrame([], "page_id bigint, url string"), URL_RULES).count() == 0
 

@@ -9,6 +9,9 @@ template tree, grown level by level for each host:
 * *merge*: frequent segments whose labelled block rate does not differ from that of their siblings
   (two-proportion z-test) are one branch ``+``; the others, and those without labels, of which
   nothing is known to be similar, stay branches of their own;
+* *grow on*: below ``depth`` levels only nodes of ``support`` pages or more with segments left go to the next
+  level. In smaller ones every segment is variable, so the rest of a path is its wildcards at once; where the
+  rest of all pages of a node is the same, nothing splits any more and ``/**`` stands for it;
 * *reject*: a template is blocked if its labelled block rate, smoothed towards that of all pages,
   reaches ``purity``.
 
@@ -29,7 +32,7 @@ from tracelab.llm.store import Scratch
 
 @dataclass(frozen=True)
 class TemplateTree:
-    """Production parameters: levels of the tree, pages a literal branch needs, z score that keeps a
+    """Production parameters: levels that every page goes through, pages a literal branch needs, z score that keeps a
     branch apart, weight of the prior in labelled pages, block rate that rejects, salts of a join."""
 
     depth: int = 4
@@ -79,8 +82,15 @@ def grow(pages: DataFrame, tree: TemplateTree, scratch: Scratch) -> DataFrame:
     """Add ``template`` to pages (page_id, host, path, n, labelled, blocked, ...), one level after another."""
     segments = F.filter(F.split("path", "/", -1), lambda s: s != "")
     rows = scratch.save(pages.withColumns({"template": F.lit(""), "segments": segments}), "level0")
-    deepest = rows.agg(F.max(F.size("segments"))).first()[0]
-    for level in range(min(deepest or 0, tree.depth)):
+    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
+    ended: list[DataFrame] = []
+    for level in range(deepest):
+        if level >= tree.depth:
+            rows, done = _settle(rows, level, tree, scratch)
+            ended.append(done)
+            if rows.isEmpty():
+                scratch.drop(f"level{level}")
+                break
         here = rows.withColumn("segment", F.get("segments", F.lit(level)))
         children = _sums(here.where(F.col("segment").isNotNull()), "host", "template", "segment")
         nodes = _sums(children, "host", "template")
@@ -93,8 +103,27 @@ def grow(pages: DataFrame, tree: TemplateTree, scratch: Scratch) -> DataFrame:
             f"level{level + 1}",
         )
         scratch.drop(f"level{level}")
-    deeper = F.when(F.size("segments") > tree.depth, F.lit("/**")).otherwise(F.lit(""))
-    return rows.withColumn("template", F.concat("template", deeper)).drop("segments")
+    for done in ended:
+        rows = rows.unionByName(done)
+    return rows.drop("segments")
+
+
+def _settle(rows: DataFrame, level: int, tree: TemplateTree, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(pages of nodes that grow on, pages with their whole template) below ``level`` levels."""
+    left = F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0)))
+    rest = F.concat_ws("", F.transform(left, lambda s: F.concat(F.lit("/"), _wildcard(s))))
+    waiting = F.size("segments") > level
+    path = F.concat_ws("/", left)
+    nodes = rows.where(waiting).groupBy("host", "template").agg(
+        F.sum("n").alias("_n"), (F.min(path) == F.max(path)).alias("_one"), (F.min(rest) == F.max(rest)).alias("_same"))
+    # One and the same path all the way down splits nowhere either, however many pages have it.
+    state = F.when(F.col("_one") | ((F.col("_n") < tree.support) & F.col("_same")), F.lit("whole")).when(F.col("_n") < tree.support, F.lit("rest")).otherwise(F.lit("grow"))
+    joined = _salted_join(rows, nodes.select("host", "template", state.alias("_state")), ["host", "template"], tree.salts)
+    joined = joined.withColumn("_state", F.when(waiting, F.col("_state")).otherwise(F.lit("end")))
+    kept = scratch.save(joined, f"settled{level}")
+    more = F.when(F.col("_state") == "whole", F.lit("/**")).when(F.col("_state") == "rest", rest).otherwise(F.lit(""))
+    done = kept.where(F.col("_state") != "grow").withColumn("template", F.concat("template", more)).drop("_state")
+    return kept.where(F.col("_state") == "grow").drop("_state"), done
 
 
 def _branch(tree: TemplateTree) -> Column:
