@@ -2,6 +2,7 @@ import json
 import random
 import re
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,12 @@ def test_no_query_name_or_folder_is_reserved():
 
     assert not [n for n in entry.queries() if n == "pipeline" or re.match(r"op\d+_", n)]
     assert KEY == ["run_id", "sample_id"]
+
+
+def test_variant_list_of_a_large_sample_is_one_row(spark):
+    sql = "SELECT 'r' AS run_id, s AS sample_id, v AS variant_no, 't' || v AS text FROM (SELECT unnest(range(300)) AS v, 1 AS s UNION ALL SELECT unnest(range(3)), 2)"
+    rows = [("r", 1, i, f"t{i}") for i in range(300)] + [("r", 2, i, f"t{i}") for i in range(3)]
+    random.Random(2).shuffle(rows)
+    lists = lx.variant_lists(spark.createDataFrame(rows, "run_id STRING, sample_id BIGINT, variant_no INT, text STRING"))
+    want = f"SELECT run_id, sample_id, list(text ORDER BY variant_no) AS variants FROM ({sql}) GROUP BY ALL"
+    assert oracle.compare(lists, oracle.connect("/none"), want) is None

@@ -58,13 +58,9 @@ def lexical_features(variants: DataFrame) -> DataFrame:
 
 
 def variant_lists(variants: DataFrame) -> DataFrame:
-    """Ordered variant texts of each sample, for display; one row per 256 variants.
+    """Ordered variant texts of each sample, for display; one row per sample, whose sampler bounds the list.
 
-    Keyed by sample, never by question text. A sample that fits a block gives one row.
+    Keyed by sample, never by question text.
     """
     packed = F.array_sort(F.collect_list(F.struct("variant_no", "text")))
-    return (
-        variants.withColumn("block", F.floor(F.col("variant_no") / BLOCK).cast("int"))
-        .groupBy(*KEY, "block")
-        .agg(packed["text"].alias("variants"))
-    )
+    return variants.groupBy(*KEY).agg(packed["text"].alias("variants"))

@@ -65,7 +65,7 @@ def levenshtein(spark, sf_dir):
 
 @query("d60_variant_lists", f"{V} SELECT run_id, sample_id, 0 AS block, list(text ORDER BY variant_no) AS variants FROM variants GROUP BY ALL")
 def variant_lists(spark, sf_dir):
-    return lx.variant_lists(fx.variants(spark, sf_dir))
+    return lx.variant_lists(fx.variants(spark, sf_dir)).withColumn("block", F.lit(0))
 
 
 @query(
@@ -137,7 +137,7 @@ def semantic_entropy(spark, sf_dir):
 )
 def results_with_default(spark, sf_dir):
     questions = fx.table(spark, sf_dir, "documents").select(F.lit(fx.RUN_A).alias("run_id"), F.col("doc_id").alias("sample_id"), F.col("lang").alias("question"))
-    lists = lx.variant_lists(fx.variants(spark, sf_dir)).drop("block")
+    lists = lx.variant_lists(fx.variants(spark, sf_dir))
     entropy = sem.semantic_entropy(sem.cluster_variants(repeated_variants(spark, sf_dir)))
     return sem.results_with_default(questions, lists.join(entropy, KEY))
 
