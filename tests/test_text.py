@@ -239,9 +239,9 @@ def test_segments_join_to_rows(spark):
 
 
 def test_no_query_name_or_folder_is_reserved():
-    import __spark_entry__ as entry
+    from tracelab.plans import all_queries
 
-    assert not [n for n in entry.queries() if n == "pipeline" or re.match(r"op\d+_", n)]
+    assert not [n for n in all_queries.QUERIES if n == "pipeline" or re.match(r"op\d+_", n)]
     assert KEY == ["run_id", "sample_id"]
 
 
