@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import ball_tree, id_files, importance, mixing, packing, prefix_counts, shingle_join, toxic_passages, url_templates, vp_tree
+from tracelab.llm import ball_tree, id_files, importance, mixing, packing, prefix_counts, sharding, shingle_join, toxic_passages, url_templates, vp_tree
 from tracelab.llm.store import Scratch, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,4 +122,12 @@ def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.digests(spark, folder)
 
 
+@register("op13_shard_shuffle")
+def shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shuffled(sharding.sized(table(spark, sf_dir, "documents")), shards=40)
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
