@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import ball_tree, id_files, importance, mixing, packing, prefix_counts, sharding, shingle_join, toxic_passages, url_templates, vp_tree
+from tracelab.llm import ball_tree, conversation_repair, id_files, importance, mixing, packing, prefix_counts, sharding, shingle_join, toxic_passages, url_templates, vp_tree
 from tracelab.llm.store import Scratch, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,29 @@ def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.digests(spark, folder)
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversation rows with known faults, dealt by a checksum of conversation and turn; nulls of role and text are one space."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = conversations.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")], (F.crc32(key) % 20).alias("_fate"))
+    text = F.when(F.col("_fate") == 1, F.lit("")).when(F.col("_fate") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("_fate") == 4, F.lit("user")).otherwise(F.col("role"))
+    times = F.array_repeat(F.lit(0), F.when(F.col("_fate") == 0, 0).when(F.col("_fate") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times)).drop("col")
+
+
+@register("op11_conversation_repair")
+def conversation_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    repaired = conversation_repair.repair(damaged(conversations))
+    every = conversations.select(F.col("conv_id").alias("id")).distinct()
+    found = every.join(repaired.report, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    found = found.join(repaired.digests(), F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(
+        F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 @register("op13_shard_shuffle")
 def shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shuffled(sharding.sized(table(spark, sf_dir, "documents")), shards=40)
