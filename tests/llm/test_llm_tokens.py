@@ -1,5 +1,6 @@
 """Token operators against the tokenizer libraries, position by position."""
 
+import random
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from edge_docs import ROWS, edge_docs, no_docs, prose
 from pyspark.sql import functions as F
 
-from tracelab.llm import id_files, packing, prefix_counts
+from tracelab.llm import id_files, packing, prefix_counts, unit_table
 from tracelab.llm.store import Scratch, tokenizer_file
 from tracelab.llm.token_ids import WordIds
 
@@ -22,20 +23,42 @@ def pieces():
     return sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
 
 
-@pytest.mark.parametrize("name, drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_word_ids_equal_the_tokenizer(name, drops):
-    own = WordIds(tokenizer_file(name), drops)
+IRREGULAR += ["\nx", "x\n", "a \nb", "a\n b", "don't   x", "a　 b", "“Hi” — ok… £5 ½ ²", "x<|endoftext|> y <|startoftext|>", "\x85 a \x1c b", "1234 12a34 ÉÈ", "a" * 300 + " b"]
+LETTERS = [*"ab cde.,  \n'1é É ñ\t“日<|", "<|endoftext|>", " the "]
+
+
+@pytest.mark.parametrize("window", [1 << 20, 64])
+@pytest.mark.parametrize("name, drops, plain", [("byte_bpe_50k.json", False, False), ("byte_bpe_50k.json", False, True), ("word_bpe_49k.json", True, False)])
+def test_word_ids_equal_the_tokenizer(monkeypatch, name, drops, plain, window):
+    monkeypatch.setattr(unit_table, "WINDOW", window)
+    own, rng = WordIds(tokenizer_file(name), drops, plain=plain), random.Random(window)
     texts = TEXTS + IRREGULAR + [prose(i, 50) + x + prose(i + 1, 5) for i, x in enumerate(IRREGULAR)]
+    texts += ["".join(rng.choice(LETTERS) for _ in range(rng.randrange(40))) for _ in range(1000)]
+    assert own.merges.orderly
     for text, ids in zip(texts, own.ids(texts)):
         want = own.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, dtype="<u4").tolist() == want, text[:60]
 
 
-def test_word_cache_keeps_results_when_it_overflows(monkeypatch):
-    from tracelab.llm import token_ids
-
-    monkeypatch.setattr(token_ids, "CACHE", 20)
+def test_units_that_share_a_hash(monkeypatch):
+    monkeypatch.setattr(unit_table, "range_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
     own = WordIds(tokenizer_file("byte_bpe_50k.json"), False)
+    for text, ids in zip(IRREGULAR, own.ids(IRREGULAR)):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == own.tokenizer.encode(text).ids
+
+
+def test_many_units_in_the_index():
+    index, rng = unit_table.HashIndex(), np.random.default_rng(3)
+    hashes = rng.integers(0, 2**63, 30_000, dtype=np.uint64)
+    for part in np.split(hashes, 10):
+        index.add(part)
+    assert (index.find(hashes) == np.arange(30_000)).all() and (index.find(hashes + np.uint64(1)) == -1).all()
+    index.keep(100)
+    assert (index.find(hashes) == np.where(np.arange(30_000) < 100, np.arange(30_000), -1)).all()
+
+
+def test_unit_table_keeps_results_when_it_overflows():
+    own = WordIds(tokenizer_file("byte_bpe_50k.json"), False, 20)
     for seed in range(6):
         texts = [prose(seed, 30)] + IRREGULAR
         assert [len(x) // 4 for x in own.ids(texts)] == [len(own.tokenizer.encode(t).ids) for t in texts]

@@ -28,30 +28,39 @@ def encoded_rows(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool
     ``ids`` are little-endian unsigned 32-bit integers (or an array of them, ``as_lists``) and end
     with ``end_id``; a null text is empty.
     """
-    end = np.asarray([end_id], dtype="<u4").tobytes()
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, before = word_ids(tokenizer, drops_space, cache), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text"):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [x + end for x in own.ids(texts)]
-            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-            starts = before + np.cumsum(n) - n
-            before += int(n.sum())
+            ids, bounds = ended(*own.columns(batch.column("text")), end_id)
+            n = np.diff(bounds)
             yield pa.record_batch({
-                "part": pa.array(np.full(len(ids), part, dtype=np.int32)),
-                "start_in_part": pa.array(starts),
+                "part": pa.array(np.full(len(n), part, dtype=np.int32)),
+                "start_in_part": pa.array(before + bounds[:-1]),
                 "doc_id": batch.column("doc_id"),
                 "n_tokens": pa.array(n),
-                "ids": lists(ids, n) if as_lists else pa.array(ids, pa.binary()),
+                "ids": lists(ids, bounds) if as_lists else binaries(ids, bounds),
             })
+            before += int(bounds[-1])
 
     return in_batches(docs).mapInArrow(rows, ENCODED.replace("binary", "array<int>") if as_lists else ENCODED)
 
 
-def lists(ids: list[bytes], n: np.ndarray) -> pa.ListArray:
-    values = np.frombuffer(b"".join(ids), dtype="<i4")
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values))
+def ended(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts with an end id after each."""
+    n = len(bounds) - 1
+    out = np.full(len(ids) + n, end_id, dtype="<u4")
+    out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(bounds))] = ids
+    return out, bounds + np.arange(n + 1)
+
+
+def lists(ids: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view("<i4")))
+
+
+def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Binary values from the bytes of an array between bounds."""
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
 def part_offsets(encoded: DataFrame) -> DataFrame:

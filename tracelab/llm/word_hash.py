@@ -36,7 +36,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, SLICE + (SLICE >> 2))
         inverse = pow(_BASE, -1, 2**64)
@@ -68,7 +68,7 @@ def hashed_words(texts: pa.Array, tokens: bool = False) -> tuple[np.ndarray, np.
     at = np.flatnonzero(change)
     words = kind[at] != 0
     starts, ends = at[words], np.append(at[1:], n)[words]
-    power, inverse = _power_tables(n)
+    power, inverse = power_tables(n)
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(_TABLE[data] * power, out=sums[1:])
