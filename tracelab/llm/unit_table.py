@@ -35,7 +35,7 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 class HashIndex:
-    """Numbers 0, 1, ... by 64-bit hashes, with linear probing; half of the slots at least are free."""
+    """Numbers 0, 1, ... by 64-bit hashes, with double hashing; half of the slots at least are free."""
 
     def __init__(self) -> None:
         self.hashes = np.zeros(1 << 10, dtype=np.uint64)
@@ -43,7 +43,7 @@ class HashIndex:
         self._slots(11)
 
     def _slots(self, bits: int) -> None:
-        self.shift, self.slots = np.uint64(64 - bits), np.full(1 << bits, -1, dtype=np.int32)
+        self.shift, self.slots, self.held = np.uint64(64 - bits), np.full(1 << bits, -1, dtype=np.int32), np.zeros(1 << bits, dtype=np.uint64)
         self._place(np.arange(self.count, dtype=np.int32))
 
     def _place(self, pending: np.ndarray) -> None:
@@ -52,23 +52,31 @@ class HashIndex:
         while len(pending):
             free = self.slots[slot] < 0
             self.slots[slot[free]] = pending[free]
-            lost = self.slots[slot] != pending
-            pending, slot = pending[lost], (slot[lost] + 1) & mask
+            won = self.slots[slot] == pending
+            self.held[slot[won]] = self.hashes[pending[won]]
+            pending, slot = pending[~won], slot[~won]
+            slot = (slot + self._steps(self.hashes[pending])) & mask
+
+    @staticmethod
+    def _steps(hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64(0xFFFFFF) | np.uint64(1)).astype(np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each hash, -1 for unknown ones."""
-        out = np.full(len(hashes), -1, dtype=np.int64)
-        rest, slot, mask = None, (hashes >> self.shift).astype(np.int64), len(self.slots) - 1
-        while len(slot):
-            number = self.slots[slot]
-            same = (number >= 0) & (self.hashes[number] == hashes)
-            if rest is None:
-                out[same] = number[same]
-            else:
-                out[rest[same]] = number[same]
-            on = (number >= 0) & ~same
-            rest = np.flatnonzero(on) if rest is None else rest[on]
-            hashes, slot = hashes[on], (slot[on] + 1) & mask
+        hashes = np.maximum(hashes, np.uint64(1))  # 0 marks a free slot
+        slot, mask = (hashes >> self.shift).astype(np.int64), len(self.slots) - 1
+        held = self.held[slot]
+        same = held == hashes
+        out = np.where(same, self.slots[slot], -1).astype(np.int64)
+        rest = np.flatnonzero(~same & (held != 0))
+        hashes, slot = hashes[rest], slot[rest]
+        while len(rest):
+            slot = (slot + self._steps(hashes)) & mask
+            held = self.held[slot]
+            same = held == hashes
+            out[rest[same]] = self.slots[slot[same]]
+            on = ~same & (held != 0)
+            rest, hashes, slot = rest[on], hashes[on], slot[on]
         return out
 
     def add(self, hashes: np.ndarray) -> None:
@@ -76,18 +84,18 @@ class HashIndex:
         size = self.count + len(hashes)
         if size > len(self.hashes):
             self.hashes = np.concatenate([self.hashes[: self.count], np.zeros(max(size, 2 * self.count) - self.count, dtype=np.uint64)])
-        self.hashes[self.count : size] = hashes
+        self.hashes[self.count : size] = np.maximum(hashes, np.uint64(1))
         numbers = np.arange(self.count, size, dtype=np.int32)
         self.count = size
         if 2 * size > len(self.slots):
-            self._slots(max(11, int(2 * size).bit_length() + 1))
+            self._slots(int(4 * size).bit_length())
         else:
             self._place(numbers)
 
     def keep(self, count: int) -> None:
         """Forget all but the first numbers."""
         self.count = min(count, self.count)
-        self._slots(max(11, int(2 * self.count).bit_length() + 1))
+        self._slots(max(11, int(4 * self.count).bit_length()))
 
 
 class Pool:

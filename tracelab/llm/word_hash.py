@@ -15,7 +15,7 @@ import pyarrow as pa
 from tracelab.llm.store import slices
 
 SLICE = 1 << 18
-_BASE = 0x9E3779B97F4A7C15
+BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
@@ -39,9 +39,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, SLICE + (SLICE >> 2))
-        inverse = pow(_BASE, -1, 2**64)
+        inverse = pow(BASE, -1, 2**64)
         _powers[:] = [
-            np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size, b, dtype=np.uint64)])) for b in (_BASE, inverse)
+            np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size, b, dtype=np.uint64)])) for b in (BASE, inverse)
         ]
     return _powers[0][:n], _powers[1]
 
@@ -81,7 +81,7 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
     n = len(hashes)
     total = np.zeros(n, dtype=np.uint64)
     for j in range(k):  # position in the run changes the weight, so order counts
-        weight = np.uint64(pow(_BASE, 2 * j + 3, 2**64))
+        weight = np.uint64(pow(BASE, 2 * j + 3, 2**64))
         total[: max(0, n - j)] += hashes[j:] * weight
     counts = np.diff(offsets)
     made = np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
@@ -89,7 +89,7 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
     np.add.at(keep, offsets[:-1][made > 0], 1)
     np.add.at(keep, (offsets[:-1] + made)[made > 0], -1)
     out = mix(total)
-    weights = np.array([pow(_BASE, 2 * j + 3, 2**64) for j in range(k)], dtype=np.uint64)
+    weights = np.array([pow(BASE, 2 * j + 3, 2**64) for j in range(k)], dtype=np.uint64)
     for i in np.flatnonzero((counts > 0) & (counts < k)):
         own = hashes[offsets[i] : offsets[i + 1]] * weights[: counts[i]]
         out[offsets[i]] = mix(own.sum(keepdims=True) + np.uint64(counts[i]))[0]
