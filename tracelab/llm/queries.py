@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import ball_tree, conversation_repair, id_files, importance, mixing, packing, prefix_counts, sharding, shingle_join, toxic_passages, url_templates, vp_tree
+from tracelab.llm import alignment, ball_tree, conversation_repair, id_files, importance, mixing, packing, prefix_counts, sharding, shingle_join, toxic_passages, url_templates, vp_tree
 from tracelab.llm.store import Scratch, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,6 +145,11 @@ def conversation_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+@register("op12_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @register("op13_shard_shuffle")
 def shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shuffled(sharding.sized(table(spark, sf_dir, "documents")), shards=40)
