@@ -73,7 +73,7 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed, words, percent, block", [(1, 4, 85, 4096), (2, 5, 80, 4096), (3, 5, 80, 6)])
+@pytest.mark.parametrize("seed, words, percent, block", [(1, 4, 85, 1 << 20), (2, 5, 80, 4096), (3, 5, 80, 600)])
 def test_links_equal_all_pairs(spark, monkeypatch, seed, words, percent, block):
     monkeypatch.setattr(shingle_join, "BLOCK", block)
     rows = near_copies(seed) + [(i, t) for i, t, _ in ROWS]
@@ -91,6 +91,34 @@ def test_null_id_before_copies_and_a_near_copy(spark):
     assert sorted(r["component_id"] for r in linked if r["doc_id"]) == [1, 1, 1]
 
 
+@pytest.mark.parametrize("block, lows", [(1 << 20, 32), (3000, 2)])
+def test_group_around_the_threshold(spark, monkeypatch, block, lows):
+    """Every pair shares keys, few are linked: links leave the buckets, not pairs."""
+    monkeypatch.setattr(shingle_join, "BLOCK", block)
+    monkeypatch.setattr(shingle_join, "LOWS", lows)
+    rng, words, rows = random.Random(8), prose(77, 300).split(), []
+    for i in range(70):
+        own = list(words)
+        for _ in range(rng.choice([2, 3, 4, 5, 6, 7])):
+            own[rng.randrange(len(own))] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    made = []
+    plain_joining = shingle_join.joining_links
+    monkeypatch.setattr(shingle_join, "joining_links", lambda dealt, *rest: made.append((dealt.count(), plain_joining(dealt, *rest).count())) or plain_joining(dealt, *rest))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    linked = shingle_join.link_components(docs.repartition(3), 5, 90).select("doc_id", "n_shingles", "component_id").collect()
+    want = plain_links(rows, 5, 90)
+    assert sorted(map(tuple, linked), key=str) == want and 1 < len({c for _, _, c in want}) < 70
+    assert made[0][1] <= made[0][0]
+
+
+def test_repeated_id_with_an_empty_text_stays(spark):
+    text = prose(41, 100)
+    rows = [(1, text), (2, text + " tail"), (2, ""), (3, "something else"), (3, None), (4, text)]
+    kept = shingle_join.one_per_component(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, text), (2, ""), (3, "something else"), (3, None)], key=str)
+
+
 def test_no_documents_no_links(spark):
     assert shingle_join.link_components(no_docs(spark)).count() == 0
     assert shingle_join.one_per_component(no_docs(spark)).count() == 0

@@ -12,10 +12,12 @@ or empty segments do not make large buckets. (One-deletion neighbourhoods of a s
 has shingles to save one more segment; at these thresholds that is dearer for every band, so the
 allocation never chooses them.)
 
-*Verification.* Sets carry a parity sketch; the number of different bits is a lower bound of the difference of two
-sets, and pairs above H go no further. Equal sets are one class. A class is first
-compared exactly with its smallest partner; then only pairs of different components are, until every
-pair of a bucket is in one component, excluded by the bound, or compared. Large groups of near copies are thus not expanded into all pairs.
+*Verification.* Equal sets are one class. Sets carry a parity sketch; the number of different bits is a lower bound of the
+difference of two sets, and pairs above H go no further. First, every block of a bucket gives a spanning forest of the pairs
+that the sketches allow, which is compared exactly and contracted. Then only buckets with several components are looked at again, block against block: sets
+with an allowed partner in another component go, with their whole shingles, to the task of the bucket, which compares them and
+returns only links that join two components. A pair is compared in one bucket, its first common one, as
+far as the first keys of both sets tell. So no step makes more rows than members of buckets, whatever the groups are.
 """
 
 from __future__ import annotations
@@ -33,14 +35,18 @@ from tracelab.llm.components import components
 from tracelab.llm.store import Scratch, in_batches, with_columns
 from tracelab.llm.word_hash import hashed_words, mix, shingles, text_slices
 
-#: Buckets of more sets are compared block by block.
-BLOCK = 4096
+#: Shingles of a block of a bucket (8 MB), as far as the band tells the size of a set; larger buckets have several blocks.
+BLOCK = 1 << 20
+#: Keys that a set carries to find the bucket in which a pair is compared.
+LOWS = 32
+#: Bits a shingle of the sketches that are made where whole sets are at hand.
+WIDE = 8
 #: Buckets up to this size are compared by whole-array operations.
 SMALL = 8
 #: Ids that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-SETS = "doc_id bigint, n bigint, fp bigint, spare0 int, spare1 int, sketch binary"
+SETS = "doc_id bigint, n bigint, fp bigint, band int, spare0 int, spare1 int, sketch binary"
 KEYS = "key bigint, fp bigint"
 PAIRS = "a bigint, b bigint"
 
@@ -73,11 +79,17 @@ class Bands:
         return np.where(100 * np.minimum(a, b) >= self.percent * np.maximum(a, b), allowed, -1)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def distinct_shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): the sorted distinct shingles of each text."""
     hashes, offsets, _, _ = hashed_words(texts)
     runs, bounds = shingles(hashes, offsets, words)
-    parts = [np.unique(runs[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    parts = [distinct(runs[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
     return (np.concatenate(parts) if parts else runs), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
@@ -95,10 +107,10 @@ def fingerprints(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(sums[offsets[1:]] - sums[offsets[:-1]] + sizes * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def sketches(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """Parity of the number of shingles that fall on each of 2^j bits, 2^j at least the size of the set."""
+def sketches(hashes: np.ndarray, offsets: np.ndarray, wide: int = 1) -> list[bytes]:
+    """Parity of the number of shingles that fall on each of 2^j bits, 2^j at least ``wide`` times the size of the set."""
     sizes = np.diff(offsets)
-    bits = np.array([max(64, 1 << max(0, int(n) - 1).bit_length()) for n in sizes], dtype=np.int64)
+    bits = np.array([max(64, 1 << max(0, wide * int(n) - 1).bit_length()) for n in sizes], dtype=np.int64)
     base = np.concatenate([[0], np.cumsum(bits)])
     place = mix(hashes ^ np.uint64(0xA0761D6478BD642F)).astype(np.int64) & np.repeat(bits - 1, sizes)
     parity = np.bincount(np.repeat(base[:-1], sizes) + place, minlength=int(base[-1])) & 1
@@ -145,7 +157,7 @@ def _band_pairs(sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray
 
 
 def set_rows(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """(doc_id, n, fp, spare0, spare1, sketch) per document; the sketch once per task and content, on a row with an id."""
+    """(doc_id, n, fp, band, spare0, spare1, sketch) per document; the sketch once per task and content, on a row with an id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -162,6 +174,7 @@ def set_rows(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
             first = [known and not (p in seen or seen.add(p)) for p, known in zip(prints.tolist(), named)]
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "n": pa.array(sizes), "fp": pa.array(prints),
+                "band": pa.array(bands.band(np.maximum(1, sizes)), pa.int32()),
                 "spare0": pa.array(spare[0], pa.int32()), "spare1": pa.array(spare[1], pa.int32()),
                 "sketch": pa.array([s if f else None for s, f in zip(drawn, first)], pa.binary()),
             })
@@ -236,30 +249,11 @@ def _differences(one: list[bytes], two: list[bytes]) -> np.ndarray:
     return out
 
 
-def _forest(prints: np.ndarray, sizes: np.ndarray, sketch: list[bytes], bands: Bands, label: np.ndarray | None) -> list[tuple[int, int]]:
-    """Pairs of one large bucket that the bound does not exclude.
-
-    Without labels a spanning forest of them, by breadth-first search; with labels all pairs of
-    different labels, for which members of the most frequent label are not compared with each other.
-    """
-    least = min(map(len, sketch))
-    drawn = np.concatenate([folded(_matrix([s]), least) for s in sketch]).view(np.uint64)
+def _forest(sizes: np.ndarray, sketch: list[bytes], bands: Bands) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of one large bucket that the bound does not exclude, by breadth-first search."""
+    near = _nearness(sizes, sketch, bands)
     out: list[tuple[int, int]] = []
-
-    def near(at: int, others: np.ndarray) -> np.ndarray:
-        differ = np.bitwise_count(drawn[others] ^ drawn[at]).sum(axis=1, dtype=np.int64)
-        return differ <= bands.most(sizes[others], sizes[at])
-
-    if label is not None:
-        names, counts = np.unique(label, return_counts=True)
-        rest = np.flatnonzero(label != names[np.argmax(counts)])
-        main = np.flatnonzero(label == names[np.argmax(counts)])
-        for at, one in enumerate(rest.tolist()):
-            others = np.concatenate([main, rest[at + 1 :]])
-            others = others[label[others] != label[one]]
-            out.extend((one, int(two)) for two in others[near(one, others)])
-        return out
-    unseen = np.arange(len(prints))
+    unseen = np.arange(len(sizes))
     while len(unseen):
         queue, unseen = [int(unseen[0])], unseen[1:]
         while queue and len(unseen):
@@ -272,21 +266,48 @@ def _forest(prints: np.ndarray, sizes: np.ndarray, sketch: list[bytes], bands: B
     return out
 
 
-def _bucket_pairs(bands: Bands, labelled: bool):
-    """A function from rows sorted by (key, block) to candidate pairs of contents."""
+def _nearness(sizes: np.ndarray, sketch: list[bytes], bands: Bands):
+    """A function from one set and some others to whether the bound allows a link."""
+    least = min(map(len, sketch))
+    drawn = np.concatenate([folded(_matrix([s]), least) for s in sketch]).view(np.uint64)
+
+    def near(at: int, others: np.ndarray) -> np.ndarray:
+        differ = np.bitwise_count(drawn[others] ^ drawn[at]).sum(axis=1, dtype=np.int64)
+        return differ <= bands.most(sizes[others], sizes[at])
+
+    return near
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole buckets from rows sorted by bucket."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("bucket").to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))  # start of the last, perhaps unfinished bucket
+        if cut or (held and held[-1].column("bucket")[-1].as_py() != keys[0]):
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _bucket_pairs(bands: Bands):
+    """A function from rows sorted by bucket to candidate pairs of contents."""
 
     def work(table: pa.Table) -> pa.RecordBatch:
         keys, prints, sizes = (table.column(c).to_numpy() for c in ("bucket", "fp", "n"))
         sketch = table.column("sketch").to_pylist()
-        label = table.column("label").to_numpy() if labelled else None
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         counts = np.diff(np.append(starts, len(keys)))
         group = np.repeat(counts, counts)
         one, two = [], []
         for step in range(1, SMALL):
             at = np.flatnonzero((keys[step:] == keys[:-step]) & (group[step:] <= SMALL)) if len(keys) > step else np.zeros(0, dtype=np.int64)
-            if labelled:
-                at = at[label[at] != label[at + step]]
             one.append(at)
             two.append(at + step)
         a, b = np.concatenate(one), np.concatenate(two)
@@ -297,9 +318,7 @@ def _bucket_pairs(bands: Bands, labelled: bool):
         large = [
             (start + i, start + j)
             for start, count in zip(starts[counts > SMALL].tolist(), counts[counts > SMALL].tolist())
-            for i, j in _forest(
-                prints[start : start + count], sizes[start : start + count], sketch[start : start + count], bands,
-                label[start : start + count] if labelled else None)
+            for i, j in _forest(sizes[start : start + count], sketch[start : start + count], bands)
         ]
         if large:
             more = np.array(large, dtype=np.int64)
@@ -307,34 +326,112 @@ def _bucket_pairs(bands: Bands, labelled: bool):
         pairs = np.unique(np.sort(np.column_stack([prints[a], prints[b]]), axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
         return pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
+    return lambda batches: map(work, _whole_buckets(batches))
+
+
+def bucket_pairs(members: DataFrame, bands: Bands) -> DataFrame:
+    """Distinct (a, b) pairs of contents in a block of a bucket: a spanning forest of those that the bound does not exclude."""
+    own = F.pmod(F.xxhash64("fp", "key"), F.col("blocks"))  # other keys deal the same sets otherwise
+    bucket = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", own))
+    dealt = members.select(bucket.alias("bucket"), "fp", "n", "sketch")
+    return in_batches(dealt.repartition("bucket").sortWithinPartitions("bucket")).mapInArrow(_bucket_pairs(bands), PAIRS).distinct()
+
+
+class _Bucket:
+    """Members of one bucket whose components differ: which pairs are to be compared here."""
+
+    def __init__(self, table: pa.Table, sketch: list[bytes], bands: Bands) -> None:
+        self.key, self.label = table.column("key")[0].as_py(), table.column("label").to_numpy()
+        self.lows = [np.frombuffer(x, dtype=">i8") for x in table.column("lows").to_pylist()]
+        self.near = _nearness(table.column("n").to_numpy(), sketch, bands)
+        names, counts = np.unique(self.label, return_counts=True)
+        most = self.label == names[np.argmax(counts)]
+        #: Members of the most frequent component need not be compared with each other.
+        self.rest, self.main = np.flatnonzero(~most), np.flatnonzero(most)
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
+        for at, one in enumerate(self.rest.tolist()):
+            others = np.concatenate([self.main, self.rest[at + 1 :]])
+            others = others[self.label[others] != self.label[one]]
+            others = others[self.near(one, others)]
+            yield one, np.array([two for two in others.tolist() if self.here(one, two)], dtype=np.int64)
+
+    def here(self, one: int, two: int) -> bool:
+        common = np.intersect1d(self.lows[one], self.lows[two], assume_unique=True)
+        return not len(common) or int(common[0]) == self.key
+
+
+def _suspects(bands: Bands):
+    """A function from rows sorted by bucket to the members (bucket, fp) that have a pair to be compared there."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column("bucket").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))  # start of the last, perhaps unfinished bucket
-            if cut or (held and held[-1].column("bucket")[-1].as_py() != keys[0]):
-                if cut:
-                    held.append(batch.slice(0, cut))
-                yield work(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield work(pa.Table.from_batches(held))
+        for table in _whole_buckets(batches):
+            for own in _by_bucket(table):
+                bucket = _Bucket(own, own.column("sketch").to_pylist(), bands)
+                found = np.zeros(own.num_rows, dtype=bool)
+                for one, others in bucket.partners():
+                    found[one] |= len(others) > 0
+                    found[others] = True
+                if found.any():
+                    yield from own.filter(pa.array(found)).select(["bucket", "fp"]).combine_chunks().to_batches()
+
+    return rows
+
+
+def _by_bucket(table: pa.Table) -> Iterator[pa.Table]:
+    keys = table.column("bucket").to_numpy()
+    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(keys)]):
+        yield table.slice(a, b - a)
+
+
+def _joining_links(bands: Bands):
+    """A function from rows with whole sets, sorted by bucket, to the links that join two components of a bucket."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_buckets(batches):
+            one_side, other_side = [], []
+            for own in _by_bucket(table):
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in own.column("hashes").to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                bucket = _Bucket(own, sketches(np.concatenate(sets), offsets, WIDE), bands)
+                prints, joined = own.column("fp").to_numpy(), bucket.label.copy()
+                for one, others in bucket.partners():
+                    for two in others.tolist():
+                        if joined[one] == joined[two]:
+                            continue
+                        common = int(np.isin(sets[one], sets[two], assume_unique=True, kind="sort").sum())
+                        if 100 * common >= bands.percent * (len(sets[one]) + len(sets[two]) - common):
+                            joined[joined == joined[two]] = joined[one]
+                            one_side.append(prints[one])
+                            other_side.append(prints[two])
+            yield pa.record_batch({"a": pa.array(one_side, pa.int64()), "b": pa.array(other_side, pa.int64())})
 
     return rows
 
 
-def bucket_pairs(members: DataFrame, bands: Bands, labelled: bool = False) -> DataFrame:
-    """Distinct (a, b) pairs of contents in a common bucket that the bound does not exclude."""
-    blocks = F.ceil(F.col("holders") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    # A set of a bucket of several blocks goes to the comparisons of its block with each block.
-    meet = F.when(blocks > 1, F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.least(own, other) * blocks + F.greatest(own, other))).otherwise(F.array(F.lit(0)))
-    dealt = members.withColumn("meet", F.explode(meet)).withColumn("bucket", F.when(F.col("meet") == 0, F.col("key")).otherwise(F.xxhash64("key", "meet")))
-    dealt = dealt.select("bucket", "fp", "n", "sketch", *["label"] * labelled)
-    return in_batches(dealt.repartition("bucket").sortWithinPartitions("bucket")).mapInArrow(_bucket_pairs(bands, labelled), PAIRS).distinct()
+def dealt_blocks(members: DataFrame) -> DataFrame:
+    """(bucket, key, fp, n, sketch, label, lows): members (key, blocks, fp, n, sketch, label) once for each block that theirs meets."""
+    lows = members.groupBy("fp").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOWS).alias("lows"))
+    # Big-endian bytes, to be read as one array.
+    lows = lows.select("fp", F.unhex(F.array_join(F.transform("lows", lambda x: F.lpad(F.hex(x), 16, "0")), "")).alias("lows"))
+    own = F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other))
+    met = members.withColumn("meet", F.explode(F.when(F.col("blocks") > 1, meet).otherwise(F.array(F.lit(0)))))
+    bucket = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", "meet"))
+    return met.join(lows, "fp").select(bucket.alias("bucket"), "key", "fp", "n", "sketch", "label", "lows")
+
+
+def suspect_members(dealt: DataFrame, bands: Bands) -> DataFrame:
+    """(bucket, fp) of the members that the sketches allow a link with another component there."""
+    in_order = in_batches(dealt.repartition("bucket").sortWithinPartitions("bucket"))
+    return in_order.mapInArrow(_suspects(bands), "bucket bigint, fp bigint")
+
+
+def joining_links(dealt: DataFrame, suspects: DataFrame, contents: DataFrame, bands: Bands) -> DataFrame:
+    """(a, b) links that join different components, found where whole sets (fp, hashes) meet."""
+    shipped = suspects.join(dealt.drop("sketch"), ["bucket", "fp"]).join(contents, "fp")
+    return in_batches(shipped.repartition("bucket").sortWithinPartitions("bucket")).mapInArrow(_joining_links(bands), PAIRS)
 
 
 def _compare(bands: Bands):
@@ -398,22 +495,22 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows and repeated ids are documents of their own; rows with a null id take part in no link and have a
     null component; an empty table gives an empty result; further columns are ignored.
     """
-    if not 50 <= percent <= 100:
-        raise ValueError("percent must be from 50 to 100")
+    if not 50 <= percent <= 99:
+        raise ValueError("percent must be from 50 to 99")
     spark = docs.sparkSession
     scratch, bands = Scratch(spark, "shingle-join"), Bands.of(percent)
     docs = with_columns(docs, doc_id="bigint", text="string")
     sets = scratch.save(set_rows(docs, words, bands), "sets")
     classes = scratch.save(
         sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("fp").agg(
-            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
+            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("band").alias("band"),
             F.first("spare0").alias("spare0"), F.first("spare1").alias("spare1"), F.max("sketch").alias("sketch")),
         "classes")
 
     keys = in_batches(key_rows(docs, words, bands).repartition("key").sortWithinPartitions("key", "fp")).mapInArrow(_shared, KEYS)
     shared = scratch.save(keys, "shared")
     holders = shared.groupBy("key").agg(F.count(F.lit(1)).alias("holders"))
-    members = scratch.save(_without_dearest(shared.join(holders, "key"), classes), "members")
+    members = scratch.save(_without_dearest(shared.join(holders, "key"), classes, bands), "members")
     scratch.drop("shared")
 
     candidates = scratch.save(bucket_pairs(members, bands), "candidates")
@@ -427,13 +524,17 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = links.unionByName(scratch.save(verified(others, contents, bands), "links-2"))
     labels = components(links, scratch, "components-2")
 
-    apart = members.join(wanted, "fp", "left_semi").join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    apart = apart.withColumn("label", F.coalesce("label", "fp"))
+    # In a bucket of one block, a set without a candidate has no allowed partner.
+    apart = members.join(wanted.withColumn("wanted", F.lit(True)), "fp", "left").where((F.col("blocks") > 1) | F.col("wanted")).drop("wanted")
+    apart = apart.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     mixed = apart.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("key")
-    rest = bucket_pairs(apart.join(mixed, "key", "left_semi"), bands, labelled=True).join(candidates, ["a", "b"], "left_anti")
-    links = links.unionByName(scratch.save(verified(rest, contents, bands), "links-3"))
+    dealt = scratch.save(dealt_blocks(scratch.save(apart.join(mixed, "key", "left_semi"), "apart")), "dealt")
+    suspects = scratch.save(suspect_members(dealt, bands), "suspects")
+    unread = scratch.save(suspects.select("fp").distinct().join(wanted, "fp", "left_anti"), "unread")
+    more = scratch.save(set_table(docs, classes, unread, words), "contents-3")
+    links = links.unionByName(scratch.save(joining_links(dealt, suspects, contents.unionByName(more), bands), "links-3"))
     labels = components(links, scratch, "components-3")
-    scratch.drop("members", "candidates", "wanted", "contents")
+    scratch.drop("members", "candidates", "wanted", "contents", "apart", "contents-3", "dealt", "suspects", "unread")
 
     known = labels.withColumnRenamed("node", "fp").join(classes.select("fp", "rep"), "fp")
     smallest = known.groupBy("label").agg(F.min("rep").alias("smallest"))
@@ -456,7 +557,8 @@ def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     anything and stay.
     """
     scratch = Scratch(docs.sparkSession, "one-per-component")
-    linked = scratch.save(link_components(docs, words, percent), "linked").where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    rows = scratch.save(link_components(docs, words, percent), "linked").where(F.col("doc_id").isNotNull())
+    linked = rows.where(F.col("n_shingles") > 0)
     names = [f"column{i}" for i in range(len(docs.columns))]
     own_id, own_text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
     plain = docs.toDF(*names)  # no name of the caller's can clash with those below
@@ -466,7 +568,7 @@ def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
         rows = rows.select(F.col("doc_id").alias("_id")).distinct()
         return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
-    gone = linked.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("n"))
+    gone = rows.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("n"))
     gone = scratch.save(gone.where(F.col("gone") | (F.col("n") > 1)), "gone")
     single = plain.join(ids(gone), key, "left_anti")
     doubtful = gone.where(~F.col("gone"))
@@ -493,11 +595,17 @@ def with_content(docs: DataFrame, words: int) -> DataFrame:
     return in_batches(docs).mapInArrow(rows, StructType([*docs.schema.fields, StructField("_n", LongType()), StructField("_fp", LongType())]))
 
 
-def _without_dearest(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, holders, fp, n, sketch) without the dearest keys of each set, as many as it can spare."""
+def _without_dearest(shared: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
+    """(key, blocks, fp, n, sketch) without the dearest keys of each set, as many as it can spare.
+
+    ``blocks`` follows from the holders of a key and the largest size of its band, so all members agree on it.
+    """
     parity = F.col("key").bitwiseAND(F.lit(1))
     spare = F.when(parity == 0, F.col("spare0")).otherwise(F.col("spare1"))
     dearest = Window.partitionBy("fp", "parity").orderBy(F.desc("holders"), "key")
-    rows = shared.join(classes.select("fp", "n", "spare0", "spare1", "sketch"), "fp")
+    rows = shared.join(classes.select("fp", "n", "band", "spare0", "spare1", "sketch"), "fp")
     rows = rows.withColumns({"parity": parity, "spare": spare}).withColumn("place", F.row_number().over(dearest))
-    return rows.where(F.col("place") > F.col("spare")).select("key", "holders", "fp", "n", "sketch")
+    largest = F.array(*[F.lit(int(n)) for n in np.append(bands.first[1:], 2**41)])
+    band = F.col("band") + F.when(F.col("band") % 2 == F.col("parity"), 0).otherwise(1)
+    blocks = F.least("holders", F.ceil(F.col("holders") * F.greatest(F.get(largest, band.cast("int")), F.lit(64)) / BLOCK)).cast("int")
+    return rows.where(F.col("place") > F.col("spare")).select("key", blocks.alias("blocks"), "fp", "n", "sketch")
