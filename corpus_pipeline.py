@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tracelab.llm import importance, mixing, packing, shingle_join, toxic_passages
 from tracelab.llm.store import Scratch, tokenizer_file
 
-#: Words that a Python worker remembers while packing (about 30 MB): executors come from the other stages with full heaps.
-WORD_CACHE = 150_000
+#: Units that a Python worker remembers while packing (about 30 MB): executors come from the other stages with full heaps.
+WORD_CACHE = 300_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
