@@ -26,27 +26,44 @@ BAD = [(2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 16), (2003, [f
 
 
 def brute(rows, every, k, transform, zero=True):
-    known = {}
-    for i, v in rows:
-        if i is None or not v or any(x is None or not np.isfinite(x) for x in v) or (not zero and not any(v)):
-            continue
-        known[i] = min(known.get(i, tuple(v)), tuple(v))
-    width = max(map(len, known.values()), default=0)
-    ids = sorted(known)
-    data = transform(np.array([list(known[i]) + [0.0] * (width - len(known[i])) for i in ids], dtype=np.float64).reshape(len(ids), width))
-    out = []
-    for at, i in enumerate(ids):
+    """All rows against all rows; the rows of one query id share a result."""
+    known = [
+        (i, tuple(v)) for i, v in rows
+        if not (i is None or not v or any(x is None or not np.isfinite(x) for x in v) or (not zero and not any(v)))
+    ]
+    width = max((len(v) for _, v in known), default=0)
+    ids = np.array([i for i, _ in known])
+    data = transform(np.array([list(v) + [0.0] * (width - len(v)) for _, v in known], dtype=np.float64).reshape(len(ids), width))
+    found = {}
+    for at, i in enumerate(ids.tolist()):
         if i % every == 0:
             total = np.zeros(len(ids))
             for c in range(width):  # left to right, as a fold
                 total += data[at, c] * data[:, c]
-            best = [j for j in np.lexsort((ids, -total)) if j != at][:k]
-            out += [(i, r + 1, ids[j], total[j]) for r, j in enumerate(best)]
-    return sorted(out)
+            found.setdefault(i, []).extend((-total[j], int(ids[j])) for j in np.flatnonzero(ids != i))
+    return sorted((i, r + 1, v, -s) for i, best in found.items() for r, (s, v) in enumerate(sorted(best)[:k]))
+
+
+REPEATED = [(7, [9.0, 9.0]), (3000, [0.5, -0.25]), (3000, [0.5, -0.25]), (50, [0.25, 4.0]), (50, [0.25, 4.0])] + [(3001, [8.0] * 16)] * 30
+
+
+def test_repeated_ids_as_in_sql(spark):
+    import duckdb
+
+    from tracelab.llm.queries import TOP_K_SQL
+
+    rows = [(50, [1.0, 0.0]), (1, [0.25, 0.0]), (1, [0.75, 0.0]), (2, [0.5, 0.0]), (2, [0.5, 0.0]), (100, [0.5, 1.0]), (100, [0.25, 0.125])]
+    got = ball_tree.exact_top_k(frame(spark, rows), k=5)
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+        db.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+        assert sorted(map(tuple, got.collect())) == sorted(db.execute(TOP_K_SQL).fetchall())
+    near = vp_tree.nearest(frame(spark, rows), k=3, query_every=50, factor=1.0)
+    assert sorted(map(tuple, near.collect())) == brute(rows, 50, 3, lambda x: x, zero=False)
 
 
 def test_ball_tree_is_exact(spark, vectors):
-    rows = vectors + BAD + [(7, [9.0, 9.0]), (3000, [0.5, -0.25]), (3000, [0.5, -0.25])]
+    rows = vectors + BAD + REPEATED
     got = ball_tree.exact_top_k(frame(spark, rows), k=5, query_every=25, shard_rows=60, query_block=10)
     assert sorted(map(tuple, got.collect())) == brute(rows, 25, 5, lambda x: np.floor(256 * x))
 
@@ -60,7 +77,7 @@ def test_ball_tree_beyond_doubles(spark):
 
 
 def test_vantage_points_exact_with_factor_one(spark, vectors):
-    rows = vectors + BAD + [(4000, [0.0] * 16), (4001, [2.0])]
+    rows = vectors + BAD + REPEATED + [(4000, [0.0] * 16), (4001, [2.0])]
     got = vp_tree.nearest(frame(spark, rows), k=20, query_every=25, factor=1.0, shard_rows=60, query_block=10)
     assert sorted(map(tuple, got.collect())) == brute(rows, 25, 20, lambda x: x, zero=False)
 

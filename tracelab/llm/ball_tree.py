@@ -123,8 +123,8 @@ def exact_top_k(
     Queries are the rows whose id is divisible by ``query_every``, candidates all rows but the
     query's own id; ties go to the smaller id; with fewer than k candidates all are returned. Null
     ids, null or empty vectors and those with null or non-finite components take no part; shorter vectors
-    count as filled up with zeros; of rows that share an id the smallest vector counts; an empty table gives an empty result;
-    further columns are ignored.
+    count as filled up with zeros; rows that share an id are candidates of their own and, as queries, have one result for all of
+    them; an empty table gives an empty result; further columns are ignored.
     """
     rows, count, width = vector_search.clean(vectors, id_column, vector_column, keep_zero=True)
     return vector_search.search(rows, count, width, lambda i: F.pmod(i, F.lit(query_every)) == 0, k, BallTree(k, scale), shard_rows, query_block)

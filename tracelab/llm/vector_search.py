@@ -1,7 +1,7 @@
 """The frame of both vector searches: shards with a tree each, searched in waves for blocks of queries.
 
-Vectors are dealt to shards by a hash of their id, about ``shard_rows`` each, and every shard becomes
-one index row with its tree. A bounded block of queries is broadcast at a time. The first wave searches a few
+Vectors are dealt to shards by a hash of the whole row, about ``shard_rows`` each, and every shard becomes
+one index row with its tree. Of equal rows only k are kept: no result can hold more. A bounded block of queries is broadcast at a time. The first wave searches a few
 shards; the k-th best score of each query so far is then shared with all tasks of the next wave, which has
 four times the shards, and so on: later shards start with a tight bound and return few rows.
 """
@@ -42,7 +42,7 @@ def clean(vectors: DataFrame, id_column: str, vector_column: str, keep_zero: boo
     """(vec_id, vec) rows that take part, their number and the longest length.
 
     Null ids, null and empty vectors and vectors with null or non-finite components take no part;
-    shorter vectors are filled up with zeros. Of rows that share an id, the smallest vector counts.
+    shorter vectors are filled up with zeros.
     """
     rows = with_columns(vectors.select(F.col(id_column).alias("vec_id"), F.col(vector_column).alias("vec")), vec_id="bigint", vec="array<double>")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
@@ -60,17 +60,6 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def distinct_ids(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row per id, ordered by id; the smallest vector in lexicographic order."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    if len(first) < len(ids):
-        ends = np.append(first[1:], len(ids))
-        first = np.array([a + min(range(b - a), key=lambda i: tuple(vectors[a + i])) if b - a > 1 else a for a, b in zip(first, ends)])
-    return ids[first], vectors[first]
-
-
 def _pack(arrays: dict[str, np.ndarray]) -> bytes:
     import io
 
@@ -91,7 +80,9 @@ def build_index(rows: DataFrame, count: int, width: int, kernel: Kernel, shard_r
     shards = max(1, math.ceil(count / shard_rows))
 
     def build(table: pa.Table) -> pa.Table:
-        ids, vectors = distinct_ids(table.column("vec_id").to_numpy(), _matrix(table.column("vec"), width))
+        ids, vectors = table.column("vec_id").to_numpy(), _matrix(table.column("vec"), width)
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
         return pa.table({
             "shard": table.column("shard").slice(0, 1).cast(pa.int32()),
             "size": pa.array([len(ids)], pa.int32()),
@@ -99,7 +90,7 @@ def build_index(rows: DataFrame, count: int, width: int, kernel: Kernel, shard_r
         })
 
     parts = min(shards, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vec", "copy"), F.lit(shards)).cast("int"))
     built = sharded.repartition(parts, "shard").groupBy("shard").applyInArrow(build, INDEX)
     return scratch.save(built, "index"), shards
 
@@ -108,23 +99,33 @@ def search(
     rows: DataFrame, count: int, width: int, is_query: Callable[[Column], Column], k: int, kernel: Kernel,
     shard_rows: int = 4096, query_block: int = 8192,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of each query by the kernel, ties to smaller ids."""
+    """(query_id, rank, vec_id, score): the k best of each query by the kernel, ties to smaller ids.
+
+    Rows that share an id are candidates of their own; as queries they share one result, the k best of all of them.
+    """
     spark = rows.sparkSession
     context = spark.sparkContext
     scratch = Scratch(spark, "vector-search")
     schema = FOUND.format(kind=kernel.kind)
     if count == 0:
         return spark.createDataFrame([], schema.replace("vec_id", "rank int, vec_id"))
-    index, shards = build_index(rows, count, width, kernel, shard_rows, scratch)
-    queries = scratch.save(rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("vec").alias("vec")), "queries")
+    copies = F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k)).cast("int"))
+    kept = rows.groupBy("vec_id", "vec").agg(F.count(F.lit(1)).alias("copies")).select("vec_id", "vec", F.explode(copies).alias("copy"))
+    index, shards = build_index(kept, count, width, kernel, shard_rows, scratch)
+    queries = scratch.save(kept.where(is_query(F.col("vec_id"))), "queries")
     blocks = max(1, math.ceil(queries.count() / query_block))
-    tables = []
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def cut(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    written = False
     for block in range(blocks):
         # At most about query_block rows by the hash; this is the only thing that is broadcast.
-        own = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)) == block).toArrow()
+        own = queries.where(F.pmod(F.xxhash64("vec_id", "vec", "copy", F.lit(1)), F.lit(blocks)) == block).toArrow()
         ids, vectors = own.column("vec_id").to_numpy(), _matrix(own.column("vec"), width)
         low, wave, floors = 0, FIRST_WAVE, np.full(len(ids), -np.inf)
-        found = None
+        found, names = None, []
         while low < shards and len(ids):
             shared = context.broadcast((ids, vectors, floors))
 
@@ -138,25 +139,22 @@ def search(
                     yield pa.record_batch(dict(zip(("query_id", "vec_id", "score"), map(pa.array, kernel.found(state)))))
 
             part = in_batches(index.where((F.col("shard") >= low) & (F.col("shard") < low + wave)).select("tree")).mapInArrow(look, schema)
-            name = f"found-{block}-{low}"
-            found = scratch.save(part, name) if found is None else found.unionByName(scratch.save(part, name))
+            names.append(f"found-{block}-{low}")
+            found = scratch.save(part, names[-1]) if found is None else found.unionByName(scratch.save(part, names[-1]))
             low, wave = low + wave, 4 * wave
             if low < shards:
-                best = F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(k))
-                kth = found.groupBy("query_id").agg(best.alias("kth")).toArrow()
-                known = dict(zip(kth.column("query_id").to_pylist(), kth.column("kth").to_pylist()))
+                kth = cut(found).where(F.col("rank") == k).select("query_id", "score").toArrow()
+                known = dict(zip(kth.column("query_id").to_pylist(), kth.column("score").to_pylist()))
                 floors = np.array([-np.inf if known.get(i) is None else floor_of(known[i]) for i in ids.tolist()])
+            shared.unpersist()
         if found is not None:
-            tables.append(found)
+            written = True
+            cut(found).drop("rank").write.mode("append").parquet(scratch.path("best"))
+            scratch.drop(*names)
     scratch.drop("queries", "index")
-    if not tables:
+    if not written:
         return spark.createDataFrame([], schema.replace("vec_id", "rank int, vec_id"))
-    every = tables[0]
-    for other in tables[1:]:
-        every = every.unionByName(other)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return cut(spark.read.schema(schema).parquet(scratch.path("best"))).select("query_id", "rank", "vec_id", "score")
 
 
 def floor_of(score: int | float) -> float:
