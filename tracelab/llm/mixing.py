@@ -183,11 +183,11 @@ def mix(docs: DataFrame, parts: DataFrame | None = None, block: int = 16, seed:
         *docs.columns, "_block", "_slot", "_position")
 
 
-def mix_sql(block: int = 16, seed: int = 7, most: int = 64) -> str:
+def mix_sql(block: int = 16, seed: int = 7) -> str:
     """DuckDB SQL for (doc_id, source, block, slot, position) of ``mix`` over ``documents``."""
     return f"""WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 parts AS (SELECT source, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS key,
-  least(greatest(round(sqrt(n / (SELECT min(n) FROM sizes))), 1), {most})::BIGINT AS p FROM sizes),
+  greatest(round(sqrt(n / (SELECT min(n) FROM sizes))), 1)::BIGINT AS p FROM sizes),
 period AS (SELECT sum(p)::BIGINT AS d FROM parts),
 runs(t, key, p, d, done, picked) AS (
   SELECT 0::BIGINT, key, p, d, 0::BIGINT, false FROM parts, period

@@ -12,8 +12,8 @@ template tree, grown level by level for each host:
 * *grow on*: below ``depth`` levels only nodes of ``support`` pages or more with segments left go to the next
   level. In smaller ones every segment is variable, so the rest of a path is its wildcards at once; where the
   rest of all pages of a node is the same, nothing splits any more and ``/**`` stands for it;
-* *reject*: a template is blocked if its labelled block rate, smoothed towards that of all pages,
-  reaches ``purity``.
+* *reject*: a template is blocked if its labelled block rate, smoothed towards one half, reaches ``purity``. Without labels
+  the rate is one half, so nothing is blocked on no evidence, whatever the rules say elsewhere.
 
 Labels are the decisions of the rules, or a column of the caller. A host may hold most pages: nodes
 are aggregated map-side, and pages join the few frequent branches by salted keys.
@@ -33,7 +33,7 @@ from tracelab.llm.store import Scratch
 @dataclass(frozen=True)
 class TemplateTree:
     """Production parameters: levels that every page goes through, pages a literal branch needs, z score that keeps a
-    branch apart, weight of the prior in labelled pages, block rate that rejects, salts of a join."""
+    branch apart, weight of one half in labelled pages, smoothed block rate that rejects, salts of a join."""
 
     depth: int = 4
     support: int = 8
@@ -161,9 +161,7 @@ def judge(
     })
     grown = grow(base.drop("_given"), tree, scratch)
     templates = _sums(grown, "host", "template")
-    total = templates.agg(F.sum("blocked") / F.greatest(F.sum("labelled"), F.lit(1))).first()[0]
-    weight = F.lit(tree.prior_weight)
-    rate = (F.col("blocked") + weight * F.lit(total or 0.0)) / (F.col("labelled") + weight)
+    rate = (F.col("blocked") + F.lit(tree.prior_weight / 2)) / (F.col("labelled") + F.lit(tree.prior_weight))
     rated = templates.select("host", "template", rate.alias("purity"))
     judged = _salted_join(grown.drop("n", "labelled", "blocked"), rated, ["host", "template"], tree.salts)
     by_method = F.when(F.col("purity") >= tree.purity, F.lit("block")).otherwise(F.lit("allow"))
@@ -179,26 +177,21 @@ def judge_sql(rules: Sequence[tuple[str, str, str]], tree: TemplateTree = Templa
         f" WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN struct_pack(rule := '{h}{p}', verdict := '{v}')"
         for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))
     )
-    sql = f"""WITH parsed AS (
+    branch = f"""CASE WHEN n < {tree.support} THEN '*' || regexp_extract(segment, '(\\.[A-Za-z]{{1,5}})$', 1) WHEN l = 0 THEN segment
+      WHEN pl > l AND b * (pl - l) <> (pb - b) * l
+        AND pow(b / l - (pb - b) / (pl - l), 2) >= {tree.z**2!r} * ((pb / pl) * (1 - pb / pl) * (1 / l + 1 / (pl - l))) THEN segment ELSE '+' END"""
+    return f"""WITH RECURSIVE parsed AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 ruled AS (SELECT *, CASE{cases} END AS r FROM parsed),
-level0 AS (SELECT page_id, host, path, r, (r IS NOT NULL)::BIGINT AS labelled, coalesce(r.verdict = 'block', false)::BIGINT AS blocked,
-  list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, '' AS template FROM ruled)"""
-    for d in range(tree.depth):
-        sql += f""",
-children{d} AS (SELECT host, template, segments[{d + 1}] AS segment, count(*) AS n, sum(labelled) AS l, sum(blocked) AS b FROM level{d} WHERE len(segments) > {d} GROUP BY ALL),
-nodes{d} AS (SELECT host, template, sum(l) AS pl, sum(b) AS pb FROM children{d} GROUP BY ALL),
-branches{d} AS (SELECT host, template, segment, CASE WHEN l = 0 THEN segment WHEN pl > l AND b * (pl - l) <> (pb - b) * l
-    AND pow(b / l - (pb - b) / (pl - l), 2) >= {tree.z**2!r} * ((pb / pl) * (1 - pb / pl) * (1 / l + 1 / (pl - l))) THEN segment ELSE '+' END AS branch
-  FROM children{d} JOIN nodes{d} USING (host, template) WHERE n >= {tree.support}),
-level{d + 1} AS (SELECT page_id, host, path, r, labelled, blocked, segments, CASE WHEN len(segments) > {d}
-    THEN template || '/' || coalesce(branch, '*' || regexp_extract(segments[{d + 1}], '(\\.[A-Za-z]{{1,5}})$', 1)) ELSE template END AS template
-  FROM (SELECT *, segments[{d + 1}] AS segment FROM level{d}) LEFT JOIN branches{d} USING (host, template, segment))"""
-    return sql + f""",
-grown AS (SELECT * REPLACE (template || CASE WHEN len(segments) > {tree.depth} THEN '/**' ELSE '' END AS template) FROM level{tree.depth}),
-templates AS (SELECT host, template, sum(labelled) AS l, sum(blocked) AS b FROM grown GROUP BY ALL),
-total AS (SELECT sum(b) / greatest(sum(l), 1) AS rate FROM templates),
-rated AS (SELECT host, template, (b + {tree.prior_weight!r} * rate) / (l + {tree.prior_weight!r}) AS purity FROM templates, total)
+grown(page_id, host, path, r, labelled, blocked, segments, d, template) AS (
+  SELECT page_id, host, path, r, (r IS NOT NULL)::BIGINT, coalesce(r.verdict = 'block', false)::BIGINT, list_filter(string_split(path, '/'), lambda s: s <> ''), 0, '' FROM ruled
+  UNION ALL
+  SELECT page_id, host, path, r, labelled, blocked, segments, d + 1, template || '/' || {branch} FROM (
+    SELECT *, segments[d + 1] AS segment, count(*) OVER child AS n, sum(labelled) OVER child AS l, sum(blocked) OVER child AS b,
+      sum(labelled) OVER node AS pl, sum(blocked) OVER node AS pb
+    FROM grown WHERE len(segments) > d WINDOW child AS (PARTITION BY host, template, segments[d + 1]), node AS (PARTITION BY host, template))),
+whole AS (SELECT * FROM grown WHERE d = len(segments)),
+rated AS (SELECT host, template, (sum(blocked) + {tree.prior_weight / 2!r}) / (sum(labelled) + {tree.prior_weight!r}) AS purity FROM whole GROUP BY ALL)
 SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN purity >= {tree.purity!r} THEN 'block' ELSE 'allow' END) AS verdict
-FROM grown JOIN rated USING (host, template)"""
+FROM whole JOIN rated USING (host, template)"""
