@@ -1,14 +1,15 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelab.operators import detectors as dt, selection as sl
+from tracelab.operators import curves as cv, detectors as dt, logistic as lg, selection as sl
 from tracelab.session import KEY
 
 NAMES = ["MeanEntropy", "VarEntropy", "MeanLogProb", "VarLogProb"]
 GRID = [{"C": c, "penalty": p} for c in (0.01, 1.0) for p in ("l1", "l2")]
-LR = {"LR": dt.Classifier(dt.logistic, GRID[-1:])}
+LR = {"LR": dt.Classifier(None, GRID[-1:])}
 
 
 @pytest.fixture(scope="module")
@@ -29,46 +30,92 @@ def test_detector_scores_every_row(features):
     assert scored.count() == 240 and scored.where("score < 0 OR score > 1").count() == 0
     row = report.first()
     assert row["n_samples"] == 48 and row["roc_auc"] > 0.7 and row["tp"] + row["fp"] + row["tn"] + row["fn"] == 48
-    assert 0 <= fitted.cv_auc <= 1 and set(fitted.coefficients()) == set(NAMES)
+    assert 0 <= fitted.models["r"].cv_auc <= 1 and set(fitted.coefficients("r")) == set(NAMES)
 
 
 def test_scaler_and_model_see_train_rows_only(features):
     """Moving the test rows far away changes neither the setting nor the coefficients."""
     moved = features.withColumns({n: F.when(F.col("split") == "test", F.col(n) * 1000 + 5).otherwise(F.col(n)) for n in NAMES})
     a, b = (dt.supervised_detector(f, NAMES, "x", GRID[:2])[0] for f in (features, moved))
-    assert a.params == b.params and a.coefficients() == pytest.approx(b.coefficients())
-
+    assert a.models["r"].params == b.models["r"].params and a.coefficients("r") == pytest.approx(b.coefficients("r"))
+
+
+def test_runs_do_not_see_each_other(features):
+    """Changing one run leaves the models of the other as they are; runs with one class have none."""
+    other = features.withColumn("run_id", F.lit("s")).withColumn("MeanEntropy", -F.col("MeanEntropy"))
+    single = features.withColumns({"run_id": F.lit("t"), "label": F.lit(1)})
+    changed = other.withColumns({n: F.col(n) * 3 + F.col("sample_id") % 5 for n in NAMES})
+    a, b = (dt.supervised_detector(features.unionByName(o).unionByName(single), NAMES, "x", GRID)[0] for o in (other, changed))
+    assert set(a.models) == {"r", "s"}
+    assert a.models["r"].params == b.models["r"].params and a.coefficients("r") == pytest.approx(b.coefficients("r"))
+    assert a.coefficients("s") != pytest.approx(b.coefficients("s"))
+
+
+@pytest.mark.parametrize("penalty, c", [("l2", 0.5), ("l1", 0.05), ("l1", 1.0), ("l2", 100.0)])
+def test_weights_minimise_the_objective(features, penalty, c):
+    """No small change of any weight lowers the summed loss and penalty."""
+    rows = lg.with_arrays(features.withColumn("fold", F.col("sample_id") % 3), NAMES, ["fold"])
+    masks = [("r", ()), ("r", ((0, 1),))]
+    scales = lg.scalings(rows, masks, 4, 1)
+    specs = [lg.Spec("r", 1 / c, penalty == "l1", *scales[m][1:], m[1]) for m in masks]
+    fitted = lg.fit_all(rows, specs, 4, 1)
+    table = rows.select("sample_id", "label", "x").toPandas()
+    for spec, weights in zip(specs, fitted):
+        own = table if not spec.without else table[table.sample_id % 3 != 1]
+        x, y = np.array(own.x.tolist()), own.label.to_numpy()
+        assert np.allclose(spec.center, x.mean(axis=0)) and np.allclose(spec.spread, x.std(axis=0, ddof=1))
+        z = lg.design(x, spec)
+
+        def objective(w):
+            size = np.abs(w[1:]).sum() if penalty == "l1" else 0.5 * (w[1:] ** 2).sum()
+            return np.logaddexp(0, z @ w).sum() - (y * (z @ w)).sum() + size / c
+
+        least = objective(weights)
+        for j in range(5):
+            for step in (1e-3, -1e-3, 1e-5, -1e-5):
+                assert objective(weights + step * np.eye(5)[j]) >= least - 1e-7
+        if (penalty, c) == ("l1", 0.05):
+            assert (weights[1:] == 0).any()
+
+
+def test_halves_of_rounds(features):
+    hashes = np.array([r[0] for r in features.select(F.xxhash64("sample_id")).collect()])
+    halves = np.array([lg.in_half(hashes, r) for r in range(200)])
+    assert 0.47 < halves.mean() < 0.53 and abs(np.corrcoef(halves[0], halves[1])[0, 1]) < 0.2
+    assert np.abs(halves.mean(axis=0) - 0.5).max() < 0.2
 
 def test_selection_inside_evaluation_sees_train_rows_only(features):
     seen = []
 
     def select(rows, names):
-        seen.append({r["split"] for r in rows.select("split").distinct().collect()} if "split" in rows.columns else rows.count())
-        return names[:2]
+        seen.append({r["run_id"]: r["n"] for r in rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max("sample_id").alias("last")).collect()})
+        return {r: names[i % 2 : 2] for i, r in enumerate(sorted(seen[-1]))}
 
-    _, chosen = dt.fixed_split_evaluation(features, NAMES, LR, select)
-    assert chosen == NAMES[:2] and seen == [{"train"}]
+    report, chosen = dt.fixed_split_evaluation(features, NAMES, LR, select)
+    assert chosen == {"r": NAMES[:2]} and seen == [{"r": 192}] and report.first()["n_samples"] == 48
     seen.clear()
-    records, picked = dt.nested_evaluation(features, NAMES, LR, outer=3, inner=2, select=select)
-    assert all(156 <= n <= 164 for n in seen) and sum(seen) == 480 and len(picked) == 3
-    assert 0.5 < records[0]["auroc_mean"] <= 1 and records[0]["auroc_std"] >= 0
+    summary, picked = dt.nested_evaluation(features, NAMES, LR, outer=3, inner=2, select=select)
+    assert len(seen) == 1 and sum(seen[0].values()) == 480 and all(156 <= n <= 164 for n in seen[0].values())
+    assert picked == {("r", 0): NAMES[:2], ("r", 1): NAMES[1:2], ("r", 2): NAMES[:2]}
+    record = summary.first()
+    assert 0.5 < record["auroc_mean"] <= 1 and record["auroc_std"] >= 0 and (record["run_id"], record["classifier"]) == ("r", "LR")
 
 
 def test_prefilter_keeps_one_of_two_copies(features):
-    kept, drops = sl.correlation_prefilter(features, NAMES)
+    kept, drops = sl.correlation_prefilter(features, NAMES)["r"]
     assert len(drops) == 1 and {drops[0]["dropped"], drops[0]["kept"]} == {"MeanEntropy", "VarEntropy"}
     assert [n for n in NAMES if n != drops[0]["dropped"]] == kept
 
 
 def test_stability_prefers_signal(features):
-    found = sl.stability_selection(features, ["MeanEntropy", "MeanLogProb"], rounds=6)
+    found = sl.stability_selection(features, ["MeanEntropy", "MeanLogProb"], rounds=60)["r"]
     assert found.probability["MeanEntropy"] > found.probability["MeanLogProb"]
     assert found.selected == [n for n, p in found.probability.items() if p > 0.6]
     assert found.expected_false_mean <= found.expected_false
 
 
 def test_mutual_information_and_mrmr(features):
-    chosen, scores = sl.mrmr_selection(features, NAMES, n_select=4)
+    chosen, scores = sl.mrmr_selection(features, NAMES, n_select=4)["r"]
     assert chosen[0] in ("MeanEntropy", "VarEntropy") and chosen[1] not in ("MeanEntropy", "VarEntropy")
     assert sl.positive_or_first(["a", "b"], {"a": 1.0, "b": -1.0}) == ["a"]
     assert sl.positive_or_first(["a", "b", "c", "d"], dict.fromkeys("abcd", -1.0)) == ["a", "b", "c"]
@@ -93,3 +140,19 @@ def test_cross_dataset_reports_each_pair(features):
 
 def test_registry_columns():
     assert set(dt.REGISTRY) >= {"perplexity", "ln_entropy"} and KEY
+
+
+def test_pair_statistics_copy_no_rows(features):
+    """Correlations and joint counts explode sums only: the plan moves one array per task and group."""
+    holes = features.withColumn("VarEntropy", F.when(F.col("sample_id") % 7 > 0, F.col("VarEntropy"))).withColumn("MeanLogProb", F.lit(0.1))
+    table = holes.toPandas()
+    got = {(r["name_i"], r["name_j"]): r["r"] for r in cv.correlation_matrix(holes, NAMES).collect()}
+    for i, a in enumerate(NAMES):
+        for b in NAMES[i + 1 :]:
+            want = table[[a, b]].dropna().corr().iloc[0, 1]
+            assert got[a, b] is None if np.isnan(want) else got[a, b] == pytest.approx(want, abs=1e-9)
+    by_label = cv.correlation_matrix(holes, NAMES, ["label"])
+    assert by_label.count() == 12
+    for plan in (cv.correlation_matrix(features, NAMES), sl.mutual_information(sl.binned(features, NAMES, 4, "width"), NAMES)):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("Generate ") == 1 and text.index("Generate ") < text.rindex("Aggregate ") < text.index("MapInArrow")

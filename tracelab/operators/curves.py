@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelab.functions.matrix_sums import groups, matrix, summed
 from tracelab.session import KEY, bounded
 
 
@@ -86,27 +91,47 @@ def pearson(x: str, y: str) -> Column:
     return F.covar_pop(x, y) / F.when(spread > 0, spread)
 
 
-def feature_pairs(features: DataFrame, names: list[str], by: list[str] = ()) -> DataFrame:
-    """(name_i, name_j, x, y) for every pair of feature columns i < j, inside each row.
+def pair_moments(features: DataFrame, names: list[str], by: list[str] = (), center: bool = True) -> DataFrame:
+    """(*by, i, j, name_i, name_j, n, sx, sy, sxx, syy, sxy) of every pair of feature columns i < j, over rows with both.
 
-    The pairs are built from the columns of one row, so there is no join; the correlation that
-    follows is a partial aggregate.
+    Each task adds up matrix products of its rows, so no row is copied per pair. With ``center`` values are taken around the mean of their
+    column and group, so that correlations lose nothing to large offsets. One row per group reaches the driver.
     """
-    pairs = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-            for i, a in enumerate(names) for j, b in enumerate(names) if i < j
-        ]
-    )
-    labels = F.array(*[F.lit(n) for n in names])
-    out = features.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*")
-    return out.select(*by, F.get(labels, "i").alias("name_i"), F.get(labels, "j").alias("name_j"), "i", "j", "x", "y")
+    by, width = list(by), len(names)
+    plain = features.select(*by, F.array(*[F.col(n).cast("double") for n in names]).alias("x"))
+    middle: dict[tuple, np.ndarray] = {}
+    if center:
+        means = features.groupBy(*by).agg(F.array(*[F.coalesce(F.avg(n), F.lit(0.0)) for n in names]).alias("mean"))
+        middle = {tuple(r[c] for c in by): np.array(r["mean"]) for r in means.collect()}
+
+    def partial(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+        x = matrix(batch.column("x"), width)
+        for key, rows in groups(batch, by):
+            own = x[rows] - middle.get(key if by else (), np.zeros(width))
+            there = (~np.isnan(own)).astype(np.float64)
+            filled = np.where(there > 0, own, 0.0)
+            squares = filled**2
+            yield key, np.concatenate([m.ravel() for m in (there.T @ there, filled.T @ there, squares.T @ there, filled.T @ filled)])
+
+    types = {f.name: f.dataType.simpleString() for f in features.schema.fields if f.name in by}
+    total = summed(plain, {c: types[c] for c in by} or {"_all": "int"}, partial)
+    at = lambda block, row, column: F.get("total", F.lit(block * width * width) + row * width + column)
+    pairs = total.select(*by, "total", F.explode(F.sequence(F.lit(0), F.lit(width * width - 1))).alias("_k"))
+    pairs = pairs.withColumns({"i": F.floor(F.col("_k") / width).cast("int"), "j": (F.col("_k") % width).cast("int")}).where("i < j")
+    i, j, labels = F.col("i"), F.col("j"), F.array(*[F.lit(n) for n in names])
+    return pairs.select(
+        *by, "i", "j", F.get(labels, i).alias("name_i"), F.get(labels, j).alias("name_j"), at(0, i, j).cast("bigint").alias("n"),
+        at(1, i, j).alias("sx"), at(1, j, i).alias("sy"), at(2, i, j).alias("sxx"), at(2, j, i).alias("syy"), at(3, i, j).alias("sxy"))
 
 
 def correlation_matrix(features: DataFrame, names: list[str], by: list[str] = ()) -> DataFrame:
-    """Pearson correlation of each pair of features, upper triangle."""
-    pairs = feature_pairs(features, names, by)
-    return pairs.groupBy(*by, "i", "j", "name_i", "name_j").agg(pearson("x", "y").alias("r"))
+    """Pearson correlation of each pair of features, upper triangle; NULL for a constant side."""
+    n = F.col("n")
+    spread = lambda s, ss: n * F.col(ss) - F.col(s) * F.col(s)
+    # Around its mean a constant side has sums of rounding errors only.
+    varies = (spread("sx", "sxx") > 1e-12 * n * F.col("sxx")) & (spread("sy", "syy") > 1e-12 * n * F.col("syy"))
+    r = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread("sx", "sxx") * spread("sy", "syy"))
+    return pair_moments(features, names, by).select(*by, "i", "j", "name_i", "name_j", F.when(varies, r).alias("r"))
 
 
 def label_correlation(long: DataFrame, by: list[str] = ()) -> DataFrame:

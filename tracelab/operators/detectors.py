@@ -1,8 +1,8 @@
-"""Supervised detectors: grid search, scoring, nested and cross-dataset evaluation.
+"""Supervised detectors: grid search, scoring, nested and cross-dataset evaluation, one model per run.
 
-Fits run in MLlib. The feature table is written once (``materialize``) and every fit reads it back;
-only model coefficients and metric numbers reach the driver. Independent fits run side by side from
-driver threads, so small tables do not leave the cluster idle.
+Logistic models of all runs, folds and settings are fitted together (``logistic.fit_all``); forests and boosted trees run in
+MLlib, run by run, side by side from driver threads. The feature table is written once and every pass reads
+it back; only model coefficients and metric numbers reach the driver.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
-from statistics import fmean, pstdev
+from statistics import fmean
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelab.operators import features as ft
+from tracelab.operators import logistic as lg
 from tracelab.operators.labels import stratified_folds
-from tracelab.operators.metrics import confusion, detector_report
+from tracelab.operators.metrics import confusion, detector_report, feature_auc
 from tracelab.session import KEY, materialize
 
 # Grids of the three classifiers, folds, decision threshold, seed.
@@ -40,14 +41,6 @@ ROWS_PER_PARTITION = 20_000
 SIDE_BY_SIDE = 8
 
 
-def logistic(params: dict, n: int, features: str = "scaled") -> LogisticRegression:
-    """Inverse penalty C over summed loss is regParam 1 / (C n) over mean loss."""
-    return LogisticRegression(
-        featuresCol=features, labelCol="label", standardization=False, maxIter=100, tol=1e-4,
-        regParam=1.0 / (params["C"] * n), elasticNetParam=1.0 if params["penalty"] == "l1" else 0.0,
-    )
-
-
 def forest(params: dict, n: int, features: str = "scaled") -> RandomForestClassifier:
     return RandomForestClassifier(
         featuresCol=features, labelCol="label", numTrees=params["n_estimators"], maxDepth=params["max_depth"], seed=SEED
@@ -63,12 +56,14 @@ def boosted(params: dict, n: int, features: str = "scaled") -> GBTClassifier:
 
 @dataclass
 class Classifier:
-    build: Callable
+    """A grid and the MLlib estimator of a setting; without one, logistic models fitted together."""
+
+    build: Callable | None
     grid: list[dict]
 
 
 CLASSIFIERS = {
-    "LR": Classifier(logistic, LOGISTIC_GRID),
+    "LR": Classifier(None, LOGISTIC_GRID),
     "RF": Classifier(forest, FOREST_GRID),
     "GBT": Classifier(boosted, BOOSTED_GRID),
 }
@@ -88,9 +83,6 @@ class Fitted:
         out = self.model.transform(self.scaler.transform(rows))
         return out.withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score").drop("raw")
 
-    def coefficients(self) -> dict[str, float]:
-        return dict(zip(self.names, [float(c) for c in self.model.coefficients]))
-
 
 def assemble(features: DataFrame, names: list[str]) -> DataFrame:
     """Feature columns as one ``raw`` vector, written once, in partitions of a sensible size."""
@@ -151,25 +143,100 @@ def grid_search(train: DataFrame, names: list[str], classifier: Classifier, fold
     return Fitted(scaler, model, names, grid[best], means[best])
 
 
-def report_of(fitted: Fitted, test: DataFrame, name: str) -> DataFrame:
-    """Metrics of a fitted model on test rows, with its best setting; one row per run."""
-    scored = fitted.score(test).withColumn("score_name", F.lit(name))
+@dataclass
+class RunModel:
+    """The logistic model of one run: weights of features as they are, its setting and mean AUC over the folds."""
+
+    intercept: float
+    weights: list[float]
+    params: dict
+    cv_auc: float | None
+
+
+@dataclass
+class RunFits:
+    """One model per run, by run."""
+
+    names: list[str]
+    models: dict[str, RunModel]
+
+    def coefficients(self, run: str) -> dict[str, float]:
+        return dict(zip(self.names, self.models[run].weights))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(run_id, _intercept, _weights, best_params, cv_roc_auc), one row per run."""
+        rows = [
+            (r, m.intercept, m.weights, ", ".join(f"{k}={v}" for k, v in m.params.items()), m.cv_auc) for r, m in sorted(self.models.items())
+        ]
+        return spark.createDataFrame(rows, "run_id string, _intercept double, _weights array<double>, best_params string, cv_roc_auc double")
+
+    def score(self, rows: DataFrame, run: str = "run_id") -> DataFrame:
+        """``score``: probability of label 1 by the model of the run that ``run`` names; rows of other runs are left out."""
+        known = self.table(rows.sparkSession).select(F.col("run_id").alias(run), "_intercept", "_weights")
+        values = F.array(*[F.col(n).cast("double") for n in self.names])
+        total = F.aggregate(F.zip_with(values, F.col("_weights"), lambda x, w: x * w), F.col("_intercept"), lambda s, x: s + x)
+        # One row per model, and the models came from the driver.
+        scored = rows.join(F.broadcast(known), run).withColumn("score", 1 / (1 + F.exp(-total)))
+        return scored.drop("_intercept", "_weights")
+
+
+def logistic_search(train: DataFrame, names: list[str], grid: list[dict] | None = None, folds: int = FOLDS) -> RunFits:
+    """Per run, the setting with the best mean AUC over stratified folds (first one on ties), fitted on all its rows.
+
+    ``train`` has run_id, sample_id, label and the feature columns. All runs, folds and settings are fitted
+    together; the scaling of a model sees the rows of its folds only. Runs with one class have no model.
+    """
+    grid = grid or LOGISTIC_GRID
+    folded = stratified_folds(train.select(*KEY, "label", *names), folds, ["run_id", "label"], KEY, SEED)
+    rows = compact(lg.with_arrays(folded, names, ["fold"]))
+    runs = [r[0] for r in rows.select("run_id").distinct().orderBy("run_id").collect()]
+    masks = [(run, without) for run in runs for without in [(), *[((0, f),) for f in range(folds)]]]
+    scales = lg.scalings(rows, masks, len(names), 1)
+    specs, settings = [], []
+    for run, without in masks:
+        n, center, spread = scales.get((run, without), (0, (), ()))
+        if n:
+            for k, setting in enumerate(grid):
+                specs.append(lg.Spec(run, 1.0 / setting["C"], setting["penalty"] == "l1", center, spread, without))
+                settings.append(k)
+    weights = lg.fit_all(rows, specs, len(names), 1)
+    held = lg.held_out(rows, specs, settings, weights, len(names))
+    by = ["run_id", "fold", "setting"]
+    aucs: dict[tuple[str, int], list[float]] = {}
+    for r in feature_auc(held, by).collect():
+        if r["auc"] is not None:
+            aucs.setdefault((r["run_id"], r["setting"]), []).append(r["auc"])
+    models = {}
+    for i, (spec, k) in enumerate(zip(specs, settings)):
+        mean = fmean(aucs[spec.run, k]) if (spec.run, k) in aucs else None
+        if spec.without or math.isnan(weights[i][0]):
+            continue
+        before = models.get(spec.run)
+        if before is None or (mean is not None and (before.cv_auc is None or mean > before.cv_auc)):
+            models[spec.run] = RunModel(*lg.raw_weights(weights[i], spec), grid[k], mean)
+    return RunFits(names, models)
+
+
+def report_of(scored: DataFrame, fits: DataFrame, name: str) -> DataFrame:
+    """Metrics of scored test rows with the best setting of their model; one row per run.
+
+    ``fits`` has run_id, best_params and cv_roc_auc.
+    """
+    scored = scored.withColumn("score_name", F.lit(name))
     at_half = confusion(scored, THRESHOLD).withColumnRenamed("accuracy", "accuracy_at_half")
-    chosen = F.lit(", ".join(f"{k}={v}" for k, v in fitted.params.items()))
-    return (
-        detector_report(scored, bounds=(0.0, 1.0)).join(at_half, ["run_id", "score_name"])
-        .withColumns({"best_params": chosen, "cv_roc_auc": F.lit(float(fitted.cv_auc))})
-    )
+    report = detector_report(scored, bounds=(0.0, 1.0)).join(at_half, ["run_id", "score_name"])
+    return report.join(F.broadcast(fits.select("run_id", "best_params", "cv_roc_auc")), "run_id")
 
 
 def supervised_detector(features: DataFrame, names: list[str], name: str, grid: list[dict] | None = None):
-    """Fit on the train split, report on the test split, score every row.
+    """Fit each run on its train split, report on its test split, score every row: (fits, report, scored rows).
 
     ``features`` has run_id, sample_id, label, split and the feature columns.
     """
-    rows = assemble(features, names)
-    fitted = grid_search(rows.where("split = 'train'").drop("split"), names, CLASSIFIERS["LR"], grid=grid)
-    return fitted, report_of(fitted, rows.where("split = 'test'"), name), fitted.score(rows)
+    rows = materialize(features)
+    fits = logistic_search(rows.where("split = 'train'"), names, grid)
+    scored = fits.score(rows).drop(*names)
+    return fits, report_of(scored.where("split = 'test'"), fits.table(rows.sparkSession), name), scored
 
 
 def feature_sets(known: list[str]) -> dict[str, list[str]]:
@@ -179,7 +246,7 @@ def feature_sets(known: list[str]) -> dict[str, list[str]]:
 
 
 def four_models(features: DataFrame, grid: list[dict] | None = None) -> DataFrame:
-    """Reports of the four feature sets."""
+    """Reports of the four feature sets, by run."""
     known = ft.feature_columns(features)
     out = None
     for name, names in feature_sets(known).items():
@@ -191,65 +258,87 @@ def four_models(features: DataFrame, grid: list[dict] | None = None) -> DataFram
 def cross_dataset(features: DataFrame, pairs: list[tuple[str, str]], names: list[str], grid: list[dict] | None = None) -> DataFrame:
     """Train on all of one run, test on all of another, for each (train run, test run).
 
-    A train run is fitted once and scored on all its test runs.
+    All train runs are fitted together; the rows of a test run are scored once per train run that names it.
     """
-    rows = assemble(features, names)
-    out = None
-    for train_run in sorted({a for a, _ in pairs}):
-        fitted = grid_search(rows.where(F.col("run_id") == train_run), names, CLASSIFIERS["LR"], grid=grid)
-        tests = [b for a, b in pairs if a == train_run]
-        report = report_of(fitted, rows.where(F.col("run_id").isin(tests)), "cross").withColumnRenamed("run_id", "test_run")
-        report = report.withColumn("train_run", F.lit(train_run))
-        out = report if out is None else out.unionByName(report)
-    return out
-
-
-Selector = Callable[[DataFrame, list[str]], list[str]]
-
-
-def _summary(aucs: list[float], precisions: list[float]) -> dict[str, float]:
-    return {
-        "auroc_mean": fmean(aucs), "auroc_std": pstdev(aucs),
-        "auprc_mean": fmean(precisions), "auprc_std": pstdev(precisions),
-    }
+    rows = materialize(features)
+    spark = rows.sparkSession
+    fits = logistic_search(rows.where(F.col("run_id").isin(sorted({a for a, _ in pairs}))), names, grid)
+    wanted = spark.createDataFrame(sorted(set(pairs)), "train_run string, run_id string")
+    scored = fits.score(rows.join(F.broadcast(wanted), "run_id"), "train_run").drop(*names)
+    # A report is by run: a pair stands in for one.
+    pair = scored.withColumns({"test_run": F.col("run_id"), "run_id": F.concat_ws("\t", "train_run", "run_id")})
+    known = wanted.join(fits.table(spark).withColumnRenamed("run_id", "train_run"), "train_run")
+    known = known.withColumn("run_id", F.concat_ws("\t", "train_run", "run_id"))
+    report = report_of(pair, known, "cross")
+    parts = F.split("run_id", "\t")
+    return report.withColumns({"train_run": parts[0], "test_run": parts[1]}).drop("run_id")
+
+
+#: Picks features from training rows: names by run.
+Selector = Callable[[DataFrame, list[str]], dict[str, list[str]]]
+
+
+def evaluate(
+    train: DataFrame, test: DataFrame, names: list[str], classifiers: dict[str, Classifier], select: Selector | None = None, folds: int = FOLDS
+) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Every classifier fitted on the train rows of each run and reported on its test rows; the features of each run.
+
+    ``select`` sees train rows only. Runs with the same features are fitted together.
+    """
+    train, test = materialize(train), materialize(test)
+    spark = train.sparkSession
+    runs = [r[0] for r in train.select("run_id").distinct().orderBy("run_id").collect()]
+    chosen = select(train, names) if select else {r: names for r in runs}
+    reports: list[DataFrame] = []
+    for own in sorted({tuple(chosen[r]) for r in runs}):
+        group, columns = [r for r in runs if tuple(chosen[r]) == own], list(own)
+        here = lambda rows: rows.where(F.col("run_id").isin(group)).select(*KEY, "label", *columns)
+        for name, classifier in classifiers.items():
+            if classifier.build is None:
+                fits = logistic_search(here(train), columns, classifier.grid, folds)
+                reports.append(report_of(fits.score(here(test)), fits.table(spark), name))
+                continue
+
+            def one(run: str, classifier: Classifier = classifier, columns: list[str] = columns) -> DataFrame:
+                mine = lambda rows: assemble(rows.where(F.col("run_id") == run).select(*KEY, "label", *columns), columns)
+                fitted = grid_search(mine(train), columns, classifier, folds)
+                setting = ", ".join(f"{k}={v}" for k, v in fitted.params.items())
+                table = spark.createDataFrame([(run, setting, float(fitted.cv_auc))], "run_id string, best_params string, cv_roc_auc double")
+                return report_of(fitted.score(mine(test)), table, name)
+
+            reports.extend(one(run) for run in group)
+    out = reports[0]
+    for report in reports[1:]:
+        out = out.unionByName(report)
+    return out, chosen
 
 
 def fixed_split_evaluation(
     features: DataFrame, names: list[str], classifiers: dict[str, Classifier], select: Selector | None = None
-) -> tuple[DataFrame, list[str]]:
-    """Every classifier on the train/test split; ``select`` picks the features on the train part only."""
-    chosen = select(features.where("split = 'train'"), names) if select else names
-    rows = assemble(features.select(*KEY, "label", "split", *chosen), chosen)
-    train, test = rows.where("split = 'train'").drop("split"), rows.where("split = 'test'")
-    out = None
-    for name, classifier in classifiers.items():
-        report = report_of(grid_search(train, chosen, classifier), test, name)
-        out = report if out is None else out.unionByName(report)
-    return out, chosen
+) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Every classifier on the train/test split of each run; ``select`` picks the features on the train part only."""
+    own = features.select(*KEY, "label", "split", *names)
+    return evaluate(own.where("split = 'train'").drop("split"), own.where("split = 'test'").drop("split"), names, classifiers, select)
 
 
 def nested_evaluation(
     features: DataFrame, names: list[str], classifiers: dict[str, Classifier], outer: int = FOLDS, inner: int = FOLDS,
     select: Selector | None = None,
-) -> tuple[list[dict], list[list[str]]]:
-    """Nested cross-validation: mean and population deviation of AUC and average precision.
+) -> tuple[DataFrame, dict[tuple[str, int], list[str]]]:
+    """Nested cross-validation per run: mean and population deviation of AUC and average precision, (run_id, classifier, ...).
 
-    With ``select`` the features are picked anew on the training part of every outer fold.
+    The rows outside an outer fold are a training set of their own, so that all outer folds of all runs are fitted
+    together. With ``select`` the features are picked anew on the training part of every outer fold.
     """
-    folded = materialize(stratified_folds(features.select(*KEY, "label", *names), outer, ["label"], KEY, SEED))
-    chosen, aucs, precisions = [], {c: [] for c in classifiers}, {c: [] for c in classifiers}
-    for f in range(outer):
-        fit_part, held = folded.where(F.col("fold") != f).drop("fold"), folded.where(F.col("fold") == f).drop("fold")
-        picked = select(fit_part, names) if select else names
-        chosen.append(picked)
-        train, test = assemble(fit_part.select(*KEY, "label", *picked), picked), assemble(held.select(*KEY, "label", *picked), picked)
-        for name, classifier in classifiers.items():
-            fitted = grid_search(train, picked, classifier, inner)
-            scored = fitted.score(test).withColumns({"run_id": F.lit("all"), "score_name": F.lit(name)})
-            numbers = detector_report(scored).select("roc_auc", "pr_auc").first()
-            aucs[name].append(numbers["roc_auc"])
-            precisions[name].append(numbers["pr_auc"])
-    return [{"classifier": c, **_summary(aucs[c], precisions[c])} for c in classifiers], chosen
+    folded = materialize(stratified_folds(features.select(*KEY, "label", *names), outer, ["run_id", "label"], KEY, SEED))
+    part = lambda fold: F.concat_ws("\t", "run_id", fold)
+    outside = folded.withColumn("_outer", F.explode(F.array(*[F.lit(f) for f in range(outer)]))).where("_outer <> fold")
+    train = outside.withColumn("run_id", part(F.col("_outer"))).drop("_outer", "fold")
+    test = folded.withColumn("run_id", part(F.col("fold"))).drop("fold")
+    report, chosen = evaluate(train, test, names, classifiers, select, inner)
+    summary = [f(c).alias(f"{n}_{t}") for c, n in (("roc_auc", "auroc"), ("pr_auc", "auprc")) for f, t in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    summary = report.withColumn("run_id", F.split("run_id", "\t")[0]).groupBy("run_id", F.col("score_name").alias("classifier")).agg(*summary)
+    return summary, {(k.rsplit("\t", 1)[0], int(k.rsplit("\t", 1)[1])): v for k, v in chosen.items()}
 
 
 # ---------------------------------------------------------------- registry

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelab.operators import ar1, cells as cl, curves as cv, features as ft
 from tracelab.plans import fixtures as fx
-from tracelab.plans.feature_queries import BYSTEP
+from tracelab.plans.feature_queries import BYSTEP, all_features_sql
 from tracelab.plans.registry import query
 from tracelab.session import KEY
 from tracelab.sources import trace
@@ -186,44 +186,47 @@ def fit_t_exponential(spark, sf_dir):
     return cv.fit_t_exponential(cv.population_curve(labelled(spark, sf_dir)))
 
 
-NAMES = ["MeanEntropy", "MeanMaskedEntropy", "MeanLogProb", "VarEntropyAcrossTokens", "VarMaskedEntropyAcrossTokens", "AlphaEntropy"]
-WIDE = BYSTEP + """,
-wide AS (SELECT s.*, t.VarEntropyAcrossTokens, t.VarMaskedEntropyAcrossTokens, t.AlphaEntropy FROM
-  (SELECT run_id, sample_id, (any_value(cls) >= 5)::INT AS label, avg(entropy) AS MeanEntropy,
-          coalesce(sum(entropy) FILTER (WHERE masked), 0) / greatest(count(*) FILTER (WHERE masked), 1) AS MeanMaskedEntropy, avg(prob) AS MeanLogProb
-   FROM flags GROUP BY run_id, sample_id) AS s JOIN
-  (SELECT run_id, sample_id, avg(ve) AS VarEntropyAcrossTokens, coalesce(avg(vem) FILTER (WHERE nm > 1), 0) AS VarMaskedEntropyAcrossTokens, regr_slope(le, step) AS AlphaEntropy
-   FROM bystep GROUP BY ALL) AS t USING (run_id, sample_id)),
-long AS (UNPIVOT wide ON MeanEntropy, MeanMaskedEntropy, MeanLogProb, VarEntropyAcrossTokens, VarMaskedEntropyAcrossTokens, AlphaEntropy INTO NAME feature VALUE value)
+NAMES = ft.STATIC + ft.NO_PADDING + ft.DYNAMIC
+WIDE = BYSTEP + "," + all_features_sql() + f""",
+labels AS (SELECT run_id, sample_id, (any_value(cls) >= 5)::INT AS label FROM flags GROUP BY run_id, sample_id),
+wide AS MATERIALIZED (SELECT * FROM features JOIN labels USING (run_id, sample_id)),
+long AS MATERIALIZED (UNPIVOT wide ON {", ".join(NAMES)} INTO NAME feature VALUE value)
 """
 
 
 def wide(spark, sf_dir):
-    features = ft.trace_features(fx.cells(spark, sf_dir)).select(*KEY, *NAMES)
+    features = ft.trace_features(fx.cells(spark, sf_dir, pad_id=fx.PAD_ID)).select(*KEY, *[F.col(n).cast("double").alias(n) for n in NAMES])
     return features.join(fx.sample_labels(spark, sf_dir).select(*KEY, "label"), KEY)
 
 
 def long(spark, sf_dir):
-    return wide(spark, sf_dir).unpivot([*KEY, "label"], NAMES, "feature", "value")
+    """Features that have a value, one row each."""
+    return wide(spark, sf_dir).unpivot([*KEY, "label"], NAMES, "feature", "value").where("value IS NOT NULL")
 
 
 @query(
     "d48_feature_histogram",
     fx.with_cells(
         "SELECT feature, label, bin, lo + bin * w AS left_edge, coalesce(c, 0) AS count, coalesce(c, 0) / (n * w) AS density FROM "
-        "(SELECT feature, label, count(*) AS n, min(value) AS lo, (max(value) - min(value)) / 30 AS w FROM long GROUP BY ALL) AS s "
+        "(SELECT feature, label, n, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN 1.0 ELSE hi - lo END / 30 AS w FROM spans) AS s "
         "CROSS JOIN (SELECT unnest(range(30))::INT AS bin) AS g LEFT JOIN (SELECT feature, label, least(29, floor((value - lo) / w))::INT AS bin, count(*) AS c FROM long JOIN "
-        "(SELECT feature, label, min(value) AS lo, (max(value) - min(value)) / 30 AS w FROM long GROUP BY ALL) AS z USING (feature, label) GROUP BY ALL) AS b USING (feature, label, bin)", WIDE),
+        "(SELECT feature, label, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN 1.0 ELSE hi - lo END / 30 AS w FROM spans) AS z USING (feature, label) GROUP BY ALL) AS b USING (feature, label, bin)",
+        WIDE + ", spans AS (SELECT feature, label, count(*) AS n, min(value) AS lo, max(value) AS hi FROM long GROUP BY ALL)"),
     "left_edge density",
 )
 def feature_histogram(spark, sf_dir):
     return cv.feature_histogram(long(spark, sf_dir))
 
 
-CORR_SQL = " UNION ALL ".join(
-    f"SELECT {i} AS i, {j} AS j, '{a}' AS name_i, '{b}' AS name_j, corr({a}, {b}) AS r FROM wide"
-    for i, a in enumerate(NAMES) for j, b in enumerate(NAMES) if i < j
-)
+def _each_pair(names, value):
+    """One aggregate row with a struct for each pair, unnested."""
+    pairs = [(i, j, a, b) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    structs = ", ".join(f"{{'i': {i}, 'j': {j}, 'name_i': '{a}', 'name_j': '{b}', {value(a, b)}}}" for i, j, a, b in pairs)
+    return f"SELECT unnest([{structs}], recursive := true) FROM wide"
+
+
+# DuckDB has no number for a constant side; the library gives NULL.
+CORR_SQL = f"SELECT i, j, name_i, name_j, CASE WHEN isfinite(r) THEN r END AS r FROM ({_each_pair(NAMES, lambda a, b: f"'r': corr({a}, {b})")}) AS every"
 
 
 @query("d49_correlation_matrix", fx.with_cells(CORR_SQL, WIDE), "r")
@@ -233,17 +236,18 @@ def correlation_matrix(spark, sf_dir):
 
 @query(
     "c7_feature_pairs",
-    fx.with_cells("SELECT a.feature AS name_i, b.feature AS name_j, count(*) AS n, sum(a.value * b.value) AS dot FROM long AS a JOIN long AS b ON a.sample_id = b.sample_id AND a.feature < b.feature GROUP BY ALL", WIDE),
+    f"SELECT name_i, name_j, n, dot FROM ({fx.with_cells(_each_pair(sorted(NAMES), lambda a, b: f"'n': count({a} * {b}), 'dot': coalesce(sum({a} * {b}), 0)"), WIDE)}) AS every",
     "dot",
 )
 def feature_pairs(spark, sf_dir):
-    pairs = cv.feature_pairs(wide(spark, sf_dir), sorted(NAMES))
-    return pairs.groupBy("name_i", "name_j").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * F.col("y")).alias("dot"))
+    """Products of every pair of features over the samples that have both."""
+    return cv.pair_moments(wide(spark, sf_dir), sorted(NAMES), center=False).select("name_i", "name_j", "n", F.col("sxy").alias("dot"))
 
 
 @query(
     "d50_label_correlation",
-    fx.with_cells("SELECT feature, r, (row_number() OVER (ORDER BY abs(r) DESC, feature))::INT AS rank FROM (SELECT feature, corr(value, label) AS r FROM long GROUP BY ALL) AS t", WIDE),
+    fx.with_cells("SELECT feature, r, (row_number() OVER (ORDER BY abs(r) DESC NULLS LAST, feature))::INT AS rank FROM "
+        "(SELECT feature, CASE WHEN isfinite(corr(value, label)) THEN corr(value, label) END AS r FROM long GROUP BY ALL) AS t", WIDE),
     "r",
 )
 def label_correlation(spark, sf_dir):

@@ -89,6 +89,32 @@ STATIC = {
 }
 
 
+# The same for the features that a query gives several at a time; trace features take the curve of all tokens.
+DYNAMIC = {
+    "tau": [("MeanVarTauEntropy", "avg(tau) FILTER (WHERE step % 5 = 0 AND step < 8 - 5)"), ("VarTauEntropy", "var_pop(tau) FILTER (WHERE step % 5 = 0 AND step < 8 - 5)")],
+    "bypos": [("AlphaEntropy", "avg(ae)"), ("BetaEntropy", "avg(be)"), ("AlphaLogProb", "avg(ap)"), ("BetaLogProb", "avg(bp)")],
+    "bystep": [("AlphaEntropyAvg", "regr_slope(ln(me + 1e-10), step)"), ("BetaEntropyAvg", "regr_intercept(ln(me + 1e-10), step)")],
+    "(SELECT run_id, sample_id, count(*) FILTER (WHERE me > 0) AS n, regr_slope(ln(me / step), step) FILTER (WHERE me > 0 AND step > 0) AS a, "
+    "regr_intercept(ln(me / step), step) FILTER (WHERE me > 0 AND step > 0) AS b FROM bystep GROUP BY ALL) AS f":
+        [(name, f"any_value(CASE WHEN n >= 3 THEN {e} END)") for name, e in (("C_fit", "exp(b + (n / 2.0) * a)"), ("Tau_fit", "-1.0 / a"), ("M_fit", "(n / 2.0)::DOUBLE"))],
+}
+
+
+def all_features_sql() -> str:
+    """CTE ``features`` of all 37 features, one pass per source; needs ``BYSTEP``."""
+    sources: dict[str, list[tuple[str, str, bool]]] = {}
+    for feature, expr, source, zero in STATIC.values():
+        sources.setdefault(source, []).append((feature, expr, zero))
+    for source, own in DYNAMIC.items():
+        sources.setdefault(source, []).extend((feature, expr, False) for feature, expr in own)
+    names = [(f"s{i}.{f}", f, zero) for i, own in enumerate(sources.values()) for f, _, zero in own]
+    columns = ", ".join(f"coalesce({c}, 0)::DOUBLE AS {f}" if zero else f"{c}::DOUBLE AS {f}" for c, f, zero in names)
+    joins = " ".join(
+        f"LEFT JOIN (SELECT run_id, sample_id, {', '.join(f'{e} AS {f}' for f, e, _ in own)} FROM {source} GROUP BY ALL) AS s{i} USING (run_id, sample_id)"
+        for i, (source, own) in enumerate(sources.items()))
+    return f"features AS MATERIALIZED (SELECT run_id, sample_id, {columns} FROM ids {joins})"
+
+
 def _register_static():
     for key, (feature, expr, source, zero) in STATIC.items():
         doubles = "" if key == "d21_argmax_variance_curve" else feature

@@ -1,8 +1,7 @@
 """Queries for fitted detectors, evaluations and feature selection.
 
 Fits differ between optimisers in the last digits, so most of these have no SQL; what SQL can state
-(counts, splits, mutual information) is checked. Round counts and grids are arguments of the
-library functions; the queries pass smaller ones than the defaults and still read whole tables.
+(counts, splits, correlations, mutual information) is checked.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from tracelab.operators import detectors as dt
 from tracelab.operators import features as ft
 from tracelab.operators import lexical as lx
+from tracelab.operators import metrics as mt
 from tracelab.operators import selection as sl
 from tracelab.plans import fixtures as fx
 from tracelab.plans.curve_queries import NAMES, WIDE, wide
@@ -19,47 +19,43 @@ from tracelab.plans.registry import query
 from tracelab.plans.score_queries import SCORES, sample_pool
 from tracelab.session import KEY
 
-# The queries' own settings, smaller than the library's defaults.
-SMALL_GRID = [{"C": c, "penalty": p} for c in (0.01, 1.0) for p in ("l1", "l2")]
-QUICK = {
-    "LR": dt.Classifier(dt.logistic, SMALL_GRID),
-    "RF": dt.Classifier(dt.forest, [{"n_estimators": 20, "max_depth": d} for d in (3, 5)]),
-    "GBT": dt.Classifier(dt.boosted, [{"n_estimators": 5, "max_depth": 3, "learning_rate": 0.1}]),
+# Logistic models have the library's whole grid. Forests and boosted trees of MLlib take seconds to minutes a fit, so
+# the queries give them one setting each; the library's grids are its defaults.
+TREES = {
+    "RF": dt.Classifier(dt.forest, [{"n_estimators": 100, "max_depth": 5}]),
+    "GBT": dt.Classifier(dt.boosted, [{"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1}]),
 }
+LR = {"LR": dt.CLASSIFIERS["LR"]}
 
 
 def pool_features(spark, sf_dir):
     """Trace features of the labelled pool with label and split, columns with a NULL left out."""
-    cells = fx.cells(spark, sf_dir)
+    cells = fx.cells(spark, sf_dir, pad_id=fx.PAD_ID)
     pool = sample_pool(spark, sf_dir).select(*KEY, "label", "split")
     features = dt.materialize(ft.trace_features(cells).join(pool, KEY))
     return ft.drop_nan_columns(features, ft.feature_columns(features))[0]
 
 
-def some_names(features):
-    return [n for n in NAMES if n in features.columns]
-
-
 @query("i6_supervised_detector")
 def supervised_detector(spark, sf_dir):
-    """The whole grid on one feature set; every pool row is scored."""
+    """The whole grid on all features, a model per run; every pool row is scored."""
     features = pool_features(spark, sf_dir)
-    names = some_names(features)
-    return dt.supervised_detector(features.select(*KEY, "label", "split", *names), names, "baseline")[2]
+    return dt.supervised_detector(features, ft.feature_columns(features), "all")[2]
 
 
-@query("i6_split_sizes", fx.with_cells("SELECT run_id, split, count(*) AS n, true AS probable FROM pool GROUP BY ALL", SCORES))
+@query("i6_split_sizes", fx.with_cells("SELECT run_id, split, count(*) AS n, true AS probable, true AS learned FROM pool GROUP BY ALL", SCORES))
 def split_sizes(spark, sf_dir):
-    """Scored rows per run and split; every score is a probability."""
+    """Scored rows per run and split; every score is a probability, and on the train rows of its run a model ranks better than chance."""
     features = pool_features(spark, sf_dir)
-    names = some_names(features)
-    scored = dt.supervised_detector(features.select(*KEY, "label", "split", *names), names, "baseline", SMALL_GRID)[2]
-    return scored.groupBy("run_id", "split").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("probable"))
+    scored = dt.materialize(dt.supervised_detector(features, ft.feature_columns(features), "all")[2])
+    sizes = scored.groupBy("run_id", "split").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("probable"))
+    learned = mt.feature_auc(scored.where("split = 'train'"), ["run_id"]).select("run_id", (F.col("auc") >= 0.5).alias("learned"))
+    return sizes.join(learned, "run_id")
 
 
 @query("i7_four_models")
 def four_models(spark, sf_dir):
-    return dt.four_models(pool_features(spark, sf_dir), SMALL_GRID)
+    return dt.four_models(pool_features(spark, sf_dir))
 
 
 @query("i8_lexical_detector")
@@ -70,16 +66,15 @@ def lexical_detector(spark, sf_dir):
         F.col("doc_id").alias("sample_id"), (F.col("n_chars") % 2).cast("int").alias("label"), F.when(F.col("doc_id") % 5 < 4, "train").otherwise("test").alias("split")
     )
     rows = features.join(labels, "sample_id")
-    return dt.supervised_detector(rows, lx.FEATURES, "lexical_similarity", SMALL_GRID)[1]
+    return dt.supervised_detector(rows, lx.FEATURES, "lexical_similarity")[1]
 
 
 @query("i9_cross_dataset")
 def cross_dataset(spark, sf_dir):
     """Each run as train set, both as test sets."""
     features = pool_features(spark, sf_dir).drop("split")
-    names = some_names(features)
     pairs = [(a, b) for a in (fx.RUN_A, fx.RUN_B) for b in (fx.RUN_A, fx.RUN_B)]
-    return dt.cross_dataset(features.select(*KEY, "label", *names), pairs, names, SMALL_GRID)
+    return dt.cross_dataset(features, pairs, ft.feature_columns(features))
 
 
 def _rows(spark, records):
@@ -88,42 +83,46 @@ def _rows(spark, records):
 
 @query("i12_stability_selection")
 def stability_selection(spark, sf_dir):
+    """All rounds on all features, by run."""
     features = pool_features(spark, sf_dir)
-    names = some_names(features)
-    found = sl.stability_selection(features, names, rounds=8)
-    return _rows(spark, [(n, float(found.probability[n]), n in found.selected) for n in names]).toDF("feature", "probability", "selected")
+    names = ft.feature_columns(features)
+    found = sl.stability_selection(features, names)
+    return _rows(spark, [(r, n, float(s.probability[n]), n in s.selected) for r, s in found.items() for n in names]).toDF("run_id", "feature", "probability", "selected")
 
 
+# Equal widths; a constant column has one bin, and a NULL a bin of its own.
 MI = """
-bins AS (SELECT label, """ + ", ".join(
-    f"least(7, floor(({n} - min({n}) OVER ()) / ((max({n}) OVER () - min({n}) OVER ()) / 8)))::INT AS {n}" for n in NAMES
+bins AS MATERIALIZED (SELECT label, """ + ", ".join(
+    f"CASE WHEN min({n}) OVER () = max({n}) OVER () THEN 0 WHEN {n} IS NULL THEN 8 "
+    f"ELSE least(7, floor(({n} - min({n}) OVER ()) / ((max({n}) OVER () - min({n}) OVER ()) / 8)))::INT END AS {n}" for n in NAMES
 ) + """ FROM wide),
-pairs AS (""" + " UNION ALL ".join(
-    f"SELECT '{a}' AS name_i, '{b}' AS name_j, {a}::INT AS x, {b}::INT AS y FROM bins"
-    for i, a in enumerate([*NAMES, "label"]) for j, b in enumerate([*NAMES, "label"]) if i < j
-) + """),
-joint AS (SELECT name_i, name_j, x, y, count(*) AS n FROM pairs GROUP BY ALL),
+numbered AS (SELECT row_number() OVER () AS no, * FROM bins),
+cells AS MATERIALIZED (UNPIVOT (SELECT no, label::INT AS label, """ + ", ".join(f"{n}::INT AS {n}" for n in NAMES) + " FROM numbered) ON " + ", ".join([*NAMES, "label"]) + """ INTO NAME feature VALUE x),
+places AS (SELECT unnest([""" + ", ".join(f"'{n}'" for n in [*NAMES, "label"]) + """]) AS feature, unnest(range(""" + str(len(NAMES) + 1) + """)) AS place),
+joint AS (SELECT a.feature AS name_i, b.feature AS name_j, a.x, b.x AS y, count(*) AS n FROM cells AS a JOIN places AS p ON a.feature = p.feature
+  JOIN cells AS b ON a.no = b.no JOIN places AS q ON b.feature = q.feature AND p.place < q.place GROUP BY ALL),
 sums AS (SELECT *, sum(n) OVER (PARTITION BY name_i, name_j, x) AS nx, sum(n) OVER (PARTITION BY name_i, name_j, y) AS ny, sum(n) OVER (PARTITION BY name_i, name_j) AS t FROM joint)
 """
 
 
 @query("i13_mutual_information", fx.with_cells("SELECT name_i, name_j, sum(n / t * ln(n::DOUBLE * t / (nx * ny))) AS mi FROM sums GROUP BY ALL", WIDE + "," + MI), "mi")
 def mutual_information(spark, sf_dir):
-    table = wide(spark, sf_dir).select("label", *NAMES)
+    table = dt.materialize(wide(spark, sf_dir).select("label", *NAMES))
     return sl.mutual_information(sl.binned(table, NAMES, 8, "width"), [*NAMES, "label"])
 
 
 @query("i13_mrmr_selection")
 def mrmr_selection(spark, sf_dir):
     features = pool_features(spark, sf_dir)
-    chosen, scores = sl.mrmr_selection(features, some_names(features), n_select=4)
-    return _rows(spark, [(i, n, float(scores[n])) for i, n in enumerate(chosen)]).toDF("position", "feature", "score")
+    found = sl.mrmr_selection(features, ft.feature_columns(features))
+    return _rows(spark, [(r, i, n, float(scores[n])) for r, (chosen, scores) in found.items() for i, n in enumerate(chosen)]).toDF("run_id", "position", "feature", "score")
 
 
 @query("i14_boruta_selection")
 def boruta_selection(spark, sf_dir):
     features = pool_features(spark, sf_dir)
-    found = sl.boruta_selection(features, some_names(features), rounds=3, trees=20)
+    # Forests are MLlib fits; the library's defaults are 100 rounds of 100 trees.
+    found = sl.boruta_selection(features, ft.feature_columns(features), rounds=3, trees=20)
     return _rows(spark, [(n, int(h), n in found["confirmed"]) for n, h in found["hits"].items()]).toDF("feature", "hits", "confirmed")
 
 
@@ -141,38 +140,36 @@ def shadow_copies(spark, sf_dir):
 def fallback_selection(spark, sf_dir):
     """mRMR choice cut to positive scores; the first three where no score is positive."""
     features = pool_features(spark, sf_dir)
-    chosen, scores = sl.mrmr_selection(features, some_names(features), n_select=4)
-    none = {n: -1.0 for n in chosen}
-    kept, first = sl.positive_or_first(chosen, scores), sl.positive_or_first(chosen, none)
-    return _rows(spark, [("positive", n) for n in kept] + [("fallback", n) for n in first]).toDF("rule", "feature")
+    rows = []
+    for run, (chosen, scores) in sl.mrmr_selection(features, ft.feature_columns(features)).items():
+        kept, first = sl.positive_or_first(chosen, scores), sl.positive_or_first(chosen, {n: -1.0 for n in chosen})
+        rows += [(run, "positive", n) for n in kept] + [(run, "fallback", n) for n in first]
+    return _rows(spark, rows).toDF("run_id", "rule", "feature")
 
 
 @query("i16_fixed_split_evaluation")
 def fixed_split_evaluation(spark, sf_dir):
     features = pool_features(spark, sf_dir)
-    return dt.fixed_split_evaluation(features, some_names(features), QUICK)[0]
+    return dt.fixed_split_evaluation(features, ft.feature_columns(features), LR | TREES)[0]
 
 
 @query("i17_fixed_split_with_selection")
 def fixed_split_with_selection(spark, sf_dir):
     features = pool_features(spark, sf_dir)
-    pick = lambda f, n: sl.select_on(f, n, "mrmr")
-    return dt.fixed_split_evaluation(features, some_names(features), {"LR": QUICK["LR"]}, pick)[0]
+    return dt.fixed_split_evaluation(features, ft.feature_columns(features), LR, sl.select_on)[0]
 
 
 @query("i18_nested_evaluation")
 def nested_evaluation(spark, sf_dir):
     features = pool_features(spark, sf_dir)
-    records, _ = dt.nested_evaluation(features, some_names(features), {"LR": QUICK["LR"]}, outer=3, inner=3)
-    return _rows(spark, records)
+    return dt.nested_evaluation(features, ft.feature_columns(features), LR)[0]
 
 
 @query("i19_nested_with_selection")
 def nested_with_selection(spark, sf_dir):
     features = pool_features(spark, sf_dir)
     pick = lambda f, n: sl.select_on(f, n, "mrmr")
-    records, _ = dt.nested_evaluation(features, some_names(features), {"LR": QUICK["LR"]}, outer=3, inner=3, select=pick)
-    return _rows(spark, records)
+    return dt.nested_evaluation(features, ft.feature_columns(features), LR, select=pick)[0]
 
 
 @query("i20_selection_record")
@@ -180,8 +177,8 @@ def selection_record(spark, sf_dir):
     import json
 
     features = pool_features(spark, sf_dir)
-    record = sl.selection_record(features, some_names(features), {"LR": QUICK["LR"]}, rounds=4, boruta_rounds=2, rounds_inside=4)
-    return _rows(spark, [(k, json.dumps(v, sort_keys=True, default=str)) for k, v in record.items()]).toDF("part", "record")
+    records = sl.selection_record(features, ft.feature_columns(features), LR, boruta_rounds=2, trees=20)
+    return _rows(spark, [(r, k, json.dumps(v, sort_keys=True, default=str)) for r, record in records.items() for k, v in record.items()]).toDF("run_id", "part", "record")
 
 
 @query(
