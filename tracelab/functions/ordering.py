@@ -1,10 +1,10 @@
 """Ranks and running totals over groups of any size.
 
-A window over a whole run would put the run into one task. Here the order column is first cut into
-buckets by quantiles taken over all rows, so that one (group, bucket) holds about 1/buckets of the
-data even when a single group holds most of it. Per-bucket totals are aggregated map-side, their
-running sum (one small row per group and bucket) gives each bucket its offset, and the window runs
-inside the bucket only.
+A window over a whole run would put the run into one task. Here the rows are first range-partitioned by the
+order column and written, each with the number of its partition, so that one (group, partition) holds about 1/partitions of the
+data even when a single group holds most of it. The table is what later steps read, so the input is evaluated for it only. Totals per partition are
+aggregated map-side, their running sum (one small row per group and partition) gives each partition its offset, and
+the window runs inside the partition only. Any number of partitions is a number in a column, not an expression.
 """
 
 from __future__ import annotations
@@ -14,47 +14,29 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelab.session import written
+
 BUCKET = "_bucket"
-HASH_BITS = 10
 
 
 def default_buckets(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def quantile_splits(df: DataFrame, order: str, buckets: int) -> list[float]:
-    """Inner bucket bounds; at most ``buckets - 1`` numbers reach the driver."""
-    probabilities = [i / buckets for i in range(1, buckets)]
-    values = df.select(F.col(order).cast("double").alias(order)).approxQuantile(
-        order, probabilities, 0.5 / buckets
-    )
-    return sorted(set(values))
-
-
-def bucket_of(value: Column, splits: Sequence[float]) -> Column:
-    """Index of the bucket of ``value`` as a balanced tree of comparisons (stays in codegen)."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(splits[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(splits))
-
-
-def hash_bucket(hash_col: Column) -> Column:
-    """Bucket of a 64-bit hash by its top bits; keeps the hash order and needs no quantiles."""
-    return F.shiftright(hash_col, 64 - HASH_BITS).cast("int")
+def hash_bucket(hash_col: Column, buckets: int) -> Column:
+    """Bucket of a 64-bit hash by its top bits, two to four times as many as asked for; keeps the hash order and needs no pass."""
+    bits = max(1, int(2 * buckets).bit_length())
+    return F.shiftright(hash_col, 64 - bits).cast("int")
 
 
 def seeded_hash(seed: int, *cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
 
 
-def bucketize(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
-    splits = quantile_splits(df, order, buckets or default_buckets(df))
-    return df.withColumn(BUCKET, bucket_of(F.col(order).cast("double"), splits))
+def bucketize(df: DataFrame, order: str, buckets: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """Rows in a written table, with the number of their range of (order, ties); numbers follow the order, nulls first."""
+    ranged = df.repartitionByRange(buckets or default_buckets(df), order, *ties)
+    return written(ranged.withColumn(BUCKET, F.spark_partition_id()))
 
 
 Stat = tuple[Column, Callable[[str], Column]]
@@ -87,8 +69,7 @@ def running_totals(
 ) -> DataFrame:
     """Add ``new = running sum of old`` for each ``old -> new`` in ``values``, current row included.
 
-    Rows of one group need distinct ``order`` values; ``df`` should be cheap to read twice. ``stats``
-    adds whole-group statistics from the same small table, which spares a join on the group, whose
+    Rows of one group need distinct ``order`` values. ``stats`` adds whole-group statistics from the same small table, which spares a join on the group, whose
     few keys would be hot.
     """
     cut = bucketize(df, order, buckets)
@@ -112,10 +93,13 @@ def row_numbers(
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, by ``order`` and then ``ties``.
 
-    ``hashed`` says that ``order`` is a 64-bit hash, whose top bits serve as bucket; ``size`` names a
-    column for the number of rows of the group.
+    ``hashed`` says that ``order`` is a 64-bit hash, whose top bits serve as bucket (``df`` is then read twice); ``size``
+    names a column for the number of rows of the group.
     """
-    cut = df.withColumn(BUCKET, hash_bucket(F.col(order))) if hashed else bucketize(df, order, buckets)
+    if hashed:
+        cut = df.withColumn(BUCKET, hash_bucket(F.col(order), buckets or default_buckets(df)))
+    else:
+        cut = bucketize(df, order, buckets, ties)
     stats = {size: (F.count(F.lit(1)), F.sum)} if size else {}
     offsets = _offsets(cut, group, {"n": F.count(F.lit(1))}, stats, descending=False)
     inside = Window.partitionBy(*group, BUCKET).orderBy(order, *ties)
