@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tracelab.llm.byte_pairs import byte_letters
 from tracelab.llm.packing import binaries
-from tracelab.llm.store import Scratch, in_batches, slices, with_columns
+from tracelab.llm.store import Scratch, in_batches, slices, tidy, with_columns
 from tracelab.llm.token_ids import word_ids
 from tracelab.llm.unit_table import HashIndex, UnitTable, joined, whole_texts
 from tracelab.llm.word_hash import mix
@@ -334,7 +334,7 @@ def aligned(docs: DataFrame, words: str, pieces: str) -> DataFrame:
     factor = sentencepiece.SentencePieceProcessor(model_file=pieces).get_piece_size() + 1
     scratch = Scratch(docs.sparkSession, "alignment")
     rows = in_batches(with_columns(docs, doc_id="bigint", text="string"))
-    encoded = scratch.save(rows.mapInArrow(_encode(words, pieces), ENCODED), "encoded")
+    encoded = scratch.save(rows.mapInArrow(tidy(_encode(words, pieces)), ENCODED), "encoded")
     known = linked_pairs(encoded, factor)
     totals = scratch.save(known.groupBy("code", "a").agg(F.sum("holders").alias("count")), "totals")
     highest = totals.groupBy("a").agg(F.max("count").alias("highest"))
@@ -344,4 +344,4 @@ def aligned(docs: DataFrame, words: str, pieces: str) -> DataFrame:
     texts = encoded.where(F.col("codes").isNull()).select("part", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times")
     both = found.unionByName(texts, allowMissingColumns=True)
     by_part = both.repartition("part").sortWithinPartitions("part", F.col("number").isNull())
-    return in_batches(by_part).mapInArrow(_count, COUNTED)
+    return in_batches(by_part).mapInArrow(tidy(_count), COUNTED)

@@ -29,7 +29,10 @@ class Merges:
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            whole = json.load(file)
+        model = whole["model"]
+        #: Strings that the tokenizer finds before it cuts words.
+        self.added = [t["content"] for t in whole["added_tokens"]]
         vocabulary, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         letters = byte_letters()
         self.byte_id = np.array([vocabulary[x] for x in letters], dtype=np.int64)

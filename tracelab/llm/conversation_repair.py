@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelab.llm.role_grammar import BLANK, DUPLICATE, NONE, TRUNCATED, RoleGrammar
-from tracelab.llm.store import Scratch, in_batches, with_columns
+from tracelab.llm.store import Scratch, in_batches, tidy, with_columns
 
 #: Rows of a segment at most.
 SEGMENT = 4096
@@ -219,11 +219,11 @@ class Repair:
                 if kept:
                     yield pa.RecordBatch.from_pylist(kept, schema=_REPAIRED)
 
-        return self._edited("part", "segment").mapInArrow(work, REPAIRED)
+        return self._edited("part", "segment").mapInArrow(tidy(work), REPAIRED)
 
     def digests(self) -> DataFrame:
         """(conv_id, audit, repaired_sha256) per conversation; SHA-256 is sequential, so one task streams a conversation, row by row."""
-        return self._edited("conv_id").mapInArrow(_digests, DIGEST)
+        return self._edited("conv_id").mapInArrow(tidy(_digests), DIGEST)
 
 
 _REPAIRED = pa.schema([
@@ -291,7 +291,7 @@ def repair(rows: DataFrame, grammar: RoleGrammar | None = None) -> Repair:
     grammar = grammar or RoleGrammar()
     spark = rows.sparkSession
     scratch = Scratch(spark, "conversations")
-    placed = scratch.save(in_batches(ordered(rows)).mapInArrow(_first_pass, ROWS), "rows")
+    placed = scratch.save(in_batches(ordered(rows)).mapInArrow(tidy(_first_pass), ROWS), "rows")
     # Conversations in several parts: fewer than there are parts.
     spans = scratch.save(placed.groupBy("conv_id").agg(F.min("part").alias("first_part"), F.max("part").alias("last_part")).where("first_part < last_part"), "spans")
     same = F.col("conv_id").eqNullSafe(F.col("_conv_id"))
@@ -308,11 +308,11 @@ def repair(rows: DataFrame, grammar: RoleGrammar | None = None) -> Repair:
     marked = slim.join(firsts, ["part", "segment"], "left").withColumn("starts", F.coalesce("starts", F.lit(False)))
     marked = marked.select("part", "segment", "at", "conv_id", "turn", "role", "fault", "starts")
     by_place = marked.repartition("part", "segment").sortWithinPartitions("part", "segment", "at")
-    segments = scratch.save(in_batches(by_place).mapInArrow(_segment_rows(grammar), SEGMENTS), "segments")
+    segments = scratch.save(in_batches(by_place).mapInArrow(tidy(_segment_rows(grammar)), SEGMENTS), "segments")
     scratch.drop("late")
 
     links = segments.drop("edits").repartition("conv_id").sortWithinPartitions("conv_id", "part", "segment")
-    chained = scratch.save(in_batches(links).mapInArrow(_chain(grammar), CHAINED), "chained")
+    chained = scratch.save(in_batches(links).mapInArrow(tidy(_chain(grammar)), CHAINED), "chained")
     report = chained.where(F.col("cost").isNotNull()).select(*[c.split()[0] for c in REPORT.split(", ")])
     way = F.filter(F.arrays_zip("ways", "edits"), lambda w: (w["ways"]["start"] == F.col("start")) & (w["ways"]["end"] == F.col("end")))
     chosen = chained.select("conv_id", "part", "segment", "start", "end", "closing").join(segments.select("part", "segment", "ways", "edits"), ["part", "segment"])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelab.llm.packing import encoded_rows
-from tracelab.llm.store import in_batches, with_columns
+from tracelab.llm.store import in_batches, tidy, with_columns
 
 ROWS = "part int, start_in_part bigint, doc_id bigint, n_tokens bigint, ids array<int>"
 DIGEST = "part int, start_in_part bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint"
@@ -76,5 +76,5 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """Per document of the files: (doc_id, start, n_tokens, ids_crc32)."""
-    rows = in_batches(read_rows(spark, folder)).mapInArrow(_digest, DIGEST)
+    rows = in_batches(read_rows(spark, folder)).mapInArrow(tidy(_digest), DIGEST)
     return with_starts(rows, folder).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tracelab.llm.store import Scratch, in_batches, with_columns
+from tracelab.llm.store import Scratch, in_batches, tidy, with_columns
 from tracelab.llm.word_hash import hashed_words, shingles, text_slices
 
 COUNTS = "kind int, bucket int, n bigint"
@@ -80,7 +80,7 @@ def count_ngrams(docs: DataFrame, bits: int) -> DataFrame:
             used = np.flatnonzero(totals[kind])
             yield pa.record_batch({"kind": pa.array(np.full(len(used), kind, dtype=np.int32)), "bucket": pa.array(used.astype(np.int32)), "n": pa.array(totals[kind][used])})
 
-    return in_batches(docs.select("text", "target")).mapInArrow(count, COUNTS).groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
+    return in_batches(docs.select("text", "target")).mapInArrow(tidy(count), COUNTS).groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
 
 
 def log_ratios(counts: DataFrame, bits: int, smoothing: float) -> np.ndarray:
@@ -109,7 +109,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, bits: int) -> DataFrame:
             weights = log_weights(batch.column("text"), shared.value, bits)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "good": batch.column("good"), "log_weight": pa.array(weights)})
 
-    return in_batches(docs.select("doc_id", "good", "text")).mapInArrow(rows, WEIGHTS)
+    return in_batches(docs.select("doc_id", "good", "text")).mapInArrow(tidy(rows), WEIGHTS)
 
 
 def best_threshold(weights: np.ndarray, good: np.ndarray) -> float:
@@ -190,7 +190,7 @@ def with_keys(docs: DataFrame, fitted: Fitted) -> DataFrame:
         for batch in text_slices(batches):
             yield batch.append_column("_log_weight", pa.array(log_weights(batch.column("text"), shared.value, bits)))
 
-    weighed = in_batches(docs).mapInArrow(rows, StructType([*docs.schema.fields, StructField("_log_weight", DoubleType())]))
+    weighed = in_batches(docs).mapInArrow(tidy(rows), StructType([*docs.schema.fields, StructField("_log_weight", DoubleType())]))
     keyed = weighed.withColumn("_key", F.col("_log_weight") + gumbel(fitted.setting.seed, F.col("doc_id").cast("bigint")))
     return keyed.withColumn("_kept", F.col("_key") >= F.lit(fitted.cutoff))
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.llm.store import Scratch, in_batches, slices, with_columns
+from tracelab.llm.store import Scratch, in_batches, slices, tidy, with_columns
 from tracelab.llm.token_ids import word_ids
 
 ENCODED = "part int, start_in_part bigint, doc_id bigint, n_tokens bigint, ids binary"
@@ -42,7 +42,7 @@ def encoded_rows(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool
             })
             before += int(bounds[-1])
 
-    return in_batches(docs).mapInArrow(rows, ENCODED.replace("binary", "array<int>") if as_lists else ENCODED)
+    return in_batches(docs).mapInArrow(tidy(rows), ENCODED.replace("binary", "array<int>") if as_lists else ENCODED)
 
 
 def ended(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

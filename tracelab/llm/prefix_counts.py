@@ -28,7 +28,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
 from tracelab.llm.packing import binaries
-from tracelab.llm.store import in_batches, slices, with_columns
+from tracelab.llm.store import in_batches, slices, tidy, with_columns
 from tracelab.llm.unit_table import HashIndex, UnitTable, joined, ranges, whole_texts
 from tracelab.llm.word_hash import BASE, mix
 
@@ -300,7 +300,7 @@ def prefix_counts(docs: DataFrame, model: str) -> DataFrame:
                 "steps": kept,
             })
 
-    return in_batches(with_columns(docs, doc_id="bigint", text="string")).mapInArrow(rows, STEPS_SCHEMA)
+    return in_batches(with_columns(docs, doc_id="bigint", text="string")).mapInArrow(tidy(rows), STEPS_SCHEMA)
 
 
 def _steps(width: pa.Array, steps: pa.Array) -> Iterator[np.ndarray | None]:

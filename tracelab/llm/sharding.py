@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tracelab.llm.store import Scratch, in_batches
+from tracelab.llm.store import Scratch, in_batches, tidy
 
 #: Rows of a part and slots of a block at most: what a task permutes at a time (8 MB).
 BLOCK_ROWS = 1 << 20
@@ -121,7 +121,7 @@ def numbered(rows: DataFrame, block_rows: int) -> DataFrame:
             yield batch.append_column("_part", pa.array(task + at // block_rows)).append_column("_at", pa.array(at % block_rows))
 
     fields = [*rows.schema.fields, StructField("_part", LongType()), StructField("_at", LongType())]
-    return in_batches(rows).mapInArrow(number, StructType(fields))
+    return in_batches(rows).mapInArrow(tidy(number), StructType(fields))
 
 
 def shuffled(docs: DataFrame, shards: int, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -159,7 +159,7 @@ def shuffled(docs: DataFrame, shards: int, seed: int = 0, block_rows: int = BLOC
                 block[a:b] = target[at[a:b]]
             yield batch.append_column("_block", pa.array(block, pa.int32()))
 
-    dealt = in_batches(written).mapInArrow(deal, StructType([*written.schema.fields, StructField("_block", IntegerType())]))
+    dealt = in_batches(written).mapInArrow(tidy(deal), StructType([*written.schema.fields, StructField("_block", IntegerType())]))
     exchanged = dealt.repartitionById(len(size), "_block").sortWithinPartitions("_block", "_part", "_at")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def shuffled(docs: DataFrame, shards: int, seed: int = 0, block_rows: int = BLOC
             yield rows.append_column("_shard", pa.array(shard[block], pa.int32())).append_column("_slot", pa.array(slot))
 
     fields = [*plain.schema.fields, StructField("_shard", IntegerType()), StructField("_slot", LongType())]
-    return in_batches(exchanged).mapInArrow(place, StructType(fields)).toDF(*[c for _, c in kept], "_shard", "_slot")
+    return in_batches(exchanged).mapInArrow(tidy(place), StructType(fields)).toDF(*[c for _, c in kept], "_shard", "_slot")
 
 
 def write_shards(dealt: DataFrame, folder: str) -> None:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tracelab.llm.components import components
-from tracelab.llm.store import Scratch, in_batches, with_columns
+from tracelab.llm.store import Scratch, in_batches, tidy, with_columns
 from tracelab.llm.word_hash import hashed_words, mix, shingles, text_slices
 
 #: Shingles of a block of a bucket (8 MB), as far as the band tells the size of a set; larger buckets have several blocks.
@@ -179,7 +179,7 @@ def set_rows(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                 "sketch": pa.array([s if f else None for s, f in zip(drawn, first)], pa.binary()),
             })
 
-    return in_batches(docs).mapInArrow(rows, SETS)
+    return in_batches(docs).mapInArrow(tidy(rows), SETS)
 
 
 def key_rows(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
@@ -195,7 +195,7 @@ def key_rows(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                 keys, owner, _ = segment_keys(hashes, offsets, band, bands)
                 yield pa.record_batch({"key": pa.array(keys), "fp": pa.array(prints[owner])})
 
-    return in_batches(docs.where(F.col("doc_id").isNotNull())).mapInArrow(rows, KEYS)
+    return in_batches(docs.where(F.col("doc_id").isNotNull())).mapInArrow(tidy(rows), KEYS)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +334,7 @@ def bucket_pairs(members: DataFrame, bands: Bands) -> DataFrame:
     own = F.pmod(F.xxhash64("fp", "key"), F.col("blocks"))  # other keys deal the same sets otherwise
     bucket = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", own))
     dealt = members.select(bucket.alias("bucket"), "fp", "n", "sketch")
-    return in_batches(dealt.repartition("bucket").sortWithinPartitions("bucket")).mapInArrow(_bucket_pairs(bands), PAIRS).distinct()
+    return in_batches(dealt.repartition("bucket").sortWithinPartitions("bucket")).mapInArrow(tidy(_bucket_pairs(bands)), PAIRS).distinct()
 
 
 class _Bucket:
@@ -425,13 +425,13 @@ def dealt_blocks(members: DataFrame) -> DataFrame:
 def suspect_members(dealt: DataFrame, bands: Bands) -> DataFrame:
     """(bucket, fp) of the members that the sketches allow a link with another component there."""
     in_order = in_batches(dealt.repartition("bucket").sortWithinPartitions("bucket"))
-    return in_order.mapInArrow(_suspects(bands), "bucket bigint, fp bigint")
+    return in_order.mapInArrow(tidy(_suspects(bands)), "bucket bigint, fp bigint")
 
 
 def joining_links(dealt: DataFrame, suspects: DataFrame, contents: DataFrame, bands: Bands) -> DataFrame:
     """(a, b) links that join different components, found where whole sets (fp, hashes) meet."""
     shipped = suspects.join(dealt.drop("sketch"), ["bucket", "fp"]).join(contents, "fp")
-    return in_batches(shipped.repartition("bucket").sortWithinPartitions("bucket")).mapInArrow(_joining_links(bands), PAIRS)
+    return in_batches(shipped.repartition("bucket").sortWithinPartitions("bucket")).mapInArrow(tidy(_joining_links(bands)), PAIRS)
 
 
 def _compare(bands: Bands):
@@ -455,7 +455,7 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """The pairs whose sets are linked, by comparing the whole sets."""
     one = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("set_a"))
     two = sets.select(F.col("fp").alias("b"), F.col("hashes").alias("set_b"))
-    return in_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")).mapInArrow(_compare(bands), PAIRS)
+    return in_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")).mapInArrow(tidy(_compare(bands)), PAIRS)
 
 
 def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -472,7 +472,7 @@ def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int
                 "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
             })
 
-    return in_batches(texts.select("text")).mapInArrow(rows, "fp bigint, hashes binary").join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
+    return in_batches(texts.select("text")).mapInArrow(tidy(rows), "fp bigint, hashes binary").join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
 
 
 def _with_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -507,7 +507,7 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             F.first("spare0").alias("spare0"), F.first("spare1").alias("spare1"), F.max("sketch").alias("sketch")),
         "classes")
 
-    keys = in_batches(key_rows(docs, words, bands).repartition("key").sortWithinPartitions("key", "fp")).mapInArrow(_shared, KEYS)
+    keys = in_batches(key_rows(docs, words, bands).repartition("key").sortWithinPartitions("key", "fp")).mapInArrow(tidy(_shared), KEYS)
     shared = scratch.save(keys, "shared")
     holders = shared.groupBy("key").agg(F.count(F.lit(1)).alias("holders"))
     members = scratch.save(_without_dearest(shared.join(holders, "key"), classes, bands), "members")
@@ -592,7 +592,7 @@ def with_content(docs: DataFrame, words: int) -> DataFrame:
             yield batch.append_column("_n", pa.array(np.diff(offsets))).append_column("_fp", pa.array(fingerprints(hashes, offsets)))
 
     docs = docs.drop("_n", "_fp")
-    return in_batches(docs).mapInArrow(rows, StructType([*docs.schema.fields, StructField("_n", LongType()), StructField("_fp", LongType())]))
+    return in_batches(docs).mapInArrow(tidy(rows), StructType([*docs.schema.fields, StructField("_n", LongType()), StructField("_fp", LongType())]))
 
 
 def _without_dearest(shared: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -88,19 +89,24 @@ class WordIds:
     """
 
     def __init__(self, path: str, drops_space: bool, entries: int | None = None, plain: bool = False) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = plain
+        self.path, self.plain = path, plain
         self.drops_space, self.merges = drops_space, Merges(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Pieces with the first two characters of an added token may hold one.
-        self.marks = sorted({t.encode()[:2] for t in added}) if not plain else []
+        self.marks = sorted({t.encode()[:2] for t in self.merges.added}) if not plain else []
         self.units = UnitTable(self._learn, np.uint32, entries or CACHE)
 
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer, for pieces that are not plain."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        tokenizer.encode_special_tokens = self.plain
+        return tokenizer
+
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = ends - starts
         whole = whole | (lengths > LONG_RUN) | (not self.merges.orderly)
@@ -108,7 +114,7 @@ class WordIds:
         values: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(starts)
         slow = np.flatnonzero(whole)
         texts = [bytes(data[starts[i] : ends[i]]).decode("utf-8") for i in slow.tolist()]
-        for i, encoding in zip(slow.tolist(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        for i, encoding in zip(slow.tolist(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []):
             values[i] = np.asarray(encoding.ids, dtype=np.uint32)
             counts[i] = len(values[i])
         fast = np.flatnonzero(~whole)

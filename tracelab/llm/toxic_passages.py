@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tracelab.llm.importance import label_sample
-from tracelab.llm.store import Scratch, in_batches, with_columns
+from tracelab.llm.store import Scratch, in_batches, tidy, with_columns
 from tracelab.llm.word_hash import hashed_words, text_slices
 
 TOKEN_COUNTS = "token bigint, toxic bigint, clean bigint"
@@ -110,7 +110,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                 "clean": pa.array(np.bincount(at[~toxic], minlength=len(tokens)).astype(np.int64)),
             })
 
-    counted = in_batches(docs.select("text", "label")).mapInArrow(count, TOKEN_COUNTS)
+    counted = in_batches(docs.select("text", "label")).mapInArrow(tidy(count), TOKEN_COUNTS)
     return counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", setting: To
             })
 
     # One small row per training document, of which there are at most ``setting.sample`` (and their repeats).
-    seen = in_batches(rows.select("label", "text")).mapInArrow(best, "label int, n bigint, scores array<double>").toArrow().to_pylist()
+    seen = in_batches(rows.select("label", "text")).mapInArrow(tidy(best), "label int, n bigint, scores array<double>").toArrow().to_pylist()
     own = [r for r in seen if r["label"] != 1]
     least = min((s for r in own for s in r["scores"]), default=0.0)
     chance = sum(r["n"] for r in own) * math.exp(-rate * least)
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 "passages": pa.array(significant, kind),
             })
 
-    return in_batches(with_columns(docs, doc_id="bigint", text="string")).mapInArrow(rows, SCORES)
+    return in_batches(with_columns(docs, doc_id="bigint", text="string")).mapInArrow(tidy(rows), SCORES)
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
@@ -271,4 +271,4 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
             amount = np.array([evidence(found, own.expected) for _, found in passages(batch.column("text"), own)])
             yield batch.append_column("_toxicity", pa.array(own.probability(amount), pa.float64()))
 
-    return in_batches(docs).mapInArrow(rows, StructType([*docs.schema.fields, StructField("_toxicity", DoubleType())]))
+    return in_batches(docs).mapInArrow(tidy(rows), StructType([*docs.schema.fields, StructField("_toxicity", DoubleType())]))

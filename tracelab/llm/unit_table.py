@@ -166,7 +166,7 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes worked on at a time: what is held beside the text is some 60 times as much.
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 
 
 def windows(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.llm.store import Scratch, in_batches, with_columns
+from tracelab.llm.store import Scratch, in_batches, tidy, with_columns
 
 INDEX = "shard int, size int, tree binary"
 FOUND = "query_id bigint, vec_id bigint, score {kind}"
@@ -138,7 +138,7 @@ def search(
                 if state:
                     yield pa.record_batch(dict(zip(("query_id", "vec_id", "score"), map(pa.array, kernel.found(state)))))
 
-            part = in_batches(index.where((F.col("shard") >= low) & (F.col("shard") < low + wave)).select("tree")).mapInArrow(look, schema)
+            part = in_batches(index.where((F.col("shard") >= low) & (F.col("shard") < low + wave)).select("tree")).mapInArrow(tidy(look), schema)
             names.append(f"found-{block}-{low}")
             found = scratch.save(part, names[-1]) if found is None else found.unionByName(scratch.save(part, names[-1]))
             low, wave = low + wave, 4 * wave
