@@ -138,8 +138,24 @@ def test_cross_dataset_reports_each_pair(features):
     assert sorted((r["train_run"], r["test_run"], r["n_samples"]) for r in report.collect()) == [("a", "a", 120), ("a", "b", 120), ("b", "a", 120)]
 
 
-def test_registry_columns():
-    assert set(dt.REGISTRY) >= {"perplexity", "ln_entropy"} and KEY
+def test_detectors_run_as_isolated_jobs(spark, sf_dir, monkeypatch):
+    from tracelab.operators import metrics as mt, score_tables as st
+    from tracelab.plans import fixtures as fx
+    from tracelab.plans.score_queries import sample_pool
+
+    names = ["perplexity", "ln_entropy", "lexical_similarity", "semantic_entropy", "trace_features"]
+    assert set(dt.REGISTRY) >= set(names) and KEY
+    monkeypatch.setattr(dt, "LOGISTIC_GRID", GRID[:1])
+    broken = dt.Detector(lambda inputs: inputs.cells.select(*KEY, F.raise_error(F.lit("no such model")).alias("ln_entropy")), "LN-Entropy", ["ln_entropy"])
+    monkeypatch.setitem(dt.REGISTRY, "ln_entropy", broken)
+    pool = sample_pool(spark, sf_dir).select(*KEY, "label", "split")
+    inputs = dt.Inputs(fx.cells(spark, sf_dir), fx.variants(spark, sf_dir), pool)
+    scores, log = dt.run_isolated(names, inputs, spark)
+    results = mt.ranking_metrics(scores.join(pool.select(*KEY, "label"), KEY)).select(*mt.GROUP, "roc_auc")
+    report = st.consolidated_report(results, pool.where(F.col("run_id") == fx.RUN_A), names, log).collect()
+    assert sorted(r["score_name"] for r in report) == sorted(names) and all(r["seconds"] > 0 for r in report)
+    for r in report:
+        assert (r["error"] is not None and "no such model" in r["error"] and r["roc_auc"] is None and r["failed"]) == (r["score_name"] == "ln_entropy")
 
 
 def test_pair_statistics_copy_no_rows(features):

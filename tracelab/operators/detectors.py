@@ -8,6 +8,7 @@ it back; only model coefficients and metric numbers reach the driver.
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelab.operators import features as ft
+from tracelab.operators import lexical as lx
 from tracelab.operators import logistic as lg
+from tracelab.operators import semantic as sm
 from tracelab.operators.labels import stratified_folds
 from tracelab.operators.metrics import confusion, detector_report, feature_auc
-from tracelab.session import KEY, materialize
+from tracelab.session import KEY, materialize, written
 
 # Grids of the three classifiers, folds, decision threshold, seed.
 INVERSE_PENALTIES = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
@@ -343,11 +346,20 @@ def nested_evaluation(
 
 # ---------------------------------------------------------------- registry
 
+@dataclass
+class Inputs:
+    """What detectors read: trace cells, answer variants, and the labelled pool (run_id, sample_id, label, split)."""
+
+    cells: DataFrame | None = None
+    variants: DataFrame | None = None
+    pool: DataFrame | None = None
+
+
 @dataclass
 class Detector:
-    """A plug-in detector: cells (or variants) to one row per sample with its score columns."""
+    """A plug-in detector: inputs to one row per sample with its score columns."""
 
-    run: Callable[[DataFrame], DataFrame]
+    run: Callable[[Inputs], DataFrame]
     title: str
     columns: list[str]
 
@@ -364,21 +376,65 @@ def register(name: str, title: str, columns: list[str]):
 
 
 @register("perplexity", "Perplexity", ["perplexity"])
-def _perplexity(cells: DataFrame) -> DataFrame:
-    return ft.unmask_perplexity(cells)
+def _perplexity(inputs: Inputs) -> DataFrame:
+    return ft.unmask_perplexity(inputs.cells)
 
 
 @register("ln_entropy", "LN-Entropy", ["ln_entropy"])
-def _ln_entropy(cells: DataFrame) -> DataFrame:
-    steps = ft.step_stats(cells)
+def _ln_entropy(inputs: Inputs) -> DataFrame:
+    steps = ft.step_stats(inputs.cells)
     return ft.static_from_steps(steps).select(*KEY, F.col("MeanEntropyJustUnmasked").alias("ln_entropy"))
 
 
-def run_detectors(names: list[str], cells: DataFrame) -> DataFrame:
-    """(run_id, sample_id, score_name, score) of the named detectors."""
+@register("lexical_similarity", "Lexical similarity", ["lexical_similarity"])
+def _lexical_similarity(inputs: Inputs) -> DataFrame:
+    rows = lx.lexical_features(inputs.variants).join(inputs.pool.select(*KEY, "label", "split"), KEY)
+    return supervised_detector(rows, lx.FEATURES, "lexical_similarity")[2].select(*KEY, F.col("score").alias("lexical_similarity"))
+
+
+@register("semantic_entropy", "Semantic entropy", ["semantic_entropy"])
+def _semantic_entropy(inputs: Inputs) -> DataFrame:
+    return sm.semantic_entropy(sm.cluster_variants(inputs.variants))
+
+
+@register("trace_features", "Trace features", ["trace_features"])
+def _trace_features(inputs: Inputs) -> DataFrame:
+    rows = materialize(ft.trace_features(inputs.cells).join(inputs.pool.select(*KEY, "label", "split"), KEY))
+    kept = ft.drop_nan_columns(rows, ft.feature_columns(rows))[0]
+    return supervised_detector(kept, ft.feature_columns(kept), "trace_features")[2].select(*KEY, F.col("score").alias("trace_features"))
+
+
+SCORED = "run_id STRING, sample_id BIGINT, score_name STRING, score DOUBLE"
+
+
+def _scores(name: str, inputs: Inputs) -> DataFrame:
+    detector = REGISTRY[name]
+    values = [F.col(c).cast("double").alias(c) for c in detector.columns]
+    return detector.run(inputs).select(*KEY, *values).unpivot(KEY, detector.columns, "score_name", "score")
+
+
+def run_detectors(names: list[str], inputs: Inputs) -> DataFrame:
+    """(run_id, sample_id, score_name, score) of the named detectors; one that fails fails the job."""
     out = None
     for name in names:
-        detector = REGISTRY[name]
-        scores = detector.run(cells).unpivot(KEY, detector.columns, "score_name", "score")
+        scores = _scores(name, inputs)
         out = scores if out is None else out.unionByName(scores)
     return out
+
+
+def run_isolated(names: list[str], inputs: Inputs, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Scores of the detectors that succeed, and (detector, score_name, seconds, error), one row per score column of every detector.
+
+    Each detector is a job of its own, whose scores are written before the next one starts: an error ends
+    this detector only, and is kept with the time it took.
+    """
+    out, log = spark.createDataFrame([], SCORED), []
+    for name in names:
+        start, error = time.monotonic(), None
+        try:
+            out = out.unionByName(written(_scores(name, inputs).select(F.col("run_id").cast("string").alias("run_id"), F.col("sample_id").cast("bigint").alias("sample_id"), "score_name", "score")))
+        except Exception as e:  # noqa: BLE001 - whatever a plug-in raises is its result
+            error = f"{type(e).__name__}: {str(e)[:500]}"
+        seconds = time.monotonic() - start
+        log += [(name, column, seconds, error) for column in (REGISTRY[name].columns if name in REGISTRY else [name])]
+    return out, spark.createDataFrame(log, "detector STRING, score_name STRING, seconds DOUBLE, error STRING")

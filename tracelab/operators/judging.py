@@ -110,25 +110,31 @@ def is_empty(answer: str = "answer") -> Column:
     return strip(F.coalesce(F.col(answer), F.lit(""))) == ""
 
 
+def _with_error(replies: DataFrame) -> DataFrame:
+    """Replies of a judge that reports no errors have none."""
+    return replies if "error" in replies.columns else replies.withColumn("error", F.lit(None).cast("string"))
+
+
 def judge_answers(answers: DataFrame, judge_batch: Judge, judge_single: Judge, batch_size: int = 32) -> DataFrame:
     """``is_hallucination`` and ``explanation`` for every answer.
 
     Empty answers are settled without the judge. The rest go out in fixed batches; a batch whose
-    reply cannot be read is sent again as single requests; what still fails is unclear. ``answers``
-    needs run_id, index, ordinal, question, labels and answer.
+    reply is missing or cannot be read is sent again as single requests; what still fails is unclear, with the judge's
+    ``error`` as explanation if it reports one. ``answers`` needs run_id, index, ordinal, question, labels and answer.
     """
     settled = answers.where(is_empty()).withColumns(
         {"is_hallucination": F.lit("yes"), "explanation": F.lit(EMPTY_ANSWER)}
     )
-    batched = fixed_batches(answers.where(~is_empty()), batch_size)
-    # Written once: two branches read the replies, and a service must not be asked twice.
+    # Written once each: three steps read the batches and two the replies, and a service must not be asked twice.
+    batched = materialize(fixed_batches(answers.where(~is_empty()), batch_size))
     replies = materialize(
         judge_batch(batch_prompts(batched)).select("run_id", "batch", parse_batch_reply().alias("verdicts"))
     )
     routed = batched.join(replies, ["run_id", "batch"], "left")
     read = routed.where("verdicts IS NOT NULL").withColumn("v", F.get("verdicts", F.col("slot")))
-    again = judge_single(single_prompts(routed.where("verdicts IS NULL").drop("verdicts", "batch", "slot")))
-    again = materialize(again.withColumn("v", parse_reply()).drop("prompt", "reply"))
+    again = _with_error(judge_single(single_prompts(routed.where("verdicts IS NULL").drop("verdicts", "batch", "slot"))))
+    said = F.when(F.col("error").isNotNull(), F.struct(F.lit("unclear").alias("judgment"), F.col("error").alias("explanation")))
+    again = materialize(again.withColumn("v", F.coalesce(said, parse_reply())).drop("prompt", "reply", "error", "tries"))
     both = read.drop("verdicts", "batch", "slot").unionByName(again)
     judged = both.withColumns(
         {"is_hallucination": verdict_label(F.col("v.judgment")), "explanation": F.col("v.explanation")}
@@ -143,16 +149,74 @@ def exact_match(answers: DataFrame) -> DataFrame:
     return answers.withColumn("judgment", F.when(hit, "true").otherwise("false"))
 
 
-def python_judge(call: Callable[[list[str]], list[str]]) -> Judge:
-    """Wrap a service call (prompts -> replies) as a judge; it runs on Arrow batches inside tasks."""
+def _asked(call: Callable[[list[str]], list[str]], prompts: list[str], tries: int) -> list[tuple[str | None, str | None, int]]:
+    """(reply, error, tries) of each prompt. Prompts that fail together are asked one by one."""
+    if len(prompts) > 1:
+        try:
+            replies = list(call(prompts))
+            if len(replies) == len(prompts):
+                return [(r, None, 1) for r in replies]
+        except Exception:  # noqa: BLE001 - which prompt it was shows below
+            pass
+        return [_asked(call, [p], tries)[0] for p in prompts]
+    for no in range(1, tries + 1):
+        try:
+            (reply,) = call(prompts)
+            return [(reply, None, no)]
+        except Exception as e:  # noqa: BLE001 - the error is the answer
+            error = f"{type(e).__name__}: {str(e)[:200]}"
+    return [(None, error, tries)]
+
+
+def python_judge(call: Callable[[list[str]], list[str]], tries: int = 3) -> Judge:
+    """Wrap a service call (prompts -> replies) as a judge; it runs on Arrow batches inside tasks.
+
+    Adds ``reply``, ``error`` and ``tries``. An exception ends no job: prompts that fail together are asked one by one, up to
+    ``tries`` times each, and one that still fails has a null reply and the kind of error.
+    """
 
     def apply(prompts: DataFrame) -> DataFrame:
         def batches(frames):
             for frame in frames:
-                frame["reply"] = list(call(list(frame["prompt"])))
+                asked = _asked(call, list(frame["prompt"]), tries) if len(frame) else []
+                for i, name in enumerate(("reply", "error", "tries")):
+                    frame[name] = [a[i] for a in asked]
                 yield frame
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
-        return prompts.mapInPandas(batches, f"{fields}, reply string")
+        return prompts.mapInPandas(batches, f"{fields}, reply string, error string, tries int")
+
+    return apply
+
+
+#: Parts in which a log of requests grows.
+LOG_PARTS = 8
+
+
+def logged(judge: Judge, folder: str, parts: int = LOG_PARTS) -> Judge:
+    """A judge that asks each distinct prompt once and keeps the answers under ``folder``.
+
+    Prompts with an answer in the log are not asked again, by this job or by one that is started after it broke off. Answers are appended
+    part by part, so at most one part is lost; a prompt that failed is asked again by a later job only.
+    """
+
+    def apply(prompts: DataFrame) -> DataFrame:
+        spark = prompts.sparkSession
+        keyed = materialize(prompts.withColumn("_key", F.sha2("prompt", 256)))
+        distinct = keyed.select("_key", "prompt").dropDuplicates(["_key"])
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        kind = "_key string, reply string, error string, tries int"
+        known = spark.read.schema(kind).parquet(folder).where("reply IS NOT NULL").select("_key") if there else spark.createDataFrame([], "_key string")
+        new = materialize(distinct.join(known, "_key", "left_anti").withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(parts))))
+        for part in range(parts):
+            own = new.where(F.col("_part") == part).drop("_part")
+            answers = _with_error(judge(own))
+            answers = answers if "tries" in answers.columns else answers.withColumn("tries", F.lit(1))
+            answers.select("_key", "reply", "error", F.col("tries").cast("int").alias("tries")).write.mode("append").parquet(folder)
+        log = spark.read.schema(kind).parquet(folder)
+        # An answer stands before an error.
+        best = log.groupBy("_key").agg(F.min_by(F.struct("reply", "error", "tries"), F.col("reply").isNull()).alias("a"))
+        return keyed.join(best.select("_key", "a.*"), "_key", "left").drop("_key")
 
     return apply

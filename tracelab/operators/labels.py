@@ -97,8 +97,8 @@ def fixed_batches(rows: DataFrame, size: int, ordinal: str = "ordinal") -> DataF
 
 
 def positional_labels(samples: DataFrame, labels: DataFrame, position: str = "sample_id") -> DataFrame:
-    """Label found at the row ordinal that the sample names."""
-    return samples.join(labels.select(F.col("ordinal").alias(position), "label"), position)
+    """Label found at the row ordinal that the sample names, in the judged file of its run."""
+    return samples.join(labels.select("run_id", F.col("ordinal").alias(position), "label"), ["run_id", position])
 
 
 def strict_align(labels: DataFrame, traces: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,82 @@ def write_version(scores: DataFrame, base: str) -> str:
     return path
 
 
+class StaleVersion(Exception):
+    """Another writer has committed the version that this one meant to write."""
+
+
+def _files(spark: SparkSession, base: str):
+    """(Path class, file context) of the store that holds ``base``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(base)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return hadoop.Path, hadoop.FileContext.getFileContext(uri, spark._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, base: str) -> tuple[int, str | None]:
+    """(number, folder) of the newest committed version; (0, None) before the first.
+
+    Commits are files ``commits/<number>`` that hold the folder's name and never change.
+    """
+    Path, files = _files(spark, base)
+    folder = Path(f"{base}/commits")
+    if not files.util().exists(folder):
+        return 0, None
+    names = [s.getPath().getName() for s in files.util().listStatus(folder)]
+    numbers = [int(n) for n in names if n.isdigit()]
+    if not numbers:
+        return 0, None
+    text = spark.read.text(f"{base}/commits/{max(numbers):020d}").first()[0]
+    return max(numbers), f"{base}/{text}"
+
+
+def current_scores(spark: SparkSession, base: str) -> tuple[DataFrame | None, int]:
+    """The committed table and its number; a reader that has started keeps its version when a newer one is committed."""
+    number, folder = current_version(spark, base)
+    return (spark.read.parquet(folder) if folder else None), number
+
+
+def commit_scores(scores: DataFrame, base: str, expected: int) -> int:
+    """Write a version and make it the current one, if ``expected`` still is; else ``StaleVersion``, and nothing changes.
+
+    The pointer is written aside and renamed to the number after ``expected``. Renaming fails where that number exists, so of
+    two writers that read the same version one is told, and no update is lost.
+    """
+    spark = scores.sparkSession
+    if current_version(spark, base)[0] != expected:
+        raise StaleVersion(f"version {expected} is no longer the current one")
+    folder = write_version(scores, base)
+    Path, files = _files(spark, base)
+    target, aside = Path(f"{base}/commits/{expected + 1:020d}"), f"{base}/aside-{uuid.uuid4().hex}"
+    spark.createDataFrame([(folder.rsplit("/", 1)[1],)], "value STRING").coalesce(1).write.text(aside)
+    part = next(s.getPath() for s in files.util().listStatus(Path(aside)) if s.getPath().getName().startswith("part-"))
+    options = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        files.mkdir(target.getParent(), None, True)
+        files.rename(part, target, options)
+    except Exception as e:  # noqa: BLE001 - py4j wraps what the store raises
+        files.delete(Path(folder), True)
+        if files.util().exists(target):
+            raise StaleVersion(f"version {expected + 1} was committed by another writer") from e
+        raise
+    finally:
+        files.delete(Path(aside), True)
+    return expected + 1
+
+
+def swap_scores(spark: SparkSession, base: str, change: Callable[[DataFrame | None], DataFrame], attempts: int = 5) -> int:
+    """Commit ``change(current table)``, anew on top of what another writer has committed in between."""
+    for left in range(attempts - 1, -1, -1):
+        table, number = current_scores(spark, base)
+        try:
+            return commit_scores(change(table), base, number)
+        except StaleVersion:
+            if not left:
+                raise
+    raise ValueError("attempts must be at least 1")
+
+
 def consolidate(results: list[DataFrame]) -> DataFrame:
     """One row per sample across detectors; the first detector's label and split stand.
 
@@ -123,11 +200,15 @@ def last_writer(shards: DataFrame, keys: list[str], shard: str = "shard") -> Dat
     ).select(*keys, "kept.*", "n_lost")
 
 
-def consolidated_report(results: DataFrame, runs: DataFrame, detectors: list[str]) -> DataFrame:
-    """Every run x registered detector; a detector without result keeps NULL metrics."""
+def consolidated_report(results: DataFrame, runs: DataFrame, detectors: list[str], log: DataFrame | None = None) -> DataFrame:
+    """Every run x registered detector; a detector without result keeps NULL metrics.
+
+    ``log`` of isolated jobs (score_name, seconds, error) adds how long each took and what went wrong.
+    """
     names = F.explode(F.array(*[F.lit(d) for d in detectors])).alias("score_name")
     grid = runs.select("run_id").distinct().select("run_id", names)
-    return grid.join(results, ["run_id", "score_name"], "left").withColumn("failed", F.col("roc_auc").isNull())
+    report = grid.join(results, ["run_id", "score_name"], "left").withColumn("failed", F.col("roc_auc").isNull())
+    return report if log is None else report.join(log.select("score_name", "seconds", "error"), "score_name", "left")
 
 
 def score_difference(base: DataFrame, other: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

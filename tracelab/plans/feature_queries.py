@@ -268,13 +268,16 @@ def select_features(spark, sf_dir):
     return kept
 
 
-@query("g5_known_features", "SELECT DISTINCT lang AS lang, 14 AS n_known, 8 AS n_unknown FROM documents")
+@query(
+    "g5_known_features",
+    "SELECT lang, count(*) FILTER (WHERE k.source IS NOT NULL) AS n_known, count(*) FILTER (WHERE k.source IS NULL) AS n_unknown FROM "
+    "(SELECT DISTINCT lang, source FROM documents WHERE source IS NOT NULL) AS d LEFT JOIN "
+    "(SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) AS k USING (source) GROUP BY lang",
+)
 def known_features(spark, sf_dir):
-    """Requested and known feature names by ``array_intersect``, next to each document language."""
-    wanted = F.array(*[F.lit(n) for n in ft.CLEANED])
-    known = F.array(*[F.lit(n) for n in ft.STATIC + ft.NO_PADDING + ft.DYNAMIC])
-    return fx.table(spark, sf_dir, "documents").select("lang").distinct().select(
-        "lang",
-        F.size(F.array_intersect(wanted, known)).alias("n_known"),
-        F.size(F.array_except(wanted, known)).alias("n_unknown"),
-    )
+    """Of the names that each language asks for (sources of its documents), how many a registry knows (sources of labelled toxic ones)."""
+    docs, labels = fx.table(spark, sf_dir, "documents"), fx.table(spark, sf_dir, "labels")
+    requested = docs.where("source IS NOT NULL").select("lang", F.col("source").alias("name")).distinct()
+    registry = docs.join(labels.where("toxic = 1"), "doc_id").select(F.col("source").alias("name")).distinct().withColumn("known", F.lit(True))
+    met = requested.join(registry, "name", "left")
+    return met.groupBy("lang").agg(F.count_if(F.col("known")).alias("n_known"), F.count_if(F.col("known").isNull()).alias("n_unknown"))

@@ -189,4 +189,4 @@ def selection_record(spark, sf_dir):
     "score",
 )
 def detector_registry(spark, sf_dir):
-    return dt.run_detectors(["perplexity", "ln_entropy"], fx.cells(spark, sf_dir))
+    return dt.run_detectors(["perplexity", "ln_entropy"], dt.Inputs(cells=fx.cells(spark, sf_dir)))

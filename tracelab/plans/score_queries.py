@@ -195,6 +195,26 @@ def consolidated_report(spark, sf_dir):
     return st.consolidated_report(results, fx.sample_labels(spark, sf_dir), [*NAMES, "semantic_entropy"])
 
 
+@query(
+    "i22_detector_jobs",
+    fx.with_cells(
+        "SELECT run_id, d.score_name, CASE WHEN d.score_name = 'perplexity' THEN auc END AS roc_auc, d.score_name = 'broken' AS failed, true AS timed, "
+        "CASE WHEN d.score_name = 'broken' THEN 'KeyError' END AS error FROM (SELECT DISTINCT run_id FROM plain) AS r CROSS JOIN "
+        "(SELECT unnest(['perplexity', 'broken']) AS score_name) AS d LEFT JOIN auc USING (run_id, score_name)",
+        SCORES + "," + AUC),
+    "roc_auc",
+)
+def detector_jobs(spark, sf_dir):
+    """Isolated jobs, one of a detector that nobody registered; its error and time are rows of the report."""
+    from tracelab.operators import detectors as dt
+
+    scores, log = dt.run_isolated(["perplexity", "broken"], dt.Inputs(cells=fx.cells(spark, sf_dir, ("prob", "masked"))), spark)
+    labelled = scores.join(fx.sample_labels(spark, sf_dir).select("run_id", "sample_id", "label"), ["run_id", "sample_id"])
+    results = mt.ranking_metrics(labelled).select(*mt.GROUP, "roc_auc")
+    report = st.consolidated_report(results, fx.sample_labels(spark, sf_dir), ["perplexity", "broken"], log)
+    return report.select("run_id", "score_name", "roc_auc", "failed", (F.col("seconds") >= 0).alias("timed"), F.substring_index("error", ":", 1).alias("error"))
+
+
 @query(
     "b13_drop_nan_scores",
     fx.with_cells("SELECT run_id, sample_id, score_name, score, label FROM scores WHERE score_name IN ('perplexity', 'coarse') AND sample_id % 6 <> 0", SCORES),
@@ -358,11 +378,17 @@ def strict_align(spark, sf_dir):
     return lb.strict_align(fx.sample_labels(spark, sf_dir).select(*KEY, "label"), traces, KEY)
 
 
-@query("c3_positional_labels", f"{J} SELECT vec_id AS sample_id, (is_hallucination = 'yes')::INT AS label FROM embeddings JOIN judged ON ordinal = vec_id")
+@query(
+    "c3_positional_labels",
+    f"{J} SELECT r.run_id, vec_id AS sample_id, ((is_hallucination = 'yes') = (r.run_id = '{fx.RUN_A}'))::INT AS label "
+    f"FROM embeddings JOIN judged ON ordinal = vec_id CROSS JOIN (SELECT unnest(['{fx.RUN_A}', '{fx.RUN_B}']) AS run_id) AS r")
 def positional_labels(spark, sf_dir):
-    labels = fx.judged(spark, sf_dir).select("ordinal", lb.label_rule(F.col("is_hallucination"), "yes").alias("label"))
-    samples = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"))
-    return lb.positional_labels(samples, labels)
+    """Two runs whose judged files disagree on every row."""
+    first = fx.judged(spark, sf_dir).select(F.lit(fx.RUN_A).alias("run_id"), "ordinal", lb.label_rule(F.col("is_hallucination"), "yes").alias("label"))
+    second = first.select(F.lit(fx.RUN_B).alias("run_id"), "ordinal", (1 - F.col("label")).alias("label"))
+    runs = F.explode(F.array(F.lit(fx.RUN_A), F.lit(fx.RUN_B))).alias("run_id")
+    samples = fx.table(spark, sf_dir, "embeddings").select(runs, F.col("vec_id").alias("sample_id"))
+    return lb.positional_labels(samples, first.unionByName(second))
 
 
 @query("c11_missing_results", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
