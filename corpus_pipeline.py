@@ -1,12 +1,15 @@
 """From raw documents to packed token sequences, in five stages.
 
 Each stage takes the documents that its predecessor kept, as a table that was written and is read again, and returns
-documents with the same columns; the last returns the pieces of the packed sequences.
+documents with the same columns; the last returns the pieces of the packed sequences. Null and repeated ids and
+repeated rows are documents like any other, null texts are empty, texts are never cut, and an empty table stays empty. Columns other
+than doc_id, text and source are passed on as they are, whatever they are called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,25 +24,43 @@ WORD_CACHE = 300_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def with_own_names(stage: Stage) -> Stage:
+    """A stage that keeps the other columns of the documents apart from the names that operators use."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in ("doc_id", "text", "source") else f"column{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).toDF(*docs.columns)
+
+    return run
+
+
+@with_own_names
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below one half, by a model of the labelled ones among them."""
+    """Documents with a toxicity score below one half, by a model of the labelled ones among them. Empty texts have a score too."""
     model = toxic_passages.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxic_passages.with_score(docs, model).where(F.col("_toxicity") < 0.5).select(*docs.columns)
 
 
+@with_own_names
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by importance resampling towards the labelled good ones."""
+    """Documents drawn by importance resampling towards the labelled good ones; equal rows are drawn alike."""
     fitted = importance.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return importance.with_keys(docs, fitted).where("_kept").select(*docs.columns)
 
 
+@with_own_names
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles."""
+    """One document of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles.
+
+    Documents without words, and those with a null id, are copies of nothing and stay.
+    """
     return shingle_join.one_per_component(docs, words=5, percent=80)
 
 
+@with_own_names
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order in which Pfair scheduling interleaves their sources."""
+    """All documents, written in the order in which Pfair scheduling interleaves their sources; the null source is one of them."""
     mixed = mixing.mix(docs)
     return mixed.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
 
