@@ -34,7 +34,7 @@ SCORES = "doc_id bigint, score double, evidence double, passages array<struct<st
 class Toxicity:
     """Most labelled documents the model is fitted to (a bounded sample, by a hash of the id), prior
     weight, signed root of the likelihood ratio that gives a token a score of its own, penalty of other tokens, largest
-    absolute score of a token, expected chance passages that make one significant, most scored tokens, seed."""
+    absolute score of a token, expected chance passages that make one significant, seed."""
 
     sample: int = 20_000
     prior: float = 500.0
@@ -42,7 +42,6 @@ class Toxicity:
     penalty: float = 0.25
     most: float = 8.0
     expected: float = 0.01
-    tokens: int = 200_000
     seed: int = 5
 
 
@@ -131,7 +130,7 @@ def token_scores(counts: DataFrame, setting: Toxicity) -> DataFrame:
     ratio = 2 * (part(F.col("toxic"), share) + part(F.col("clean"), F.col("toxic") + F.col("clean") - share))
     scored = counts.withColumns({"odds": odds, "ratio": ratio}).where(F.col("ratio") >= F.lit(setting.z**2))
     clipped = F.greatest(F.least(F.col("odds"), F.lit(setting.most)), F.lit(-setting.most)) - setting.penalty
-    return scored.orderBy(F.desc("ratio"), "token").limit(setting.tokens).select("token", "toxic", "clean", clipped.alias("score"))
+    return scored.select("token", "toxic", "clean", clipped.alias("score"))
 
 
 def extreme_rate(scores: np.ndarray, frequency: np.ndarray, penalty: float) -> float:
@@ -195,7 +194,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float,
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", setting: Toxicity = Toxicity()) -> Model:
-    """A model from the labelled documents, of which at most ``setting.sample`` are used."""
+    """A model from the labelled documents, of which at most ``setting.sample`` are used; that bounds its tokens too.
+
+    Labels without a document, null labels and documents with a null id are left out, null texts are empty, equal texts count
+    once, and a repeated id brings in all its texts. Without documents of both classes nothing is scored, and
+    all documents have the same score. Further columns of both tables are ignored.
+    """
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = label_sample(labels, column, setting.sample, setting.seed)
     # The sample has a proven bound, so it is broadcast, and its texts are written once.
@@ -261,7 +265,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``_toxicity``, the score (which replaces a column of this name)."""
+    """All columns of ``docs`` and ``_toxicity``, the score (which replaces a column of this name).
+
+    Every row has a score, whatever its id: null and empty texts that of a text without passages, long texts that of the
+    whole text, repeated rows the same. An empty table stays empty; other columns are passed on, whatever they are called.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("_toxicity")
 
