@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelab.functions.ordering import row_numbers, running_totals
-from tracelab.functions.skew import skew_join
+from tracelab.functions.skew import hot_keys, lookup_join, skew_join
 from tracelab.operators import labels as lb, metrics as mt
 
 
@@ -114,3 +114,27 @@ def test_strict_align_raises(spark):
     assert lb.strict_align(labels.where("id = 1"), traces, ["id"]).count() == 1
     with pytest.raises(Exception, match="no trace for 2"):
         lb.strict_align(labels, traces, ["id"]).collect()
+
+
+def test_salts_grow_with_a_key(spark):
+    """A pad id on nine cells of ten: its rows are spread by their number, and the join is that of the dictionary."""
+    cells = spark.range(20_000).select("id", F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id") % 700 + 1).alias("token"))
+    names = spark.range(500).select(F.col("id").alias("token"), F.concat(F.lit("t"), "id").alias("text"))
+    salts = {r["token"]: r["_salts"] for r in hot_keys(cells, ["token"], least=100).collect()}
+    assert salts == {0: 180}
+    for how in ("inner", "left"):
+        want = cells.join(names, "token", how).agg(F.count("text"), F.count(F.lit(1)), F.sum(F.xxhash64("id", "text") % 1000)).first()
+        for most in (10, 10_000):
+            joined = lookup_join(cells, names, ["token"], ["id"], how, max_rows=most, least=100)
+            assert joined.agg(F.count("text"), F.count(F.lit(1)), F.sum(F.xxhash64("id", "text") % 1000)).first() == want
+
+
+def test_many_range_partitions(spark):
+    """Positions over 4,000 partitions, with ties at one value, from one written table."""
+    rows = spark.range(6000).select("id", (F.col("id") % 3).alias("g"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.xxhash64("id")).alias("v"))
+    numbered = row_numbers(rows, ["g"], "v", ["id"], buckets=4000, size="total").collect()
+    for g in range(3):
+        own = sorted((r for r in numbered if r["g"] == g), key=lambda r: (r["v"], r["id"]))
+        assert [r["row_no"] for r in own] == list(range(1, 2001)) and {r["total"] for r in own} == {2000}
+    plan = row_numbers(rows, ["g"], "v", ["id"], buckets=4000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" not in plan and "RepartitionByExpression" not in plan

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.session import KEY, bounded
+from tracelab.functions.skew import lookup_join
+from tracelab.session import KEY
 
 
 def by_pos():
@@ -111,7 +112,7 @@ def token_rows(cells: DataFrame, token: str = "x0_id") -> DataFrame:
 def decode_tokens(cells: DataFrame, vocab: DataFrame, token: str = "x0_id") -> DataFrame:
     """Token text of each cell; ids outside the vocabulary give an empty text."""
     names = vocab.select(F.col("token_id").alias(token), F.col("text").alias("token"))
-    return cells.join(bounded(names), token, "left").withColumn("token", F.coalesce("token", F.lit("")))
+    return lookup_join(cells, names, [token], [*KEY, "step", "pos"], "left").withColumn("token", F.coalesce("token", F.lit("")))
 
 
 def step_text(decoded: DataFrame) -> DataFrame:

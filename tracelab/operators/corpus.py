@@ -252,13 +252,18 @@ def pack_tokens(
         ids = F.when(ended, ids).otherwise(F.concat(ids, F.array(F.lit(end_id))))
         n = F.size(ids)
     sized = docs.select(group, ordinal, ids.alias("ids"), n.cast("bigint").alias("n")).where("n > 0")
-    placed = running_totals(sized, [group], ordinal, {"n": "stop"}).withColumn("start", F.col("stop") - F.col("n"))
+    # Totals run over keys and lengths; the ids join them once, and a row is cut into its pieces before it is exploded.
+    totals = running_totals(sized.select(group, ordinal, "n"), [group], ordinal, {"n": "stop"}).select(group, ordinal, "stop")
+    placed = sized.join(totals, [group, ordinal]).withColumn("start", F.col("stop") - F.col("n"))
     chunks = F.sequence(F.floor(F.col("start") / length), F.floor((F.col("stop") - 1) / length))
-    pieces = placed.select(group, "start", "ids", "n", F.explode(chunks).alias("chunk"))
-    skip = F.greatest(F.col("chunk") * length - F.col("start"), F.lit(0))
-    upto = F.least((F.col("chunk") + 1) * length - F.col("start"), F.col("n"))
-    piece = F.slice("ids", (skip + 1).cast("int"), (upto - skip).cast("int"))
-    packed = F.array_sort(F.collect_list(F.struct("start", piece.alias("piece"))))
+
+    def cut(chunk: Column) -> Column:
+        skip = F.greatest(chunk * length - F.col("start"), F.lit(0))
+        upto = F.least((chunk + 1) * length - F.col("start"), F.col("n"))
+        return F.struct(chunk.alias("chunk"), F.slice("ids", (skip + 1).cast("int"), (upto - skip).cast("int")).alias("piece"))
+
+    pieces = placed.select(group, "start", F.inline(F.transform(chunks, cut)))
+    packed = F.array_sort(F.collect_list(F.struct("start", "piece")))
     out = pieces.groupBy(group, "chunk").agg(F.flatten(packed["piece"]).alias("input_ids"))
     if drop_tail:
         out = out.where(F.size("input_ids") == length)

@@ -9,9 +9,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.functions.skew import hot_keys, skew_join
+from tracelab.functions.skew import hot_keys, lookup_join, skew_join
 from tracelab.functions.text import strip, word_tokens
-from tracelab.session import KEY, bounded, materialize, written
+from tracelab.session import KEY, materialize, written
 
 # Floors of the token entropy, the cluster mass, the cluster entropy and the variant entropy.
 TOKEN_FLOOR = 1e-8
@@ -27,7 +27,8 @@ def token_entropy(dist: DataFrame, keys: list[str] = KEY) -> DataFrame:
 
 def map_tokens(dist: DataFrame, clusters: DataFrame) -> DataFrame:
     """Token to cluster; tokens without a cluster are dropped."""
-    return dist.join(bounded(clusters.select("token", "cluster")), "token")
+    spread = [c for c in dist.columns if c != "token"]
+    return lookup_join(dist, clusters.select("token", "cluster"), ["token"], spread)
 
 
 def cluster_rollup(dist: DataFrame, clusters: DataFrame, keys: list[str] = KEY) -> DataFrame:
