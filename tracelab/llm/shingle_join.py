@@ -39,6 +39,7 @@ from tracelab.llm.word_hash import hashed_words, mix, shingles, text_slices
 BLOCK = 1 << 20
 #: Keys that a set carries to find the bucket in which a pair is compared.
 LOWS = 32
+NO_KEY = np.iinfo(np.int64).max
 #: Bits a shingle of the sketches that are made where whole sets are at hand.
 WIDE = 8
 #: Buckets up to this size are compared by whole-array operations.
@@ -342,7 +343,11 @@ class _Bucket:
 
     def __init__(self, table: pa.Table, sketch: list[bytes], bands: Bands) -> None:
         self.key, self.label = table.column("key")[0].as_py(), table.column("label").to_numpy()
-        self.lows = [np.frombuffer(x, dtype=">i8") for x in table.column("lows").to_pylist()]
+        drawn = table.column("lows").to_pylist()
+        #: The first keys of each member in ascending order, filled up with the highest number.
+        self.lows = np.full((len(drawn), LOWS), NO_KEY, dtype=np.int64)
+        for at, keys in enumerate(drawn):
+            self.lows[at, : len(keys) // 8] = np.frombuffer(keys, dtype=">i8")
         self.near = _nearness(table.column("n").to_numpy(), sketch, bands)
         names, counts = np.unique(self.label, return_counts=True)
         most = self.label == names[np.argmax(counts)]
@@ -354,11 +359,15 @@ class _Bucket:
             others = np.concatenate([self.main, self.rest[at + 1 :]])
             others = others[self.label[others] != self.label[one]]
             others = others[self.near(one, others)]
-            yield one, np.array([two for two in others.tolist() if self.here(one, two)], dtype=np.int64)
-
-    def here(self, one: int, two: int) -> bool:
-        common = np.intersect1d(self.lows[one], self.lows[two], assume_unique=True)
-        return not len(common) or int(common[0]) == self.key
+            yield one, others[self.here(one, others)]
+
+    def here(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Whether this bucket is the first common one of each pair, or the first keys of the two do not tell."""
+        own, theirs = self.lows[one], self.lows[others]
+        place = np.minimum(np.searchsorted(own, theirs), LOWS - 1)
+        common = (own[place] == theirs) & (theirs != NO_KEY)
+        first = theirs[np.arange(len(others)), common.argmax(axis=1)]
+        return ~common.any(axis=1) | (first == self.key)
 
 
 def _suspects(bands: Bands):
