@@ -335,7 +335,8 @@ def bucket_pairs(members: DataFrame, bands: Bands) -> DataFrame:
     own = F.pmod(F.xxhash64("fp", "key"), F.col("blocks"))  # other keys deal the same sets otherwise
     bucket = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", own))
     dealt = members.select(bucket.alias("bucket"), "fp", "n", "sketch")
-    return in_batches(dealt.repartition("bucket").sortWithinPartitions("bucket")).mapInArrow(tidy(_bucket_pairs(bands)), PAIRS).distinct()
+    # In the order of contents, so that the same near copies hang on the same one in every bucket, and their pairs are few.
+    return in_batches(dealt.repartition("bucket").sortWithinPartitions("bucket", "fp")).mapInArrow(tidy(_bucket_pairs(bands)), PAIRS).distinct()
 
 
 class _Bucket:
